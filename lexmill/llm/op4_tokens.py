@@ -17,7 +17,7 @@ from .common import table
 
 #: The pre-tokenizer's pattern and the Unicode White_Space set: fixed values.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Entries of each worker's caches; a full cache is emptied, so memory is bounded whatever the vocabulary.
 CACHE = 400_000
 
