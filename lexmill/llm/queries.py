@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op4_tokens, op8_mixing, op10_decontamination
+from . import op4_tokens, op5_line_dedup, op7_substring_dedup, op8_mixing, op10_decontamination
 
-MODULES = (op4_tokens, op8_mixing, op10_decontamination)
+MODULES = (op4_tokens, op5_line_dedup, op7_substring_dedup, op8_mixing, op10_decontamination)
 
 
 def queries() -> dict:
