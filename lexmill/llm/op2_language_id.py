@@ -223,8 +223,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, slack: float = 1.25) ->
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, lang_pred, score, cross_entropy, rejected.
 
-    Null and empty texts, and texts without a letter, are `und` with score 0, rejected; so is everything if no
-    language could be learned. Ties go to the first language in order. Whole texts are scored, whatever their
+    Null and empty texts, and texts without a letter, are `und` with score 0, rejected. If no language could be
+    learned every text is `und`, and only those without a letter are rejected. Ties go to the first language in order. Whole texts are scored, whatever their
     length; repeated rows are scored each; an empty table gives no rows; extra columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -234,12 +234,30 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
         m = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
-            lang, score, ce, rejected = m.predict(texts) if m else (["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool))
+            lang, score, ce, rejected = _predict(m, texts)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(ce), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+def _predict(models: Models | None, texts: list[str]):
+    if models:
+        return models.predict(texts)
+    zero = np.zeros(len(texts))
+    return ["und"] * len(texts), zero, zero, np.fromiter((not any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+
+
+def accepted(docs: DataFrame, models: Models | None) -> DataFrame:
+    """The rows of docs, with all their columns, that `identify` does not reject."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(models), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(~_predict(shared.value, [t or "" for t in b.column(at).to_pylist()])[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

@@ -34,8 +34,8 @@ def _hash(key: bytes) -> int:
     return xxhash.xxh3_64_intdigest(key)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bytes: int | None = None, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, text (kept lines joined by \\n), n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bytes: int | None = None, key_bytes: int = KEY_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, text (kept lines joined by \\n), n_lines, n_dropped, and `carried`, a struct of the columns named in carry, if any.
 
     A line's key is the line stripped of white space with A-Z lower-cased. Keys of at least min_chars code points
     that stand in at least min_docs (2 or more) rows are repeats. keep="none" drops all their lines; keep="first"
@@ -47,6 +47,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     if min_docs < 2 or min_chars < 1 or keep not in ("none", "first"):
         raise ValueError("min_docs must be 2 or more, min_chars 1 or more, keep 'none' or 'first'")
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    every = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
     docs = docs.select("doc_id", "text")
 
     def distinct(text):
@@ -88,7 +89,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     counted = suspects.narrow(docs.mapInArrow(count, f"key string, h long, n long, first {kind}"), "h")
     confirmed = stored(counted.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs))
     size = confirmed.select(F.coalesce(F.sum(F.octet_length("key") + 100), F.lit(0))).first()[0]
-    schema = f"doc_id {kind}, text string, n_lines long, n_dropped long"
+    schema = f"doc_id {kind}, text string, n_lines long, n_dropped long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in every.schema if f.name == "carried")
 
     def kept(doc_id, text, bad):
         lines, left, seen = (text or "").split("\n"), [], set()
@@ -99,21 +100,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
             left.append(line)
         return "\n".join(left), len(lines), len(lines) - len(left)
 
-    def rows(ids, texts, per_row):
-        out = [kept(d, t, bad) for d, t, bad in zip(ids.to_pylist(), texts.to_pylist(), per_row, strict=True)]
-        return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+    def rows(b, per_row):
+        ids, more = b.column(0), [c for c, name in zip(b.columns, b.schema.names, strict=True) if name == "carried"]
+        out = [kept(d, t, bad) for d, t, bad in zip(ids.to_pylist(), b.column(1).to_pylist(), per_row, strict=True)]
+        return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), *more], ["doc_id", "text", "n_lines", "n_dropped", *["carried"] * len(more)])
 
     if size <= key_bytes:
         known = spark.sparkContext.broadcast({r.key.encode(): r.first for r in confirmed.select("key", "first").toLocalIterator()})
 
         def drop(batches):
             for b in batches:
-                yield rows(b.column(0), b.column(1), [known.value] * b.num_rows)
+                yield rows(b, [known.value] * b.num_rows)
 
-        return docs.mapInArrow(drop, schema)
+        return every.mapInArrow(drop, schema)
 
     # Too many repeats to broadcast: each row's suspected keys meet the confirmed ones, and come back to the row.
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    every = every.withColumn("_row", F.xxhash64("doc_id", "text"))
 
     def spread(batches):
         for b in batches:
@@ -121,11 +124,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
             yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in found], pa.int64()), pa.array([x[2].decode() for x in found], pa.string())], ["_row", "key"])
 
     hit = keyed.mapInArrow(spread, "_row long, key string").join(confirmed.select("key", "first"), "key").groupBy("_row").agg(F.collect_set(F.struct("key", "first")).alias("bad"))
-    joined = keyed.join(hit, "_row", "left").select("doc_id", "text", "bad")
+    joined = every.join(hit, "_row", "left").drop("_row")
 
     def drop_joined(batches):
         for b in batches:
-            yield rows(b.column(0), b.column(1), [{x["key"].encode(): x["first"] for x in bad or ()} for bad in b.column(2).to_pylist()])
+            yield rows(b, [{x["key"].encode(): x["first"] for x in bad or ()} for bad in b.column("bad").to_pylist()])
 
     return joined.mapInArrow(drop_joined, schema)
 

@@ -39,8 +39,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return s.withColumn("target", F.least("_cap", F.max("_level").over(every) * F.col("_w"))).select("_source", "source_size", F.col("_w").alias("weight"), "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, share: float = 1.0, broadcast_rows: int | None = None) -> DataFrame:
-    """One row per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, share: float = 1.0, broadcast_rows: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken, and the columns named in carry.
 
     size counts words (null or empty text: 0, never taken beyond 0 words). A null source is a source of its own,
     last in order. Repeated rows share a hash and are taken or left together; rows without a doc_id are hashed by
@@ -48,11 +48,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     ignored, whatever their names.
     """
     limit = {} if broadcast_rows is None else {"limit": broadcast_rows}
-    base = stored(docs.select(
-        F.col("doc_id"), F.col("source").alias("_source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", "text").alias("_h"),
-    ))
+    sized = [F.col("doc_id"), F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("_h")]
+    base = stored(docs.select(*sized))
     hist = stored(base.groupBy("_source", _bucket(0).alias("_b")).agg(F.sum("size").alias("_n")))
     found = source_targets(hist.groupBy("_source").agg(F.sum("_n").alias("source_size")), weights, cap, share)
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(F.lit(0))
@@ -74,10 +71,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
         if level == LEVELS - 1:  # the last bucket is whole: in if that is nearer to the target
             bucket = bucket + F.when(F.col("_e._n") < 2 * rest, 1).otherwise(0)
         found = stored(joined.select("_source", "source_size", "weight", "target", "_full", rest.alias("_rest"), (F.col("_t") + bucket * F.lit(step)).cast("long").alias("_t")))
-    out = base.join(maybe_broadcast(found.withColumnRenamed("_source", "_s"), n, **limit), F.expr("_source <=> _s"))
+    rows = docs.select(*sized, F.struct(*carry).alias("_carried")) if carry else base  # what is carried is read again, not stored
+    out = rows.join(maybe_broadcast(found.withColumnRenamed("_source", "_s"), n, **limit), F.expr("_source <=> _s"))
     copies = F.col("_full") + (F.shiftrightunsigned("_h", 64 - BITS * LEVELS) < F.col("_t")).cast("long")
     copies = F.least(copies, F.lit(int(cap)))
-    return out.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[F.col("_carried").getField(c).alias(c) for c in carry])
 
 
 def op8_source_mixing(spark, sf_dir):

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from . import op4_tokens, op5_line_dedup, op7_substring_dedup, op8_mixing, op10_decontamination
+from . import (
+    op1_jaccard_join,
+    op2_language_id,
+    op3_hamming,
+    op4_tokens,
+    op5_line_dedup,
+    op6_quality,
+    op7_substring_dedup,
+    op8_mixing,
+    op9_pii,
+    op10_decontamination,
+)
 
-MODULES = (op4_tokens, op5_line_dedup, op7_substring_dedup, op8_mixing, op10_decontamination)
+MODULES = (op1_jaccard_join, op2_language_id, op3_hamming, op4_tokens, op5_line_dedup, op6_quality, op7_substring_dedup, op8_mixing, op9_pii, op10_decontamination)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 Each task sends each of its distinct hashes once, marked if the task itself saw it in two places, so a hash that
 fills the corpus moves once per task. Hashes are dealt out by value; each share passes through the two filters, and
-what the second filter holds is suspected. False positives only add suspects; no repeat is lost.
+what the second filter holds is suspected. The few suspects of a share are then counted exactly. No repeat is lost.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import mix, stored
 
-#: Bits of a filter per hash, with two bits set for each.
-BITS = 12
+#: Bits of a filter per hash and bits set for each: in the shares, and in the filter that is broadcast.
+BITS, SET = 12, 2
+SHARP_BITS, SHARP_SET = 24, 4
 #: Largest filter that is broadcast, in bytes; beyond it rows join the suspects with a shuffle.
 BROADCAST_BYTES = 48 << 20
 #: Hashes kept before a task sends what it has.
@@ -25,26 +26,27 @@ HELD = 1 << 20
 
 
 class Bloom:
-    """A Bloom filter over uint64 hashes with two bits for each, set and tested array-wise."""
+    """A Bloom filter over uint64 hashes, set and tested array-wise."""
 
-    def __init__(self, n: int, bits: np.ndarray | None = None):
-        self.size = max(64, 1 << max(0, (n * BITS - 1)).bit_length())
+    def __init__(self, n: int, per_hash: int = BITS, set_bits: int = SET, bits: np.ndarray | None = None):
+        self.size = max(64, 1 << max(0, (n * per_hash - 1)).bit_length())
+        self.set_bits = set_bits
         self.bits = np.zeros(self.size >> 3, np.uint8) if bits is None else bits
 
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, h: np.ndarray) -> list[np.ndarray]:
         m, g = np.uint64(self.size - 1), mix(h)
-        return (g & m).astype(np.int64), ((g >> np.uint64(32)) * np.uint64(2654435761) & m).astype(np.int64)
+        step = (g >> np.uint64(32)) * np.uint64(2654435761) | np.uint64(1)
+        return [(g + np.uint64(i) * step & m).astype(np.int64) for i in range(self.set_bits)]
 
     def add(self, h: np.ndarray) -> None:
         for p in self.places(h):
             np.bitwise_or.at(self.bits, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
 
-    def __contains__(self, h: int) -> bool:
-        return bool(self.has(np.array([h], np.uint64))[0])
-
     def has(self, h: np.ndarray) -> np.ndarray:
-        a, b = self.places(h)
-        return ((self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7)) & 1).astype(bool)
+        yes = np.ones(len(h), bool)
+        for p in self.places(h):
+            yes &= (self.bits[p >> 3] >> (p & 7) & 1).astype(bool)
+        return yes
 
 
 _SENT = pa.schema([("share", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
@@ -68,7 +70,10 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once.add(a[~seen])
         twice.add(b)
         once.add(b)
-    out = np.unique(np.concatenate([x[twice.has(x)] for pair in rows for x in pair] or [np.zeros(0, np.uint64)]))
+    none = np.zeros(0, np.uint64)
+    # What only a false positive made suspect is counted out here, among the few suspects.
+    kept, seen = np.unique(np.concatenate([a[twice.has(a)] for a, _ in rows] + [b for _, b in rows] or [none]), return_counts=True)
+    out = kept[(seen > 1) | np.isin(kept, np.concatenate([b for _, b in rows] or [none]), assume_unique=False)]
     for i in range(0, len(out), 1 << 17):
         yield pa.RecordBatch.from_arrays([pa.array(out[i : i + (1 << 17)].view(np.int64))], ["h"])
 
@@ -101,7 +106,7 @@ class Suspects:
 
     def __init__(self, found: DataFrame, limit_bytes: int = BROADCAST_BYTES):
         self.found, self.count = found, found.count()
-        size = Bloom(self.count).size
+        size = Bloom(self.count, SHARP_BITS, SHARP_SET, np.zeros(0, np.uint8)).size
         self.filter = None
         if size >> 3 <= limit_bytes:
             self.filter = found.sparkSession.sparkContext.broadcast((self.count, self._packed(size)))
@@ -113,7 +118,7 @@ class Suspects:
 
         def places(batches):
             for b in batches:
-                p = np.unique(np.concatenate(Bloom(n, np.zeros(0, np.uint8)).places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+                p = np.unique(np.concatenate(Bloom(n, SHARP_BITS, SHARP_SET, np.zeros(0, np.uint8)).places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
                 edges = np.searchsorted(p, np.arange(parts + 1) * width)
                 some = np.flatnonzero(np.diff(edges))
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([(p[edges[i] : edges[i + 1]] - i * width).astype(np.int32).tobytes() for i in some], pa.binary())], ["part", "places"])
@@ -142,7 +147,8 @@ class Suspects:
 
         def has(h: np.ndarray) -> np.ndarray:
             if not made:
-                made.append(Bloom(*held.value))
+                n, bits = held.value
+                made.append(Bloom(n, SHARP_BITS, SHARP_SET, bits))
             return made[0].has(h)
 
         return has
