@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +66,18 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done with: it does so when the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def within(df: DataFrame, bytes_each, limit: int) -> DataFrame:
+    """df with a broadcast hint if the sum of an estimate of its rows' bytes is within the limit, else as it is."""
+    total = df.agg(F.coalesce(F.sum(bytes_each), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if total <= limit else df
+
+
 # --- vectorised scanning of UTF-8 texts -------------------------------------------------------
 
 _NON_SPACE = np.ones(256, bool)

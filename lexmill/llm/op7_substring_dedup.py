@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_broadcast, slices, stored, table, window_hashes
+from .common import Words, maybe_broadcast, slices, stored, sweep, table, within, window_hashes
 from .fm_index import FMIndex, matching_statistics
 from .repeats import Suspects, expected_bytes, repeated
 
@@ -29,8 +29,8 @@ LONGEST = 48
 #: Segments in a shard, about, and segments of one minimizer from which it is split.
 SHARD = 12_000
 HOT = 4_000
-#: Removed windows (rows) that may be broadcast; beyond it texts are shuffled to them.
-BROADCAST_ROWS = 300_000
+#: Bytes of removed windows that may be broadcast; beyond it texts are shuffled to them.
+BROADCAST_BYTES = 8 << 20
 
 
 def _minimizers(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +111,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
     cand = stored(suspects.narrow(docs.mapInArrow(segments, schema), "m"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")
     once = stored(cand.groupBy("m", "k").agg(F.min(order).alias("d"), F.max("seg").alias("seg")).select("m", "k", F.col("d.doc_id").alias("d"), "seg"))
+    sweep(docs.sparkSession)
     many = stored(once.groupBy("m").count().where(F.col("count") > hot).select("m"))
     n_many = many.count()
     if n_many:  # these minimizers' windows travel alone, dealt out by their words
@@ -154,13 +155,16 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
         which = np.repeat(np.arange(len(segs)), windows)
         begin = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
         index = FMIndex(text, k)
-        length, low, high = matching_statistics(index, text, begin + k - 1, k)
-        assert (length == k).all()  # every window lies in the index itself
-        by_suffix = rank[owner[index.order]]
-        spots, where = np.unique(low, return_inverse=True)
-        ends = np.zeros(len(spots), np.int64)
-        ends[where] = high
-        least = np.minimum.reduceat(np.append(by_suffix, rank.max() + 1), np.column_stack([spots, ends]).ravel())[::2][where]
+        # A match that only the window itself has ends the search; what reaches k words stands elsewhere too.
+        length, low, high = matching_statistics(index, text, begin + k - 1, k, own=2)
+        least = rank[which]
+        twice = np.flatnonzero(length == k)
+        if len(twice):
+            by_suffix = rank[owner[index.order]]
+            spots, where = np.unique(low[twice], return_inverse=True)
+            ends = np.zeros(len(spots), np.int64)
+            ends[where] = high[twice]
+            least[twice] = np.minimum.reduceat(np.append(by_suffix, len(values)), np.column_stack([spots, ends]).ravel())[::2][where]
         mins = [values[x] for x in least]
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(windows)), pa.int32()), pa.array(mins, _KINDS[kind]))
         return pa.table({"m": group.column("m"), "k": group.column("k"), "mins": lists})
@@ -172,7 +176,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
     return hit.select("_row", "start", gone.alias("gone")).where(F.col("gone") != 0)
 
 
-def remove_repeated_windows(docs: DataFrame, k: int = 13, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, k: int = 13, broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, text (kept words joined by one blank), n_words, n_removed, spans.
 
     A word goes if a window of k words over it also starts in a row with a smaller doc_id, as the texts are before
@@ -184,7 +188,8 @@ def remove_repeated_windows(docs: DataFrame, k: int = 13, broadcast_rows: int =
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
     hits = repeated_windows(docs, k, **options).groupBy(F.col("_row").alias("_r")).agg(F.collect_set(F.struct("start", "gone")).alias("gone"))
     hits = stored(hits)
-    joined = docs.join(maybe_broadcast(hits, hits.count(), broadcast_rows), F.col("_row") == F.col("_r"), "left").select("doc_id", "text", "gone")
+    sweep(docs.sparkSession)
+    joined = docs.join(within(hits, 64 + 48 * F.size("gone"), broadcast_bytes), F.col("_row") == F.col("_r"), "left").select("doc_id", "text", "gone")
 
     def cut(batches):
         for b in batches:
