@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_broadcast, mix, slices, stored, table, window_hashes
+from .common import Words, maybe_broadcast, mix, slices, stored, sweep, table, window_hashes
 from .components import components
 from .repeats import Suspects, expected_bytes, repeated
 
-#: Classes of sets up to this size use single shingles as signatures.
-SMALL = 64
+#: Classes of sets up to this size use runs of shingles in hash order as signatures.
+SMALL = 96
+#: Counts in the histogram that rules out pairs before their sets are read.
+CELLS = 32
 #: Rounds with a new pivot before the pairs that are left are joined one by one.
 ROUNDS = 3
 
@@ -51,8 +53,9 @@ class Signatures:
         """Signatures of a sorted set of uint64. Two linked sets of different shingles share one.
 
         A set emits in its own size class and, if a linked set may be in the next, there too. In a class whose
-        sets differ in at most D shingles, the D + 1 smallest shingles of both have one in common (small sets);
-        else of the hash buckets that are not empty, more than D by far (fewer has a chance below 1e-17), one is
+        sets differ in at most D shingles, small sets share a run of g shingles that follow each other in hash
+        order, within the g * (D + 1) smallest: of D + 1 such runs in the union, one has no difference. For larger
+        sets, of the hash buckets that are not empty, more than D by far (fewer has a chance below 1e-17), one is
         the same in both.
         """
         n = len(u)
@@ -67,7 +70,12 @@ class Signatures:
                 continue  # linked sets are equal here, and equal sets are one class
             salt = np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))
             if upper <= SMALL:
-                out.append(mix(u[: d + 1] + salt))
+                least = -(-self.percent * int(self.begins[k]) // 100)
+                g = max(1, least // (d + 1))
+                head, run = u[: g * (d + 1)], np.full(max(0, min(n, g * (d + 1)) - g + 1), salt)
+                for j in range(g):
+                    run = mix(run ^ head[j : j + len(run)])
+                out.append(run)
                 continue
             buckets = d + 1 + (d + 1) // 32 + 16
             at = (u >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -148,22 +156,35 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), _lists(sigs), _lists(kept)], ["doc_id", "x", "n", "sigs", "u"])
 
     rows = stored(docs.mapInArrow(scan, f"doc_id {kind}, x binary, n long, sigs array<long>, u array<long>"))
+    sweep(docs.sparkSession)
     member = stored(suspects.narrow(rows.where("sigs is not null").select("x", F.explode("sigs").alias("h")), "h").distinct())
-    shingles = rows.where("u is not null").groupBy("x").agg(F.any_value("u").alias("u"), F.any_value("n").alias("n"))
-    shingles = stored(shingles.join(member.select("x").distinct(), "x", "left_semi"))
+    # The first pivots: in each region the smallest set by key, so regions of one group of copies mostly agree on it.
+    pivots = member.groupBy("h").agg(F.min("x").alias("p"), F.max("x").alias("_q")).where(F.col("p") != F.col("_q")).select("h", "p")
+    member = stored(member.join(pivots, "h"))
+    inside = stored(member.select("x").distinct())
+    shingles = rows.where("u is not null").select("x", "u", "n").join(maybe_broadcast(inside, inside.count(), 100_000), "x", "left_semi")
+    counts = lambda u: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.size(F.filter(u, lambda s: F.shiftrightunsigned(s, 59) == i)).cast("short"))
+    shingles = stored(shingles.groupBy("x").agg(F.any_value("u").alias("u"), F.any_value("n").alias("n")))
+    shapes = stored(shingles.select("x", "n", counts(F.col("u")).alias("c")))
     radius = 1 - percent / 100
+    sweep(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs(p, x) with their distance d and whether they link."""
-        a = shingles.select(F.col("x").alias("p"), F.col("u").alias("_pu"), F.col("n").alias("_pn"))
-        both = pairs.join(a, "p").join(shingles.select("x", F.col("u").alias("_xu"), F.col("n").alias("_xn")), "x")
+        both = pairs.join(shingles.select(F.col("x").alias("p"), F.col("u").alias("_pu"), F.col("n").alias("_pn")), "p")
+        both = both.join(shingles.select("x", F.col("u").alias("_xu"), F.col("n").alias("_xn")), "x")
         both = both.withColumn("_i", F.size(F.array_intersect("_pu", "_xu")).cast("long"))
         union = F.col("_pn") + F.col("_xn") - F.col("_i")
-        return stored(both.select("p", "x", (1 - F.col("_i") / union).alias("d"), (F.lit(100) * F.col("_i") >= F.lit(percent) * union).alias("link")))
+        out = stored(both.select("p", "x", (1 - F.col("_i") / union).alias("d"), (F.lit(100) * F.col("_i") >= F.lit(percent) * union).alias("link")))
+        sweep(docs.sparkSession)
+        return out
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """pairs(p, x) less those that can't link: sets differ at least where counts of shingles by hash differ."""
+        both = pairs.join(shapes.select(F.col("x").alias("p"), F.col("n").alias("_pn"), F.col("c").alias("_pc")), "p").join(shapes.select("x", "n", "c"), "x")
+        apart = F.aggregate(F.zip_with("_pc", "c", lambda a, b: F.abs(a - b).cast("int")), F.lit(0), lambda a, b: a + b)
+        return both.where(apart * F.lit(100 + percent) <= (F.col("_pn") + F.col("n")) * F.lit(100 - percent)).select("p", "x")
 
-    # The first pivots: in each region the smallest set by key, so regions of one group of copies mostly agree on it.
-    pivots = member.groupBy("h").agg(F.min("x").alias("p"), F.max("x").alias("_q")).where(F.col("p") != F.col("_q")).select("h", "p")
-    member = stored(member.join(pivots, "h"))
     near = verified(member.where(F.col("x") != F.col("p")).select("p", "x").distinct())
     known = near
     found = components(near.where("link").select(F.col("p").alias("u"), F.col("x").alias("v")))
@@ -191,8 +212,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
         # Another pivot: of the component with most members here, the member with the smallest hash with the region.
         per = open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("_n"), F.min_by("x", F.xxhash64("h", "x")).alias("p"))
         best = per.groupBy("h").agg(F.max_by(F.struct("comp", "p"), F.struct("_n", "p")).alias("_b")).select("h", F.col("_b.comp").alias("_c"), F.col("_b.p").alias("p"))
-        new = verified(fresh_pairs(open_.join(best, "h").where(F.col("comp") != F.col("_c")).select("p", "x").distinct()))
+        new = verified(plausible(fresh_pairs(open_.join(best, "h").where(F.col("comp") != F.col("_c")).select("p", "x").distinct())))
         known = known.unionByName(new)
+        if new.where("link").isEmpty():
+            break  # the same pivots would be taken again
         found = joined(new)
     if rounds == 0 or not open_.isEmpty():
         left = split_regions(open_.select("h", "x", "d"))
@@ -201,9 +224,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
         a = left.select("h", "cell", F.col("x").alias("p"), F.col("d").alias("_da"), F.col("comp").alias("_ca"))
         b = left.select("h", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), "x", F.col("d").alias("_db"), F.col("comp").alias("_cb"))
         pairs = a.join(b, ["h", "cell"]).where((F.col("_ca") != F.col("_cb")) & (F.col("p") < F.col("x")) & (F.abs(F.col("_da") - F.col("_db")) <= radius + 1e-9)).select("p", "x").distinct()
-        new = verified(fresh_pairs(pairs))
+        new = verified(plausible(fresh_pairs(pairs)))
         known = known.unionByName(new)
-        found = joined(new)
+        if not new.where("link").isEmpty():
+            found = joined(new)
 
     links = known.where("link").select(F.explode(F.array("p", "x")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"))
     classes = rows.where("x is not null").groupBy("x").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_same"))
