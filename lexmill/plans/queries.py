@@ -209,7 +209,7 @@ query(f"WITH {S.fused(20)}\n{S.show('hybrid')}", "hybrid_rrf")(_ranking(replace(
 def top_chunks_in_document(spark, d):
     corpus, questions = Corpus(corpus_documents(spark, d)), benchmark_questions(spark, d)
     p = replace(WINDOWS, name="hybrid_rrf")
-    return rounded(rerank.top_chunks(retrieve(corpus, questions, p, 20), questions, corpus.chunks(p), 3), "score")
+    return rounded(rerank.top_chunks(retrieve(corpus, questions, p, 20).persist(), questions, corpus.chunks(p), 3), "score")
 
 
 for _mode in ("ce_only", "linear", "rrf"):

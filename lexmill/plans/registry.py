@@ -129,8 +129,9 @@ def retrieve(corpus: Corpus, questions: DataFrame, p: Params, k: int | None = No
         pooled, pads = ranking.pool(scores, counts, p.chunk_score_aggregation, p.chunk_score_top_k)
         return ranking.dense_topk(pooled, questions, pads, k)
     if p.name == "hybrid_rrf":
-        return ranking.reciprocal_rank_fusion([retrieve(corpus, questions, replace(p, name=n), k) for n in p.hybrid_retrievers], k, p.rrf_k)
-    first = retrieve(corpus, questions, replace(p, name=p.first_stage), p.rerank.rerank_top_k)
+        parts = [retrieve(corpus, questions, replace(p, name=n), k) for n in p.hybrid_retrievers]
+        return ranking.reciprocal_rank_fusion(parts, k, p.rrf_k)
+    first = retrieve(corpus, questions, replace(p, name=p.first_stage), p.rerank.rerank_top_k).persist()  # read by four joins
     return rerank.rerank(first, questions, corpus.chunks(p), k, p.rerank)
 
 
