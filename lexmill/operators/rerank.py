@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexmill.functions import text as T
 
@@ -25,9 +26,9 @@ def top_chunks(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, l
     are scored together. Passages without tokens count as one empty word.
     """
     near = chunks.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_no", make(F.col("chunk_text")).alias("tokens"))
-    near = near.withColumn("_empty", F.size("tokens") == 0).withColumn("tokens", F.when(F.col("_empty"), F.array(F.lit(EMPTY))).otherwise(F.col("tokens")))
+    near = near.withColumn("_empty", F.size("tokens") == 0).withColumn("tokens", F.when(F.col("_empty"), F.array(F.lit(EMPTY))).otherwise(F.col("tokens"))).persist()  # tokens of the candidates' passages, read by four joins
     per_doc = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"), F.min(F.col("_empty").cast("int")).alias("_all_empty"))
-    postings = near.select("doc_id", "chunk_no", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "chunk_no", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = near.select("doc_id", "chunk_no", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "chunk_no", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
     df = postings.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(per_doc.select("doc_id", "n"), "doc_id").withColumn("_i", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = idf.groupBy("doc_id").agg(F.avg("_i").alias("_mean"))
@@ -53,7 +54,7 @@ def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]
     """A pair scorer from a model: `load` runs once in each Python worker and returns a function of questions and passages."""
 
     def scorer(pairs: DataFrame) -> DataFrame:
-        schema = pairs.schema.add("ce", "double")
+        schema = StructType([*pairs.schema.fields, StructField("ce", DoubleType())])
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             score = load()
