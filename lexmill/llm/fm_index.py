@@ -31,7 +31,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search for patterns of up to `depth` symbols in a text of symbols 0..size-1.
+    """Backward search for patterns of up to `depth` symbols in a text of symbols 0..size-1 whose last symbol is in no pattern.
 
     Suffixes are ordered by their first `depth` symbols only, which is all that patterns so short can tell apart.
     """

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_broadcast, slices, stored, sweep, table, within, window_hashes
+from .common import Words, discard, maybe_broadcast, slices, stored, sweep, table, within, window_hashes
 from .fm_index import FMIndex, matching_statistics
 from .repeats import Suspects, expected_bytes, repeated
 
@@ -72,7 +72,7 @@ _KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = None, hot: int = HOT) -> DataFrame:
-    """Windows of k words that also start in a row with a smaller doc_id: (_row, start word, gone), where bit i of gone stands for the window at start + i.
+    """Windows of k words that also start in a row with a smaller doc_id, stored by row: (_r, gone), gone having (start word, bits), where bit i stands for the window at start + i.
 
     docs has doc_id, text and _row, a key of the two. A null doc_id is larger than all others.
     """
@@ -114,6 +114,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
     sweep(docs.sparkSession)
     many = stored(once.groupBy("m").count().where(F.col("count") > hot).select("m"))
     n_many = many.count()
+    temporary = [cand, once]
     if n_many:  # these minimizers' windows travel alone, dealt out by their words
 
         def split(batches):
@@ -131,6 +132,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
 
         heavy = maybe_broadcast(many, n_many)
         alone = stored(cand.join(heavy, "m", "left_semi").select(cand.columns).mapInArrow(split, schema))
+        temporary.append(alone)
         cand = cand.join(heavy, "m", "left_anti").select(cand.columns).unionByName(alone)
         single = alone.groupBy("m", "k").agg(F.min(order).alias("d"), F.max("seg").alias("seg")).select("m", "k", F.col("d.doc_id").alias("d"), "seg")
         once = once.join(heavy, "m", "left_anti").select(once.columns).unionByName(single)
@@ -173,10 +175,14 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
     hit = cand.select("_row", "doc_id", "start", "m", "k").join(found, ["m", "k"])
     smaller = lambda x: F.coalesce(x < F.col("doc_id"), x.isNotNull() & F.col("doc_id").isNull())
     gone = F.aggregate(F.transform("mins", lambda x, i: F.when(smaller(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    return hit.select("_row", "start", gone.alias("gone")).where(F.col("gone") != 0)
+    hit = hit.select(F.col("_row").alias("_r"), "start", gone.alias("gone")).where(F.col("gone") != 0)
+    out = stored(hit.groupBy("_r").agg(F.collect_set(F.struct("start", "gone")).alias("gone")))
+    discard(*temporary, many, suspects.found)
+    sweep(docs.sparkSession)
+    return out
 
 
-def remove_repeated_windows(docs: DataFrame, k: int = 13, broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, k: int = 13, broadcast_bytes: int = BROADCAST_BYTES, key_rows: int = 500_000, **options) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, text (kept words joined by one blank), n_words, n_removed, spans.
 
     A word goes if a window of k words over it also starts in a row with a smaller doc_id, as the texts are before
@@ -186,10 +192,15 @@ def remove_repeated_windows(docs: DataFrame, k: int = 13, broadcast_bytes: int =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
-    hits = repeated_windows(docs, k, **options).groupBy(F.col("_row").alias("_r")).agg(F.collect_set(F.struct("start", "gone")).alias("gone"))
-    hits = stored(hits)
-    sweep(docs.sparkSession)
-    joined = docs.join(within(hits, 64 + 48 * F.size("gone"), broadcast_bytes), F.col("_row") == F.col("_r"), "left").select("doc_id", "text", "gone")
+    hits = repeated_windows(docs, k, **options)
+    rows, keys = within(hits, 64 + 48 * F.size("gone"), broadcast_bytes), hits.select("_r")
+    n_keys = hits.count()
+    if n_keys <= key_rows:  # only texts that lose something move to their windows
+        keys, same = F.broadcast(keys), F.col("_row") == F.col("_r")
+        untouched = docs.join(keys, same, "left_anti").select("doc_id", "text", F.lit(None).cast(hits.schema["gone"].dataType).alias("gone"))
+        joined = docs.join(keys, same, "left_semi").join(rows, same).select("doc_id", "text", "gone").unionByName(untouched)
+    else:
+        joined = docs.join(rows, F.col("_row") == F.col("_r"), "left").select("doc_id", "text", "gone")
 
     def cut(batches):
         for b in batches:
