@@ -144,7 +144,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
     def scan(batches):
         seen: set = set()
         for b in batches:
-            keys, counts, sigs, kept = [], [], [], []
+            keys, counts, sigs, cells, kept = [], [], [], [], []
             for u, key, fresh in new_sets(seen, b.column(1)):
                 keys.append(key)
                 counts.append(len(u))
@@ -152,49 +152,60 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
                 found = None if found is None else found[test(found)]
                 hit = found is not None and len(found)
                 sigs.append(found if hit else None)
+                cells.append(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=CELLS).astype(np.int32) if hit else None)
                 kept.append(u if hit else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), _lists(sigs), _lists(kept)], ["doc_id", "x", "n", "sigs", "u"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), _lists(sigs), pa.array(cells, pa.list_(pa.int32())), _lists(kept)], ["doc_id", "x", "n", "sigs", "c", "u"])
 
-    rows = stored(docs.mapInArrow(scan, f"doc_id {kind}, x binary, n long, sigs array<long>, u array<long>"))
+    rows = stored(docs.mapInArrow(scan, f"doc_id {kind}, x binary, n long, sigs array<long>, c array<int>, u array<long>"))
     sweep(docs.sparkSession)
     member = stored(suspects.narrow(rows.where("sigs is not null").select("x", F.explode("sigs").alias("h")), "h").distinct())
-    # The first pivots: in each region the smallest set by key, so regions of one group of copies mostly agree on it.
-    pivots = member.groupBy("h").agg(F.min("x").alias("p"), F.max("x").alias("_q")).where(F.col("p") != F.col("_q")).select("h", "p")
-    member = stored(member.join(pivots, "h"))
+    # The first pivots: in each region the set with most company in all its regions, which in a group of copies is
+    # the text they are made from, if it is there.
+    sizes = member.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    member = stored(member.join(sizes, "h"))
+    company = member.groupBy("x").agg(F.sum("_m").alias("_c"))
+    pivots = member.join(company, "x").groupBy("h").agg(F.max_by("x", F.struct("_c", "x")).alias("p"))
+    member = stored(member.join(pivots, "h").select("h", "x", "p"))
     inside = stored(member.select("x").distinct())
-    shingles = rows.where("u is not null").select("x", "u", "n").join(maybe_broadcast(inside, inside.count(), 100_000), "x", "left_semi")
-    counts = lambda u: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.size(F.filter(u, lambda s: F.shiftrightunsigned(s, 59) == i)).cast("short"))
-    shingles = stored(shingles.groupBy("x").agg(F.any_value("u").alias("u"), F.any_value("n").alias("n")))
-    shapes = stored(shingles.select("x", "n", counts(F.col("u")).alias("c")))
+    shapes = rows.where("c is not null").select("x", "n", "c").join(maybe_broadcast(inside, inside.count(), 100_000), "x", "left_semi")
+    shapes = stored(shapes.groupBy("x").agg(F.any_value("n").alias("n"), F.any_value("c").alias("c")))
     radius = 1 - percent / 100
     sweep(docs.sparkSession)
 
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """pairs(p, x) with the least distance that they can have (sets differ at least where counts of shingles by hash differ) and whether they may link."""
+        both = pairs.join(shapes.select(F.col("x").alias("p"), F.col("n").alias("_pn"), F.col("c").alias("_pc")), "p").join(shapes.select("x", "n", "c"), "x")
+        apart = F.aggregate(F.zip_with("_pc", "c", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+        both = both.withColumn("_l", apart).withColumn("_s", F.col("_pn") + F.col("n"))
+        return both.select("p", "x", (2 * F.col("_l") / (F.col("_s") + F.col("_l"))).alias("least"), (F.col("_l") * F.lit(100 + percent) <= F.col("_s") * F.lit(100 - percent)).alias("may"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs(p, x) with their distance d and whether they link."""
-        both = pairs.join(shingles.select(F.col("x").alias("p"), F.col("u").alias("_pu"), F.col("n").alias("_pn")), "p")
-        both = both.join(shingles.select("x", F.col("u").alias("_xu"), F.col("n").alias("_xn")), "x")
+        """The pairs(p, x) that may link, with their distance d and whether they do. Only their sets are read and moved."""
+        pairs = stored(pairs)
+        ends = stored(pairs.select(F.explode(F.array("p", "x")).alias("x")).distinct())
+        found = rows.where("u is not null").select("x", "u", "n").join(maybe_broadcast(ends, ends.count(), 100_000), "x", "left_semi")
+        found = stored(found.groupBy("x").agg(F.any_value("u").alias("u"), F.any_value("n").alias("n")))
+        both = pairs.join(found.select(F.col("x").alias("p"), F.col("u").alias("_pu"), F.col("n").alias("_pn")), "p")
+        both = both.join(found.select("x", F.col("u").alias("_xu"), F.col("n").alias("_xn")), "x")
         both = both.withColumn("_i", F.size(F.array_intersect("_pu", "_xu")).cast("long"))
         union = F.col("_pn") + F.col("_xn") - F.col("_i")
         out = stored(both.select("p", "x", (1 - F.col("_i") / union).alias("d"), (F.lit(100) * F.col("_i") >= F.lit(percent) * union).alias("link")))
         sweep(docs.sparkSession)
         return out
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """pairs(p, x) less those that can't link: sets differ at least where counts of shingles by hash differ."""
-        both = pairs.join(shapes.select(F.col("x").alias("p"), F.col("n").alias("_pn"), F.col("c").alias("_pc")), "p").join(shapes.select("x", "n", "c"), "x")
-        apart = F.aggregate(F.zip_with("_pc", "c", lambda a, b: F.abs(a - b).cast("int")), F.lit(0), lambda a, b: a + b)
-        return both.where(apart * F.lit(100 + percent) <= (F.col("_pn") + F.col("n")) * F.lit(100 - percent)).select("p", "x")
-
-    near = verified(member.where(F.col("x") != F.col("p")).select("p", "x").distinct())
+    first = stored(bounded(member.where(F.col("x") != F.col("p")).select("p", "x").distinct()))
+    near = verified(first.where("may").select("p", "x"))
     known = near
     found = components(near.where("link").select(F.col("p").alias("u"), F.col("x").alias("v")))
-    region = member.join(near.select("p", "x", "d"), ["p", "x"], "left").select("h", "x", F.coalesce("d", F.lit(0.0)).alias("d"))
+    # Each member lies from lo to hi of its region's pivot: at its distance if that is known, else anywhere beyond its bound.
+    place = first.join(near.select("p", "x", "d"), ["p", "x"], "left").select("p", "x", F.coalesce("d", "least").alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"))
+    region = member.join(place, ["p", "x"], "left").select("h", "x", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
 
     def split_regions(now: DataFrame) -> DataFrame:
-        """Members (h, x, d, comp) of the regions that hold several components."""
+        """Members (h, x, lo, hi, comp) of the regions that hold several components."""
         m = now.join(found, "x", "left").withColumn("comp", F.coalesce("comp", "x"))
         several = m.groupBy("h").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where(F.col("_a") != F.col("_b")).select("h")
-        return stored(m.join(several, "h", "left_semi").select("h", "x", "d", "comp"))
+        return stored(m.join(several, "h", "left_semi").select("h", "x", "lo", "hi", "comp"))
 
     def fresh_pairs(pairs: DataFrame) -> DataFrame:
         both = known.select("p", "x").unionByName(known.select(F.col("x").alias("p"), F.col("p").alias("x")))
@@ -204,27 +215,30 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
         old = found.where(F.col("x") != F.col("comp")).select(F.col("x").alias("u"), F.col("comp").alias("v"))
         return components(old.unionByName(new.where("link").select(F.col("p").alias("u"), F.col("x").alias("v"))))
 
+    def may_link(pairs: DataFrame) -> DataFrame:
+        return bounded(pairs).where("may").select("p", "x")
+
     open_ = region
     for _ in range(rounds):
-        open_ = split_regions(open_.select("h", "x", "d"))
+        open_ = split_regions(open_.select("h", "x", "lo", "hi"))
         if open_.isEmpty():
             break
         # Another pivot: of the component with most members here, the member with the smallest hash with the region.
         per = open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("_n"), F.min_by("x", F.xxhash64("h", "x")).alias("p"))
         best = per.groupBy("h").agg(F.max_by(F.struct("comp", "p"), F.struct("_n", "p")).alias("_b")).select("h", F.col("_b.comp").alias("_c"), F.col("_b.p").alias("p"))
-        new = verified(plausible(fresh_pairs(open_.join(best, "h").where(F.col("comp") != F.col("_c")).select("p", "x").distinct())))
+        new = verified(may_link(fresh_pairs(open_.join(best, "h").where(F.col("comp") != F.col("_c")).select("p", "x").distinct())))
         known = known.unionByName(new)
         if new.where("link").isEmpty():
             break  # the same pivots would be taken again
         found = joined(new)
     if rounds == 0 or not open_.isEmpty():
-        left = split_regions(open_.select("h", "x", "d"))
-        cell = F.floor(F.col("d") / F.lit(radius)).cast("long") if radius > 0 else F.lit(0).cast("long")
-        left = left.withColumn("cell", cell)
-        a = left.select("h", "cell", F.col("x").alias("p"), F.col("d").alias("_da"), F.col("comp").alias("_ca"))
-        b = left.select("h", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), "x", F.col("d").alias("_db"), F.col("comp").alias("_cb"))
-        pairs = a.join(b, ["h", "cell"]).where((F.col("_ca") != F.col("_cb")) & (F.col("p") < F.col("x")) & (F.abs(F.col("_da") - F.col("_db")) <= radius + 1e-9)).select("p", "x").distinct()
-        new = verified(plausible(fresh_pairs(pairs)))
+        left = split_regions(open_.select("h", "x", "lo", "hi"))
+        cell = lambda c: F.floor(F.col(c) / F.lit(max(radius, 1e-9))).cast("long")
+        a = left.select("h", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"), F.col("x").alias("p"), F.col("lo").alias("_al"), F.col("hi").alias("_ah"), F.col("comp").alias("_ca"))
+        b = left.select("h", F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"), "x", F.col("lo").alias("_bl"), F.col("hi").alias("_bh"), F.col("comp").alias("_cb"))
+        apart = F.greatest(F.col("_al") - F.col("_bh"), F.col("_bl") - F.col("_ah"))
+        pairs = a.join(b, ["h", "cell"]).where((F.col("_ca") != F.col("_cb")) & (F.col("p") < F.col("x")) & (apart <= radius + 1e-9)).select("p", "x").distinct()
+        new = verified(may_link(fresh_pairs(pairs)))
         known = known.unionByName(new)
         if not new.where("link").isEmpty():
             found = joined(new)

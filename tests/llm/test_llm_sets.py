@@ -94,9 +94,7 @@ def test_signatures_meet():
             b = np.concatenate([a[take:], pool[n : n + add]])
             x, y = np.sort(a), np.sort(b)
             if len(y) and not np.array_equal(x, y):
-                for share in (0, 3, 10):  # of ten shingles, so many are common
-                    common = np.sort(np.unique(np.concatenate([x, y]))[rng.random(len(np.union1d(x, y))) < share / 10])
-                    assert np.intersect1d(s.of(x, common), s.of(y, common)).size, (n, take, add, share)
+                assert np.intersect1d(s.of(x), s.of(y)).size, (n, take, add)
 
 
 def test_components(spark):
