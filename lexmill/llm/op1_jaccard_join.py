@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_broadcast, mix, slices, stored, sweep, table, window_hashes
+from .common import Words, discard, maybe_broadcast, mix, slices, stored, sweep, table, window_hashes
 from .components import components
 from .repeats import Suspects, expected_bytes, repeated
 
@@ -162,10 +162,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
     # The first pivots: in each region the set with most company in all its regions, which in a group of copies is
     # the text they are made from, if it is there.
     sizes = member.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    member = stored(member.join(sizes, "h"))
+    every, member = member, stored(member.join(sizes, "h"))
+    discard(every)
     company = member.groupBy("x").agg(F.sum("_m").alias("_c"))
     pivots = member.join(company, "x").groupBy("h").agg(F.max_by("x", F.struct("_c", "x")).alias("p"))
-    member = stored(member.join(pivots, "h").select("h", "x", "p"))
+    every, member = member, stored(member.join(pivots, "h").select("h", "x", "p"))
+    discard(every, suspects.found)
     inside = stored(member.select("x").distinct())
     shapes = rows.where("c is not null").select("x", "n", "c").join(maybe_broadcast(inside, inside.count(), 100_000), "x", "left_semi")
     shapes = stored(shapes.groupBy("x").agg(F.any_value("n").alias("n"), F.any_value("c").alias("c")))
