@@ -7,6 +7,7 @@ as its kth verified distance is covered by what the searched radius guarantees.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 from .common import maybe_broadcast, stored, table
 
 BITS = 64
-SEGMENTS = 4
-WIDTH = BITS // SEGMENTS
 
 
 def sign_codes(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -28,12 +27,22 @@ def sign_codes(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn("code", code)
 
 
-def _segment(s: int):
-    return F.shiftrightunsigned("code", WIDTH * s).bitwiseAND((1 << WIDTH) - 1).cast("int")
+def cuts(n_codes: int) -> list[tuple[int, int]]:
+    """Segments (lowest bit, width) of about log2(n) bits, so that a bucket holds about one code."""
+    m = min(16, max(4, round(BITS / math.log2(max(2, n_codes)))))
+    edges = [i * BITS // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
+def _segment(code: str, low: int, width: int):
+    return F.shiftrightunsigned(code, low).bitwiseAND((1 << width) - 1).cast("int")
+
+
+def _flips(number: int, low: int, width: int, radius: int):
+    """(seg, value) of a query's segment with each choice of `radius` bits changed."""
+    masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))
+    value = _segment("_q", low, width)
+    return F.transform(F.split(F.lit(masks), ",").cast("array<int>"), lambda m: F.struct(F.lit(number).alias("seg"), value.bitwiseXOR(m).alias("value")))
 
 
 def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -46,21 +55,23 @@ def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     by_id = Window.partitionBy("code").orderBy("id")
     kept = rows.where(F.col("id").isNotNull() & F.col("code").isNotNull()).select("id", "code").distinct().withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
     codes = stored(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    index = stored(codes.select(F.posexplode(F.array(*[_segment(s) for s in range(SEGMENTS)])).alias("seg", "value"), "code"))
-    active = stored(queries.where(F.col("query_id").isNotNull() & F.col("code").isNotNull()).select("query_id", "code").distinct())
     n_codes = codes.count()
+    segments = cuts(n_codes)
+    index = stored(codes.select(F.posexplode(F.array(*[_segment("code", *s) for s in segments])).alias("seg", "value"), "code"))
+    active = stored(queries.where(F.col("query_id").isNotNull() & F.col("code").isNotNull()).select("query_id", "code").distinct())
     found = done = None
     best = Window.partitionBy("query_id").orderBy("distance", "id")
-    for radius in range(WIDTH + 1):
-        probes = active.select("query_id", F.col("code").alias("_q"), F.posexplode(F.array(*[_segment(s) for s in range(SEGMENTS)])).alias("seg", "_v"))
-        probes = probes.withColumn("value", F.explode(F.transform(F.lit(_masks(radius)), lambda m: F.col("_v").bitwiseXOR(m))))
-        near = probes.join(index, ["seg", "value"]).select("query_id", "code", F.bit_count(F.col("_q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
-        near = near.join(codes, "code").select("query_id", F.explode("ids").alias("id"), "distance").where(F.col("id") != F.col("query_id"))
+    for radius in range(max(w for _, w in segments) + 1):
+        flipped = [_flips(i, low, width, radius) for i, (low, width) in enumerate(segments) if radius <= width]
+        probes = active.select("query_id", F.col("code").alias("_q")).select("query_id", "_q", F.inline(F.concat(*flipped)))
+        # Probes compress well, so their size on disk says little: no side of this join is broadcast.
+        near = probes.join(index.hint("merge"), ["seg", "value"]).select("query_id", "code", F.bit_count(F.col("_q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
+        near = near.join(codes.hint("merge"), "code").select("query_id", F.explode("ids").alias("id"), "distance").where(F.col("id") != F.col("query_id"))
         near = near if found is None else near.unionByName(found.join(maybe_broadcast(active.select("query_id"), active.count()), "query_id", "left_semi").select("query_id", "id", "distance"))
         found = stored(near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-        covered = SEGMENTS * (radius + 1) - 1
+        covered = len(segments) * (radius + 1) - 1
         full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d")).where((F.col("_n") >= k) & (F.col("_d") <= covered))
-        last = radius == WIDTH or (covered >= BITS) or n_codes == 0
+        last = covered >= BITS or n_codes == 0
         left = active.join(full, "query_id", "left_anti") if not last else active.limit(0)
         left = stored(left)
         part = stored(found.join(left.select("query_id"), "query_id", "left_anti"))
