@@ -251,6 +251,47 @@ def test_decontamination(spark):
     assert contamination(table(spark, []), bench).count() == 0 and contamination(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def brute_pairs(rows, items, window=20, share=0.8):
+    """{(doc_id, item_id): (doc_start, n_equal)} of the best alignments of documents and items, all scanned."""
+    words = lambda t: [x.lower() for x in WORD.findall(t or "")]
+    found = {}
+    for d, text in rows:
+        a = words(text)
+        for i, item in items:
+            b = words(item)
+            run = min(window, len(b))
+            for start in range(1 - len(b), len(a)) if b else ():
+                eq = [0 <= start + j < len(a) and a[start + j] == b[j] for j in range(len(b))]
+                n = max(sum(eq[s : s + run]) for s in range(len(b) - run + 1))
+                if n >= share * run:
+                    found[d, i] = max(found.get((d, i), (-1, 0)), (n, -start))
+    return {k: (-start, n) for k, (n, start) in found.items()}
+
+
+def found_pairs(spark, rows, items, **options):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["doc_start"], r["n_equal"]) for r in contamination(table(spark, rows), bench, **options).collect()}
+
+
+def test_decontamination_misses_no_substitutions(spark):
+    rng = random.Random(11)
+    pick = lambda k: [rng.choice([f"w{i}" for i in range(40)]) for _ in range(k)]
+    items = [(i, " ".join(pick(n))) for i, n in enumerate([10, 11, 12, 14, 15, 15, 16, 19, 20, 20, 21, 37, 60])]
+    rows = [(i, " ".join(pick(50))) for i in range(10)]
+    for i, item in items:
+        body = item.split(" ")
+        spoiled = [["zz" if j % 5 == phase else w for j, w in enumerate(body)] for phase in range(5)]
+        run = min(20, len(body))
+        for _ in range(12):
+            off, n = rng.randrange(len(body) - run + 1), rng.choice([run // 5, run // 5, run // 5 + 1])
+            bad = {off + j for j in rng.sample(range(run), n)} | set(range(off)) | set(range(off + run, len(body)))
+            spoiled.append(["zz" if j in bad else w for j, w in enumerate(body)])
+        rows += [(100 * (i + 1) + j, " ".join(pick(rng.randrange(4)) + x[rng.choice([0, 0, 2]):] + pick(rng.randrange(9)))) for j, x in enumerate(spoiled)]
+    for options in ({}, {"window": 12, "share": 0.7}):
+        expected = brute_pairs(rows, items, **options)
+        assert len(expected) > 100 and found_pairs(spark, rows, items, **options) == expected
+
+
 def test_digests_of_queries(spark, tmp_path):
     from lexmill.llm.op5_line_dedup import op5_line_dedup
     from lexmill.llm.op7_substring_dedup import op7_substring_dedup
