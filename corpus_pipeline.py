@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that stand in ten documents or more; n_chars follows the text."""
-    out = dedup_lines(docs, min_docs=10, carry=("lang", "source"))
+    """Every document; a line that stands in ten documents or more stays once, in the one with the smallest doc_id. n_chars follows the text."""
+    out = dedup_lines(docs, min_docs=10, keep="first", carry=("lang", "source"))
     return out.select("doc_id", "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
 
 
