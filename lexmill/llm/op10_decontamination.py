@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, maybe_broadcast, stored, table
 
-#: Shortest item in words.
-SPAN = 10
-
 
 def seed_length(words: int, share: float) -> int:
     """The longest seed that every run of so many words with at least `share` of them equal holds intact."""
@@ -46,10 +43,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 20, share
     doc_start (word where the item's first word would lie, may be negative), n_equal (most equal words in one
     such run), similarity (n_equal over the run's length). A pair has one row, that of its best alignment.
 
-    Every such pair is found. Null and empty texts, and items with fewer than SPAN words, have no pairs. Rows of docs with the
-    same doc_id and text give one row; null ids are ids like any other. Extra columns are ignored.
+    Every such pair is found, of items of one word as well. Null and empty texts have no pairs. Rows of docs with
+    the same doc_id and text give one row; null ids are ids like any other. Extra columns are ignored.
     """
-    items = benchmark.select("item_id", _hashed(_words(F.col("text"))).alias("_b")).where(F.size("_b") >= SPAN)
+    items = benchmark.select("item_id", _hashed(_words(F.col("text"))).alias("_b")).where(F.size("_b") > 0)
     items = stored(items.groupBy("_b").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items")))
     run = F.least(F.size("_b"), F.lit(window))
     length_of = {r[0]: seed_length(r[0], share) for r in items.select(run).distinct().collect()}

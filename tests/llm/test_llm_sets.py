@@ -292,6 +292,17 @@ def test_decontamination_misses_no_substitutions(spark):
         assert len(expected) > 100 and found_pairs(spark, rows, items, **options) == expected
 
 
+def test_decontamination_by_short_items(spark):
+    rng = random.Random(12)
+    pick = lambda k: [rng.choice([f"w{i}" for i in range(9)]) for _ in range(k)]
+    items = [(i, " ".join(pick(i % 9 + 1))) for i in range(18)] + [(20, ""), (21, None), (22, " \n"), (23, "Lone")]
+    rows = [(i, " ".join(pick(rng.randrange(12)))) for i in range(60)] + [(100 + i, f"x {t} y".upper()) for i, t in items if t] + [(200, None), (201, "lone " * 50)]
+    expected = brute_pairs(rows, items)
+    got = found_pairs(spark, rows, items)
+    same = {i: min(j for j, t in items if (t or "").split() == (x or "").split()) for i, x in items}
+    assert len(expected) > 50 and got == {(d, i): x for (d, i), x in expected.items() if same[i] == i}
+
+
 def test_digests_of_queries(spark, tmp_path):
     from lexmill.llm.op5_line_dedup import op5_line_dedup
     from lexmill.llm.op7_substring_dedup import op7_substring_dedup
