@@ -1,87 +1,46 @@
 """Operator 1: n-gram Jaccard join as a metric-space join with pivots, exact.
 
-Jaccard distance is a metric, but unrelated texts are all at distance 1, so pivots alone tell nothing about most of a
-corpus. Regions therefore come from signatures that a linked pair must share: with at most D different shingles
-between two sets, one of more than D hash buckets holds the same shingles in both. A region is the sets that share a
-signature; its pivot is one of them, and the distance of each member to it is computed.
-
-- Within the radius of a link the member joins the pivot's component; no pair among such members is needed.
-- Regions that still hold several components recurse with another pivot, taken from the largest component.
-- What is left is joined pair by pair inside its region, in windows of the distance to the pivot: by the triangle
-  inequality linked sets differ there by at most the radius, so each is replicated to the next windows only.
+A set links only with sets that hold at least `percent` of its shingles, so first each set learns which of its
+shingles stand in other sets at all, and how often: shingles are counted by shares of their hashes, and the answers
+go back to the sets. A set with too few such shingles (its support) is at more than a link's radius from every other
+one and is done. The others are ordered from their rarest shingle to the commonest.
+
+- Regions: each set lies in the regions of its rarest shingles, as many as a linked set could lack and one more; so
+  linked sets meet in a region. What stands after a shingle in the order bounds the shingles that both can hold.
+- Pivots: in each region the best supported set. Every member that the bound allows gets its distance to the pivot;
+  within the radius it is in the pivot's Voronoi cell, and cells that share a set grow together as components.
+- Recursion: the members outside of their pivot's component choose pivots of their own among them.
+- Windows: members of different components that are left join inside their region and in windows of size (the
+  distance to the empty set, by the triangle inequality), where boundary sets are replicated to all windows that they
+  reach, and only if their distances to the region's pivot differ by the radius at most.
 
 Texts with equal sets collapse into one class first. Pairs within one component are never verified.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, maybe_broadcast, mix, slices, stored, sweep, table, window_hashes
+from .common import Words, discard, maybe_broadcast, slices, stored, sweep, table, window_hashes
 from .components import components
-from .repeats import Suspects, expected_bytes, repeated
-
-#: Classes of sets up to this size use runs of shingles in hash order as signatures.
-SMALL = 96
-#: Counts in the histogram that rules out pairs before their sets are read.
-CELLS = 32
-#: Rounds with a new pivot before the pairs that are left are joined one by one.
-ROUNDS = 3
-
-
-class Signatures:
-    """The signatures of shingle sets for links with 100 * intersection >= percent * union, percent of 67 or more."""
-
-    def __init__(self, percent: int = 85):
-        if not 67 <= percent <= 100:
-            raise ValueError("percent must be within 67 and 100")
-        self.percent = percent
-        begins = [2]
-        while begins[-1] < 1 << 40:
-            begins.append(max(begins[-1] + 1, begins[-1] * 3 // 2))
-        self.begins = np.array(begins)
-
-    def differing(self, size: int) -> int:
-        """The most shingles in which two linked sets of up to `size` differ."""
-        return 2 * size * (100 - self.percent) // (100 + self.percent)
-
-    def of(self, u: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set of uint64. Two linked sets of different shingles share one.
-
-        A set emits in its own size class and, if a linked set may be in the next, there too. In a class whose
-        sets differ in at most D shingles, small sets share a run of g shingles that follow each other in hash
-        order, within the g * (D + 1) smallest: of D + 1 such runs in the union, one has no difference. For larger
-        sets, of the hash buckets that are not empty, more than D by far (fewer has a chance below 1e-17), one is
-        the same in both.
-        """
-        n = len(u)
-        c = int(np.searchsorted(self.begins, n, side="right")) - 1
-        out = []
-        for k in (c, c + 1) if 100 * n >= self.percent * self.begins[c + 1] else (c,):
-            if k < 0:
-                continue
-            upper = int(self.begins[k + 1]) - 1
-            d = self.differing(upper)
-            if d == 0:
-                continue  # linked sets are equal here, and equal sets are one class
-            salt = np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))
-            if upper <= SMALL:
-                least = -(-self.percent * int(self.begins[k]) // 100)
-                g = max(1, least // (d + 1))
-                head, run = u[: g * (d + 1)], np.full(max(0, min(n, g * (d + 1)) - g + 1), salt)
-                for j in range(g):
-                    run = mix(run ^ head[j : j + len(run)])
-                out.append(run)
-                continue
-            buckets = d + 1 + (d + 1) // 32 + 16
-            at = (u >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            out.append(mix(np.add.reduceat(mix(u), begin) + mix(at[begin] + salt)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+#: Rounds with new pivots before the pairs that are left are joined in windows.
+ROUNDS = 2
+#: Shingles that a task sends at once, and shingles in a share, about.
+HELD = 1 << 20
+SHARE = 1 << 21
+#: Sets of one task's block that hold a shingle from which it counts as common, and is no longer sent for each set.
+COMMON = 8
+#: Sets with the most copies, of which one copy only is sent: so many at most, of so many copies at least.
+COPIED, COPIES = 1_000_000, 64
+#: Width of the windows of size.
+STEP = 1.02
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -99,16 +58,190 @@ def shingle_sets(column: pa.Array, k: int):
                 yield np.zeros(0, np.uint64)
 
 
-def _lists(arrays: list) -> pa.Array:
-    """Lists of int64 from arrays of uint64; None is null."""
-    sizes = [0 if a is None else len(a) for a in arrays]
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    values = np.concatenate([a for a in arrays if a is not None] or [np.zeros(0, np.uint64)]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([a is None for a in arrays], pa.bool_()))
+def _key(u: np.ndarray) -> int:
+    """The 64-bit name of a set, as a signed number."""
+    return xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63)
+
+
+def _share(h: np.ndarray, shares: int) -> np.ndarray:
+    return ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)).astype(np.uint16)
+
+
+def _cut(a: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of a[edges[i]:edges[i + 1]] for each i."""
+    offsets = (edges * a.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(a).tobytes())])
+
+
+def _joined(column: pa.Array, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind)] + [np.frombuffer(x, kind) for x in column.to_pylist() if x])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before in some column."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+#: Messages: the sets and shingles of a share. kind 0: shingles to be counted, 1: shingles that are common (no sets),
+#: 2: shingles of sets that are common, dealt by set. counts: shingles of each set.
+_ASK = "share int, kind int, xs binary, counts binary, vs binary"
+#: Messages by the sets' shares: pairs of set and shingle, with the level of the shingle's frequency; or sets and sizes.
+_TELL = "share int, xs binary, vs binary, levels binary, ns binary"
+
+
+def _ask(block: list[tuple[int, np.ndarray]], shares: int, common: int):
+    """The messages of a block of different sets (key, sorted shingles)."""
+    xs = np.array([x for x, _ in block], np.int64)
+    v = np.concatenate([u for _, u in block])
+    x = np.repeat(np.arange(len(block)), [len(u) for _, u in block])
+    s = np.sort(v)
+    first = _starts(s)
+    often = s[first][np.diff(np.append(first, len(s))) >= common]
+    is_common = np.isin(v, often)
+    for kind, vs, owner, share in ((0, v[~is_common], x[~is_common], None), (1, often, None, None), (2, v[is_common], x[is_common], xs)):
+        if not len(vs):
+            continue
+        share = _share(vs, shares) if share is None else _share(share[owner] + np.int64(-(1 << 63)), shares)
+        order = np.argsort(share, kind="stable")
+        vs, share = vs[order], share[order]
+        at = _starts(share)
+        edges = np.append(at, len(vs))
+        none = np.zeros(len(edges), np.int64)
+        if owner is None:
+            owners, counts, cut = np.zeros(0, np.int64), np.zeros(0, np.uint32), none
+        else:
+            owner = owner[order]
+            begin = _starts(share, owner)
+            owners, counts, cut = xs[owner[begin]], np.diff(np.append(begin, len(vs))).astype(np.uint32), np.searchsorted(begin, edges)
+        yield pa.RecordBatch.from_arrays([pa.array(share[at], pa.int32()), pa.array(np.full(len(at), kind), pa.int32()), _cut(owners, cut), _cut(counts, cut), _cut(vs, edges)], ["share", "kind", "xs", "counts", "vs"])
+
+
+def _tell(x: np.ndarray, v: np.ndarray, level: np.ndarray, shares: int):
+    share = _share(x + np.int64(-(1 << 63)), shares)
+    order = np.argsort(share, kind="stable")
+    at = _starts(share[order]) if len(x) else np.zeros(0, np.int64)
+    edges = np.append(at, len(x))
+    return pa.RecordBatch.from_arrays([pa.array(share[order][at], pa.int32()), _cut(x[order], edges), _cut(v[order], edges), _cut(level[order], edges), pa.nulls(len(at), pa.binary())], ["share", "xs", "vs", "levels", "ns"])
+
+
+def _answers(batches, shares: int):
+    """Of shares of shingles, the pairs of set and shingle whose shingle stands in several sets."""
+    asked, marks, passed = [], [np.zeros(0, np.uint64)], []
+    for b in batches:
+        for kind, xs, counts, vs in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
+            vs = np.frombuffer(vs, np.uint64)
+            if kind == 1:
+                marks.append(vs)
+            else:
+                (asked if kind == 0 else passed).append((np.repeat(np.frombuffer(xs, np.int64), np.frombuffer(counts, np.uint32)), vs))
+    for found in (asked, passed):
+        if not found:
+            continue
+        x, v = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        if found is asked:
+            order = np.argsort(v)
+            x, v = x[order], v[order]
+            twice = np.isin(v, np.unique(np.concatenate(marks)))
+            twice[1:] |= v[1:] == v[:-1]
+            twice[:-1] |= v[1:] == v[:-1]
+            x, v = x[twice], v[twice]
+        order = np.lexsort((x, v))
+        x, v = x[order], v[order]
+        one = _starts(v, x)  # a set that several tasks sent counts once
+        x, v = x[one], v[one]
+        if found is asked:
+            first = _starts(v) if len(v) else np.zeros(0, np.int64)
+            sets = np.diff(np.append(first, len(v)))
+            level = np.where(np.isin(v[first], np.concatenate(marks)), 255, np.minimum(254, 8 * np.log2(np.maximum(sets, 1)))).astype(np.uint8)
+            several = np.repeat((sets > 1) | (level == 255), sets)
+            x, v, level = x[several], v[several], np.repeat(level, sets)[several]
+        else:
+            level = np.full(len(v), 255, np.uint8)
+        for i in range(0, len(x), 1 << 20):
+            yield _tell(x[i : i + (1 << 20)], v[i : i + (1 << 20)], level[i : i + (1 << 20)], shares)
+
+
+def _supported(batches, percent: int):
+    """Of shares of sets, those with enough shingles that stand in other sets: these in order, the rarest first."""
+    parts = {"xs": (1, np.int64), "vs": (2, np.uint64), "levels": (3, np.uint8), "ns": (4, np.int64)}
+    got = {name: [np.zeros(0, kind)] for name, (_, kind) in parts.items()}
+    sized = [np.zeros(0, np.int64)]
+    for b in batches:
+        with_sizes = b.column(4).is_valid().to_numpy(zero_copy_only=False)
+        for rows, names in ((b.filter(pa.array(~with_sizes)), ("xs", "vs", "levels")), (b.filter(pa.array(with_sizes)), ("ns",))):
+            for name in names:
+                got[name].append(_joined(rows.column(parts[name][0]), parts[name][1]))
+            if names == ("ns",):
+                sized.append(_joined(rows.column(1), np.int64))
+    x, v, level = (np.concatenate(got[name]) for name in ("xs", "vs", "levels"))
+    names, ns = np.concatenate(sized), np.concatenate(got["ns"])
+    by = np.argsort(names)
+    names, ns = names[by], ns[by]
+    order = np.lexsort((v, level, x))
+    x, v = x[order], v[order]
+    one = _starts(x, v) if len(x) else np.zeros(0, np.int64)
+    x, v = x[one], v[one]
+    first = _starts(x) if len(x) else np.zeros(0, np.int64)
+    ends = np.append(first, len(x))
+    n = ns[np.searchsorted(names, x[first])]
+    good = np.flatnonzero(100 * np.diff(ends) >= percent * n)
+    for i in range(0, len(good), 256):
+        some = good[i : i + 256]
+        lists = [v[ends[j] : ends[j + 1]].view(np.int64) for j in some]
+        offsets = np.concatenate([[0], np.cumsum([len(u) for u in lists])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x[first[some]]), pa.array(n[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))], ["x", "n", "u"])
+
+
+def supported_sets(docs: DataFrame, rows: DataFrame, k: int, percent: int, held: int = HELD, common: int = COMMON) -> DataFrame:
+    """The sets of docs(doc_id, text) that may link, stored: x, n (size), u (shingles that stand in other sets, the rarest first).
+
+    rows(doc_id, x, n) are the sets' keys and sizes. Shingles go to shares of their hashes, are counted there by
+    different sets, and return to shares of the sets; nothing is broadcast but the sets with very many copies, of
+    which only the copy with the smallest doc_id sends its shingles. A shingle that is common within a task isn't
+    counted set by set: one mark from each task makes it common for all.
+    """
+    total = rows.agg(F.count("x").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    shares = int(min(20_000, max(8, total["shingles"] // SHARE)))
+    copied = rows.where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("least"))
+    copied = copied.where((F.col("c") > max(COPIES, total["n"] // COPIED)) & F.col("least").isNotNull()).select("x", "least").collect()
+    copied = docs.sparkSession.sparkContext.broadcast({r["x"]: r["least"] for r in copied})
+
+    def ask(batches):
+        block, keys, n = [], set(), 0
+        for b in batches:
+            for doc_id, u in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
+                x = _key(u) if len(u) else None
+                if x is None or x in keys or copied.value.get(x, doc_id) != doc_id:
+                    continue
+                keys.add(x)
+                block.append((x, u))
+                n += len(u)
+                if n >= held:
+                    yield from _ask(block, shares, common)
+                    block, keys, n = [], set(), 0
+        if block:
+            yield from _ask(block, shares, common)
+
+    def sizes(batches):
+        for b in batches:
+            x, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            share = _share(x + np.int64(-(1 << 63)), shares)
+            order = np.argsort(share, kind="stable")
+            at = _starts(share[order]) if len(x) else np.zeros(0, np.int64)
+            edges, none = np.append(at, len(x)), pa.nulls(len(at), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(share[order][at], pa.int32()), _cut(x[order], edges), none, none, _cut(n[order], edges)], ["share", "xs", "vs", "levels", "ns"])
+
+    told = docs.mapInArrow(ask, _ASK).repartition(shares, "share").mapInArrow(lambda b: _answers(b, shares), _TELL)
+    known = rows.where("x is not null").select("x", "n").distinct().mapInArrow(sizes, _TELL)
+    out = stored(told.unionByName(known).repartition(shares, "share").mapInArrow(lambda b: _supported(b, percent), "x long, n long, u array<long>"))
+    sweep(docs.sparkSession)
+    return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = ROUNDS, filter_bytes: int | None = None) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, n_same, n_links.
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = ROUNDS, **options) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, _key (xxhash64 of its text), n_shingles, component_id, n_same, n_links.
 
     Two rows link when 100 * (shingles in both) >= percent * (shingles in either); component_id is the smallest
     doc_id reachable. n_same is the number of rows with the same set (itself included); n_links counts the links of
@@ -116,157 +249,135 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
 
     Texts that are null, empty or without words have an empty set, link with nothing and are their own component
     (component_id = doc_id, null if that is null). Null ids never name a component of rows with ids. Repeated rows
-    are copies of one set. An empty table gives no rows. Extra columns are ignored.
+    are copies of one set. An empty table gives no rows. Extra columns are ignored. Shingles and sets are told apart
+    by 64-bit hashes. A text is read whole by one task, whatever its length.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be within 1 and 100")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
-    signatures = Signatures(percent)
-    limit = {} if filter_bytes is None else {"limit_bytes": filter_bytes}
-
-    def sets(column):
-        for u in shingle_sets(column, k):
-            yield u, xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None
-
-    def new_sets(seen: set, column):
-        for u, key in sets(column):
-            fresh = key is not None and key not in seen
-            if fresh:
-                seen.add(key)
-            yield u, key, fresh
-
-    def hashes(b):
-        return np.concatenate([np.zeros(0, np.uint64)] + [signatures.of(u) for u, _, fresh in new_sets(set(), b.column("text")) if fresh])
-
-    size = expected_bytes(docs)
-    suspects = Suspects(repeated(docs.select("text"), hashes, size // 20), **limit)
-    test = suspects.tester()
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_key"))
+    radius = 1 - percent / 100
 
     def scan(batches):
-        seen: set = set()
         for b in batches:
-            keys, counts, sigs, cells, kept = [], [], [], [], []
-            for u, key, fresh in new_sets(seen, b.column(1)):
-                keys.append(key)
-                counts.append(len(u))
-                found = signatures.of(u) if fresh else None
-                found = None if found is None else found[test(found)]
-                hit = found is not None and len(found)
-                sigs.append(found if hit else None)
-                cells.append(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=CELLS).astype(np.int32) if hit else None)
-                kept.append(u if hit else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), _lists(sigs), pa.array(cells, pa.list_(pa.int32())), _lists(kept)], ["doc_id", "x", "n", "sigs", "c", "u"])
-
-    rows = stored(docs.mapInArrow(scan, f"doc_id {kind}, x binary, n long, sigs array<long>, c array<int>, u array<long>"))
-    sweep(docs.sparkSession)
-    member = stored(suspects.narrow(rows.where("sigs is not null").select("x", F.explode("sigs").alias("h")), "h").distinct())
-    # The first pivots: in each region the set with most company in all its regions, which in a group of copies is
-    # the text they are made from, if it is there.
-    sizes = member.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    every, member = member, stored(member.join(sizes, "h"))
-    discard(every)
-    company = member.groupBy("x").agg(F.sum("_m").alias("_c"))
-    pivots = member.join(company, "x").groupBy("h").agg(F.max_by("x", F.struct("_c", "x")).alias("p"))
-    every, member = member, stored(member.join(pivots, "h").select("h", "x", "p"))
-    discard(every, suspects.found)
-    inside = stored(member.select("x").distinct())
-    shapes = rows.where("c is not null").select("x", "n", "c").join(maybe_broadcast(inside, inside.count(), 100_000), "x", "left_semi")
-    shapes = stored(shapes.groupBy("x").agg(F.any_value("n").alias("n"), F.any_value("c").alias("c")))
-    radius = 1 - percent / 100
-    sweep(docs.sparkSession)
+            sets = [(_key(u) if len(u) else None, len(u)) for u in shingle_sets(b.column(1), k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x for x, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], ["doc_id", "_key", "x", "n"])
+
+    rows = stored(docs.mapInArrow(scan, f"doc_id {kind}, _key long, x long, n long"))
+    sets = supported_sets(docs.select("doc_id", "text"), rows, k, percent, **options)
+    # Of n shingles, all but those that a linked set must share may be missing in it; the first one more are in its regions.
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    members = sets.select("x", "n", F.size("u").alias("_f"), F.posexplode(F.slice("u", F.lit(1), F.size("u") - least + 1)).alias("_p", "s"))
+    members = stored(members.select("s", "x", "n", (F.col("_f") - F.col("_p")).cast("long").alias("rest"), (F.col("_f") / F.col("n")).alias("support")))
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """pairs(p, x) with the least distance that they can have (sets differ at least where counts of shingles by hash differ) and whether they may link."""
-        both = pairs.join(shapes.select(F.col("x").alias("p"), F.col("n").alias("_pn"), F.col("c").alias("_pc")), "p").join(shapes.select("x", "n", "c"), "x")
-        apart = F.aggregate(F.zip_with("_pc", "c", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
-        both = both.withColumn("_l", apart).withColumn("_s", F.col("_pn") + F.col("n"))
-        return both.select("p", "x", (2 * F.col("_l") / (F.col("_s") + F.col("_l"))).alias("least"), (F.col("_l") * F.lit(100 + percent) <= F.col("_s") * F.lit(100 - percent)).alias("may"))
+    def may_link(rest_a, n_a, rest_b, n_b):
+        """Whether sets may share enough, if they share nothing before a shingle after which so many are left."""
+        return F.least(rest_a, rest_b) * F.lit(100 + percent) >= F.lit(percent) * (n_a + n_b)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs(p, x) that may link, with their distance d and whether they do. Only their sets are read and moved."""
+        """pairs(p, x) with their distance d and whether they link. Only their sets are read and moved."""
         pairs = stored(pairs)
         ends = stored(pairs.select(F.explode(F.array("p", "x")).alias("x")).distinct())
-        found = rows.where("u is not null").select("x", "u", "n").join(maybe_broadcast(ends, ends.count(), 100_000), "x", "left_semi")
-        found = stored(found.groupBy("x").agg(F.any_value("u").alias("u"), F.any_value("n").alias("n")))
-        both = pairs.join(found.select(F.col("x").alias("p"), F.col("u").alias("_pu"), F.col("n").alias("_pn")), "p")
-        both = both.join(found.select("x", F.col("u").alias("_xu"), F.col("n").alias("_xn")), "x")
+        found = sets.join(maybe_broadcast(ends, ends.count()), "x", "left_semi")
+        both = pairs.join(found.select("x", F.col("u").alias("_xu"), F.col("n").alias("_xn")), "x")
+        both = both.join(found.select(F.col("x").alias("p"), F.col("u").alias("_pu"), F.col("n").alias("_pn")), "p")
         both = both.withColumn("_i", F.size(F.array_intersect("_pu", "_xu")).cast("long"))
         union = F.col("_pn") + F.col("_xn") - F.col("_i")
         out = stored(both.select("p", "x", (1 - F.col("_i") / union).alias("d"), (F.lit(100) * F.col("_i") >= F.lit(percent) * union).alias("link")))
-        sweep(docs.sparkSession)
+        discard(pairs, ends)
         return out
 
-    first = stored(bounded(member.where(F.col("x") != F.col("p")).select("p", "x").distinct()))
-    near = verified(first.where("may").select("p", "x"))
-    known = near
-    found = components(near.where("link").select(F.col("p").alias("u"), F.col("x").alias("v")))
-    # Each member lies from lo to hi of its region's pivot: at its distance if that is known, else anywhere beyond its bound.
-    place = first.join(near.select("p", "x", "d"), ["p", "x"], "left").select("p", "x", F.coalesce("d", "least").alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"))
-    region = member.join(place, ["p", "x"], "left").select("h", "x", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
-
-    def split_regions(now: DataFrame) -> DataFrame:
-        """Members (h, x, lo, hi, comp) of the regions that hold several components."""
-        m = now.join(found, "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-        several = m.groupBy("h").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where(F.col("_a") != F.col("_b")).select("h")
-        return stored(m.join(several, "h", "left_semi").select("h", "x", "lo", "hi", "comp"))
-
-    def fresh_pairs(pairs: DataFrame) -> DataFrame:
-        both = known.select("p", "x").unionByName(known.select(F.col("x").alias("p"), F.col("p").alias("x")))
-        return pairs.join(both, ["p", "x"], "left_anti")
-
-    def joined(new: DataFrame) -> DataFrame:
-        old = found.where(F.col("x") != F.col("comp")).select(F.col("x").alias("u"), F.col("comp").alias("v"))
-        return components(old.unionByName(new.where("link").select(F.col("p").alias("u"), F.col("x").alias("v"))))
-
-    def may_link(pairs: DataFrame) -> DataFrame:
-        return bounded(pairs).where("may").select("p", "x")
-
-    open_ = region
+    known = found = pivots = None
+
+    def with_components(now: DataFrame) -> DataFrame:
+        if found is None:
+            return now.withColumn("comp", F.col("x"))
+        return now.join(found, "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+
+    def learn(pairs: DataFrame) -> bool:
+        """Verify pairs(p, x) that are not known yet; whether new links were found."""
+        nonlocal known, found
+        pairs = pairs.distinct()
+        if known is not None:
+            pairs = pairs.join(known.select("p", "x").unionByName(known.select(F.col("x").alias("p"), F.col("p").alias("x"))), ["p", "x"], "left_anti")
+        new = verified(pairs)
+        known = new if known is None else known.unionByName(new)
+        some = not new.where("link").isEmpty()
+        if some or found is None:
+            found = components(known.where("link").select(F.col("p").alias("u"), F.col("x").alias("v")))
+        return some
+
+    open_ = members
     for _ in range(rounds):
-        open_ = split_regions(open_.select("h", "x", "lo", "hi"))
-        if open_.isEmpty():
+        placed = with_components(open_)
+        best = F.max(F.struct("support", "x", "n", "rest", "comp")).alias("_b")
+        best = placed.groupBy("s").agg(best, F.min("comp").alias("_l"), F.max("comp").alias("_h")).where(F.col("_l") != F.col("_h"))
+        best = stored(best.select("s", F.col("_b.x").alias("p"), F.col("_b.n").alias("_pn"), F.col("_b.rest").alias("_pr"), F.col("_b.comp").alias("_pc")))
+        if best.isEmpty():
+            break
+        pivots = best if pivots is None else pivots
+        reach = (F.col("comp") != F.col("_pc")) & may_link(F.col("rest"), F.col("n"), F.col("_pr"), F.col("_pn"))
+        some = learn(placed.join(best, "s").where(reach).select("p", "x"))
+        # The next pivots come from the members that lie outside of this one's component.
+        outside = with_components(open_).join(best.join(found.select(F.col("x").alias("p"), F.col("comp").alias("_c")), "p", "left").select("s", F.coalesce("_c", "p").alias("_c")), "s")
+        open_ = stored(outside.where(F.col("comp") != F.col("_c")).select(*members.columns))
+        if not some:
             break
-        # Another pivot: of the component with most members here, the member with the smallest hash with the region.
-        per = open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("_n"), F.min_by("x", F.xxhash64("h", "x")).alias("p"))
-        best = per.groupBy("h").agg(F.max_by(F.struct("comp", "p"), F.struct("_n", "p")).alias("_b")).select("h", F.col("_b.comp").alias("_c"), F.col("_b.p").alias("p"))
-        new = verified(may_link(fresh_pairs(open_.join(best, "h").where(F.col("comp") != F.col("_c")).select("p", "x").distinct())))
-        known = known.unionByName(new)
-        if new.where("link").isEmpty():
-            break  # the same pivots would be taken again
-        found = joined(new)
-    if rounds == 0 or not open_.isEmpty():
-        left = split_regions(open_.select("h", "x", "lo", "hi"))
-        cell = lambda c: F.floor(F.col(c) / F.lit(max(radius, 1e-9))).cast("long")
-        a = left.select("h", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"), F.col("x").alias("p"), F.col("lo").alias("_al"), F.col("hi").alias("_ah"), F.col("comp").alias("_ca"))
-        b = left.select("h", F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"), "x", F.col("lo").alias("_bl"), F.col("hi").alias("_bh"), F.col("comp").alias("_cb"))
-        apart = F.greatest(F.col("_al") - F.col("_bh"), F.col("_bl") - F.col("_ah"))
-        pairs = a.join(b, ["h", "cell"]).where((F.col("_ca") != F.col("_cb")) & (F.col("p") < F.col("x")) & (apart <= radius + 1e-9)).select("p", "x").distinct()
-        new = verified(may_link(fresh_pairs(pairs)))
-        known = known.unionByName(new)
-        if not new.where("link").isEmpty():
-            found = joined(new)
+
+    # What is left: members of different components in one region.
+    left = with_components(members)
+    several = left.groupBy("s").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where(F.col("_l") != F.col("_h")).select("s")
+    left = left.join(several, "s", "left_semi")
+    if pivots is None:
+        left = left.withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(1.0))
+    else:
+        # From lo to hi of the region's first pivot: at the distance if it is known; else no link, as the bound says.
+        left = left.join(pivots.select("s", "p"), "s").join(known.select("p", "x", "d"), ["p", "x"], "left")
+        at = F.when(F.col("p") == F.col("x"), F.lit(0.0)).otherwise(F.col("d"))
+        left = left.withColumn("lo", F.coalesce(at, F.lit(0.0))).withColumn("hi", F.coalesce(at, F.lit(1.0)))
+    left = stored(left.select("s", "x", "n", "rest", "comp", "lo", "hi"))
+    window = lambda n: F.floor(F.log(n) / F.lit(math.log(STEP))).cast("int")
+    # A set meets the smaller ones (or as large ones) that its bound allows.
+    from_, to = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n"))
+    large = left.withColumn("_from", from_).withColumn("_to", to).where("_from <= _to")
+    large = large.select("s", F.explode(F.sequence(window(F.col("_from")), window(F.col("_to")))).alias("w"), *[F.col(c).alias(f"b_{c}") for c in ("x", "n", "rest", "comp", "lo", "hi")])
+    small = left.select("s", window(F.col("n")).alias("w"), *[F.col(c).alias(f"a_{c}") for c in ("x", "n", "rest", "comp", "lo", "hi")])
+    apart = F.greatest(F.col("a_lo") - F.col("b_hi"), F.col("b_lo") - F.col("a_hi"))
+    meet = (F.col("a_comp") != F.col("b_comp")) & (F.struct("a_n", "a_x") < F.struct("b_n", "b_x")) & (apart <= radius + 1e-9)
+    meet = meet & may_link(F.col("a_rest"), F.col("a_n"), F.col("b_rest"), F.col("b_n"))
+    learn(small.join(large, ["s", "w"]).where(meet).select(F.col("a_x").alias("p"), F.col("b_x").alias("x")))
+    discard(sets, members, left)
 
     links = known.where("link").select(F.explode(F.array("p", "x")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"))
     classes = rows.where("x is not null").groupBy("x").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_same"))
     classes = classes.join(found, "x", "left").join(links, "x", "left").withColumn("comp", F.coalesce("comp", "x"))
     ids = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = classes.join(ids, "comp").select("x", "component_id", "n_same", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.select("doc_id", "x", "n").where("x is not null").join(classes, "x").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_same", "n_links")
-    alone = rows.where("x is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_same"), F.lit(0).cast("long").alias("n_links"))
+    out = rows.where("x is not null").join(classes, "x").select("doc_id", "_key", F.col("n").alias("n_shingles"), "component_id", "n_same", "n_links")
+    alone = rows.where("x is null").select("doc_id", "_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_same"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, less those whose component has a smaller doc_id.
 
-    Rows that repeat an id with the same set are cut to one; texts without words all stay; rows without an id stay
-    if no row with an id is in their component.
+    Rows that repeat an id within one component are cut to one text, and rows that repeat both to one row; texts
+    without words all stay; rows without an id stay if no row with an id is in their component.
     """
-    found = stored(jaccard_components(docs, **options))
-    gone = stored(found.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    out = docs.join(maybe_broadcast(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    own = found.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("k")).first()
-    if own["n"] != own["k"]:  # only a table with repeated ids pays for this shuffle
-        out = out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    found = stored(jaccard_components(docs, **options).where("n_shingles > 0").select("doc_id", "_key", "component_id"))
+    own = found.where(F.col("doc_id") == F.col("component_id"))
+    count = own.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("k")).first()
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if count["n"] != count["k"]:  # only a table with repeated ids pays for the shuffles here
+        texts = own.groupBy("doc_id").agg(F.min("_key").alias("_least"))
+        gone = gone.unionByName(own.join(texts, "doc_id").where(F.col("_key") != F.col("_least")).drop("_least"))
+    gone = stored(gone.select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_gone_key")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_key"))
+    out = docs.join(maybe_broadcast(gone, gone.count()), same, "left_anti")
+    if count["n"] != count["k"]:
+        words = F.rtrim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != ""
+        twice = out.where(F.col("doc_id").isNotNull() & words).withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+        out = twice.unionByName(out.where(~F.coalesce(F.col("doc_id").isNotNull() & words, F.lit(False))))
     return out
 
 
