@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import stored, table
+from lexmill.llm.common import discard_since, stored, table, written
 from lexmill.llm.op1_jaccard_join import one_of_each
 from lexmill.llm.op2_language_id import accepted, fit
 from lexmill.llm.op5_line_dedup import dedup_lines
@@ -55,12 +55,14 @@ STAGES = [
     ("source_mixing", source_mixing),
 ]
 
-#: SQL can't express the first stage (a trained model), so the whole has none; its test checks the other stages by brute force.
+#: SQL can't express the first stage (a trained model), so the whole has none; tests/llm/test_pipeline.py checks each stage and run() by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    mark = written()
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        discard_since(mark, docs)  # what the stage stored on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)

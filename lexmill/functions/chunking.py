@@ -84,6 +84,10 @@ def structured_chunks(docs: DataFrame, size: int = 1600, stride: int | None = No
     return docs.select("doc_id", F.posexplode(packed(F.coalesce("text", F.lit("")))).alias("chunk_no", "chunk_text"))
 
 
+#: The same under another name.
+character_chunks = structured_chunks
+
+
 def window_chunks(docs: DataFrame, size: int = 1600, stride: int | None = None) -> DataFrame:
     """As structured_chunks, but with fixed windows."""
     text = F.coalesce("text", F.lit(""))

@@ -53,42 +53,48 @@ def year(y: Column) -> Column:
     return F.when(F.length(y) == 2, F.concat(F.when(y.cast("int") < 50, F.lit("20")).otherwise(F.lit("19")), y)).otherwise(F.lpad(y, 4, "0"))
 
 
+def _where(normalized: Column, sign: str, tokens: Column) -> Column:
+    """tokens, read only where a cheap pattern that every match holds is found."""
+    return F.when(normalized.rlike(sign), tokens).otherwise(F.array().cast("array<string>"))
+
+
 def article_tokens(normalized: Column) -> Column:
-    return F.flatten(F.transform(_all(normalized, ARTICLE, 1), lambda n: F.array(F.lit("статья"), F.concat(F.lit("article_"), n))))
+    return _where(normalized, "(?iu)ст", F.flatten(F.transform(_all(normalized, ARTICLE, 1), lambda n: F.array(F.lit("статья"), F.concat(F.lit("article_"), n)))))
 
 
 def law_tokens(normalized: Column) -> Column:
-    return F.flatten(F.transform(_all(normalized, LAW, 1), lambda n: F.when(n == "", F.array(F.lit("фз"))).otherwise(F.array(F.lit("фз"), F.concat(F.lit("law_"), F.lower(n))))))
+    return _where(normalized, "(?iu)фз|федераль", F.flatten(F.transform(_all(normalized, LAW, 1), lambda n: F.when(n == "", F.array(F.lit("фз"))).otherwise(F.array(F.lit("фз"), F.concat(F.lit("law_"), F.lower(n)))))))
 
 
 def civil_code_tokens(normalized: Column) -> Column:
-    return F.flatten(F.transform(_all(normalized, CIVIL_CODE), lambda _: F.array(F.lit("гк"), F.lit("рф"), F.lit("code_гк_рф"))))
+    return _where(normalized, "(?iu)гк|граждан", F.flatten(F.transform(_all(normalized, CIVIL_CODE), lambda _: F.array(F.lit("гк"), F.lit("рф"), F.lit("code_гк_рф")))))
 
 
-def _dates(text: Column, pattern: str, month) -> Column:
-    parts = F.arrays_zip(_all(text, pattern, 1).alias("d"), _all(text, pattern, 2).alias("m"), _all(text, pattern, 3).alias("y"))
-    return F.transform(parts, lambda p: F.concat(F.lit("date_"), year(p["y"]), F.lit("-"), month(p["m"]), F.lit("-"), F.lpad(p["d"], 2, "0")))
+def _date(y: Column, m: Column, d: Column) -> Column:
+    return F.concat(F.lit("date_"), year(y), F.lit("-"), m, F.lit("-"), F.lpad(d, 2, "0"))
 
 
 def numeric_date_tokens(normalized: Column) -> Column:
-    return _dates(normalized, NUMERIC_DATE, lambda m: F.lpad(m, 2, "0"))
+    parts = lambda m: F.split(m, r"\.")
+    return _where(normalized, r"(?U)\d\.\d", F.transform(_all(normalized, NUMERIC_DATE), lambda m: _date(F.get(parts(m), F.lit(2)), F.lpad(F.get(parts(m), F.lit(1)), 2, "0"), F.get(parts(m), F.lit(0)))))
 
 
 def text_date_tokens(normalized: Column) -> Column:
     numbers = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"{i:02d}")])
-    return _dates(normalized, TEXT_DATE, lambda m: numbers[F.lower(m)])
+    part = lambda m, i: F.regexp_extract(m, TEXT_DATE, i)
+    return _where(normalized, rf"(?iu){'|'.join(MONTHS)}", F.transform(_all(normalized, TEXT_DATE), lambda m: _date(part(m, 3), numbers[F.lower(part(m, 2))], part(m, 1))))
 
 
 def case_tokens(normalized: Column) -> Column:
-    return F.transform(_all(normalized, CASE_NUMBER, 1), lambda x: F.concat(F.lit("case_"), F.lower(F.regexp_replace(x, SPACES, ""))))
+    return _where(normalized, r"(?iuU)[№n]\s*[a-zа-я0-9]+[-/][a-zа-я0-9]", F.transform(_all(normalized, CASE_NUMBER, 1), lambda x: F.concat(F.lit("case_"), F.lower(F.regexp_replace(x, SPACES, "")))))
 
 
 def uid_tokens(normalized: Column) -> Column:
-    return F.transform(_all(normalized, UID, 1), lambda x: F.concat(F.lit("uid_"), F.lower(F.regexp_replace(x, SPACES, ""))))
+    return _where(normalized, "(?iu)uid|уид", F.transform(_all(normalized, UID, 1), lambda x: F.concat(F.lit("uid_"), F.lower(F.regexp_replace(x, SPACES, "")))))
 
 
 def dotted_tokens(normalized: Column) -> Column:
-    return _all(normalized, DOTTED)
+    return _where(normalized, r"(?U)\d\.\d", _all(normalized, DOTTED))
 
 
 def special_tokens(normalized: Column) -> Column:
@@ -97,9 +103,9 @@ def special_tokens(normalized: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Generic tokens, then special ones; duplicates stay. Null is the empty text."""
-    n = normalize(F.coalesce(text, F.lit("")))
-    return F.concat(generic_tokens(n), special_tokens(n))
+    """Generic tokens, then special ones; duplicates stay. Null is the empty text. The text is normalised once."""
+    every = F.transform(F.array(normalize(F.coalesce(text, F.lit("")))), lambda n: F.concat(generic_tokens(n), special_tokens(n)))
+    return F.get(every, F.lit(0))
 
 
 def simple_tokenize(text: Column) -> Column:
@@ -115,10 +121,25 @@ def passes_lemmatizer(token: Column) -> Column:
     return token.isin(*SHORT_WORDS) | prefixed | token.rlike("[0-9]")
 
 
+def one_lemma(lemmas: DataFrame) -> DataFrame:
+    """lemmas(token, lemma) with one row a token: the smallest of its lemmas."""
+    return lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+
+
+def lemma_terms(counts: DataFrame, lemmas: DataFrame | None, count: str) -> DataFrame:
+    """counts(..., term, count) with terms replaced by their lemmas and counted anew; as they are without a table."""
+    if lemmas is None:
+        return counts
+    looked = counts.join(one_lemma(lemmas).withColumnRenamed("token", "term"), "term", "left")
+    word = F.when(passes_lemmatizer(F.col("term")), F.col("term")).otherwise(F.coalesce("lemma", "term"))
+    keys = [c for c in counts.columns if c != count]
+    return looked.withColumn("term", word).groupBy(*keys).agg(F.sum(count).alias(count))
+
+
 def lemmatize(rows: DataFrame, lemmas: DataFrame, tokens: str = "tokens", key: str = "unit_id") -> DataFrame:
     """rows with their tokens replaced by lemmas(token, lemma), each distinct token looked up once; unknown tokens stay."""
     spread = rows.select(F.col(key).alias("_k"), F.posexplode(tokens).alias("_p", "token"))
-    looked = spread.join(lemmas.select("token", "lemma").dropDuplicates(["token"]), "token", "left")
+    looked = spread.join(one_lemma(lemmas), "token", "left")
     word = F.when(passes_lemmatizer(F.col("token")), F.col("token")).otherwise(F.coalesce("lemma", "token"))
     back = looked.groupBy("_k").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", word.alias("w")))), lambda x: x["w"]).alias("_t"))
     return rows.join(back, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn(tokens, F.coalesce("_t", F.array().cast("array<string>"))).drop("_k", "_t")

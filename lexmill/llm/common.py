@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
+import ctypes
+import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -26,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; set here only where it is unset, in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
     if base is not None and not isinstance(base, str):  # a Scala Option
         base = base.get() if base.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.sparkContext.setCheckpointDir(base)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -38,6 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of a batch that a Python function looks at at once.
+PIECE_BYTES = 4 << 20
+#: Spark's setting by which the shuffle files of a statement are deleted when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -58,10 +65,15 @@ atexit.register(_forget)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder, reread: cuts lineage and survives lost executors. The shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmill-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
@@ -75,19 +87,48 @@ def discard(*tables: DataFrame) -> None:
         _WRITTEN.remove((df.sparkSession, df._stored_path))
 
 
+def written() -> int:
+    """A mark for `discard_since`."""
+    return len(_WRITTEN)
+
+
+def discard_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables stored since the mark, but those in keep."""
+    paths = {df._stored_path for df in keep}
+    for spark, path in _WRITTEN[mark:]:
+        if path not in paths:
+            _delete(spark, path)
+    _WRITTEN[mark:] = [x for x in _WRITTEN[mark:] if x[1] in paths]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside JVMs that need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f):
+    """f, a function for mapInArrow, fed with pieces of batches of about PIECE_BYTES (or one row, if that is longer), and its memory given back when the task ends."""
+
+    def pieces(batches):
+        for b in batches:
+            step = max(1, b.num_rows * PIECE_BYTES // max(PIECE_BYTES, b.nbytes))
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
+
+    def run(batches):
+        yield from f(pieces(batches))
+        release_memory()
+
+    return run
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit, else as it is (a shuffle join)."""
     return F.broadcast(df) if rows <= limit else df
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are done with: it does so when the driver's garbage goes."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def within(df: DataFrame, bytes_each, limit: int) -> DataFrame:
     """df with a broadcast hint if the sum of an estimate of its rows' bytes is within the limit, else as it is."""
     total = df.agg(F.coalesce(F.sum(bytes_each), F.lit(0)).alias("n")).first()["n"]

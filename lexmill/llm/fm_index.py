@@ -33,10 +33,11 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search for patterns of up to `depth` symbols in a text of symbols 0..size-1 whose last symbol is in no pattern.
 
-    Suffixes are ordered by their first `depth` symbols only, which is all that patterns so short can tell apart.
+    Suffixes are ordered by their first `depth` symbols only, which is all that patterns so short can tell apart. The
+    order itself is not kept: of each suffix there is only the label of its place (its document, say), in `labels`.
     """
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, labels: np.ndarray):
         n = len(text)
         self.size = int(text.max()) + 1 if n else 1
         rank, width = text.astype(np.int64), 1
@@ -51,7 +52,7 @@ class FMIndex:
             rank, width = new, width * 2
             if rank[order[-1]] == n - 1:
                 break
-        self.order = order
+        self.labels = labels[order].astype(np.int32)
         levels = max(1, (self.size - 1).bit_length())
         self.tree = WaveletMatrix(text[order - 1], levels)
         every = np.arange(self.size)

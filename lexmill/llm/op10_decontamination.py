@@ -85,4 +85,18 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 
 QUERIES = {"op10_benchmark_decontamination": op10_benchmark_decontamination}
-SQL: dict[str, str] = {}
+_LIST = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SQL = {
+    "op10_benchmark_decontamination": f"""
+WITH items AS (SELECT w, min(item_id) AS item_id, count(*) AS n_items FROM (SELECT item_id, {_LIST} AS w FROM benchmark) WHERE len(w) > 0 GROUP BY w),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS ip FROM items),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM (SELECT doc_id, {_LIST} AS w FROM documents)),
+places AS (
+  SELECT doc_id, item_id, n, p - ip AS doc_start, list(ip) AS ips FROM dw JOIN bw USING (word) GROUP BY doc_id, item_id, n, p - ip HAVING count(*) >= 0.8 * least(20, n)),
+runs AS (
+  SELECT doc_id, item_id, doc_start, least(20, n) AS run,
+    list_max(list_transform(range(0, n - least(20, n) + 1), lambda s: len(list_filter(ips, lambda x: x >= s AND x < s + least(20, n))))) AS n_equal FROM places),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_start) AS r FROM runs WHERE n_equal >= 0.8 * run)
+SELECT doc_id, item_id, CAST(n_items AS BIGINT) AS n_items, CAST(doc_start AS BIGINT) AS doc_start, CAST(n_equal AS BIGINT) AS n_equal, n_equal / run AS similarity
+FROM best JOIN items USING (item_id) WHERE r = 1"""
+}

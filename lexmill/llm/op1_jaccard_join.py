@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, maybe_broadcast, slices, stored, sweep, table, window_hashes
+from .common import Words, discard, lean, maybe_broadcast, slices, stored, table, window_hashes
 from .components import components
 
 #: Rounds with new pivots before the pairs that are left are joined in windows.
 ROUNDS = 2
 #: Shingles that a task sends at once, and shingles in a share, about.
 HELD = 1 << 20
-SHARE = 1 << 21
+SHARE = 1 << 19
 #: Sets of one task's block that hold a shingle from which it counts as common, and is no longer sent for each set.
 COMMON = 8
 #: Sets with the most copies, of which one copy only is sent: so many at most, of so many copies at least.
@@ -121,46 +121,47 @@ def _ask(block: list[tuple[int, np.ndarray]], shares: int, common: int):
 def _tell(x: np.ndarray, v: np.ndarray, level: np.ndarray, shares: int):
     share = _share(x + np.int64(-(1 << 63)), shares)
     order = np.argsort(share, kind="stable")
-    at = _starts(share[order]) if len(x) else np.zeros(0, np.int64)
+    at = _starts(share[order])
     edges = np.append(at, len(x))
     return pa.RecordBatch.from_arrays([pa.array(share[order][at], pa.int32()), _cut(x[order], edges), _cut(v[order], edges), _cut(level[order], edges), pa.nulls(len(at), pa.binary())], ["share", "xs", "vs", "levels", "ns"])
 
 
 def _answers(batches, shares: int):
-    """Of shares of shingles, the pairs of set and shingle whose shingle stands in several sets."""
-    asked, marks, passed = [], [np.zeros(0, np.uint64)], []
+    """Of shares of shingles, the pairs of set and shingle whose shingle stands in several sets. What came for a share is held as it came, and unpacked share by share."""
+    held: dict[int, list] = {}
     for b in batches:
-        for kind, xs, counts, vs in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
-            vs = np.frombuffer(vs, np.uint64)
-            if kind == 1:
-                marks.append(vs)
-            else:
-                (asked if kind == 0 else passed).append((np.repeat(np.frombuffer(xs, np.int64), np.frombuffer(counts, np.uint32)), vs))
-    for found in (asked, passed):
-        if not found:
-            continue
-        x, v = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        if found is asked:
-            order = np.argsort(v)
+        for share, *message in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            held.setdefault(share, []).append(message)
+    while held:
+        _, messages = held.popitem()
+        marks = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(vs, np.uint64) for kind, _, _, vs in messages if kind == 1]))
+        for passed in (False, True):
+            found = [m for m in messages if m[0] == (2 if passed else 0)]
+            if not found:
+                continue
+            v = np.concatenate([np.frombuffer(vs, np.uint64) for _, _, _, vs in found])
+            x = np.concatenate([np.repeat(np.frombuffer(xs, np.int64), np.frombuffer(counts, np.uint32)) for _, xs, counts, _ in found])
+            if not passed:
+                order = np.argsort(v)
+                x, v = x[order], v[order]
+                twice = np.isin(v, marks)
+                twice[1:] |= v[1:] == v[:-1]
+                twice[:-1] |= v[1:] == v[:-1]
+                x, v = x[twice], v[twice]
+            order = np.lexsort((x, v))
             x, v = x[order], v[order]
-            twice = np.isin(v, np.unique(np.concatenate(marks)))
-            twice[1:] |= v[1:] == v[:-1]
-            twice[:-1] |= v[1:] == v[:-1]
-            x, v = x[twice], v[twice]
-        order = np.lexsort((x, v))
-        x, v = x[order], v[order]
-        one = _starts(v, x)  # a set that several tasks sent counts once
-        x, v = x[one], v[one]
-        if found is asked:
-            first = _starts(v) if len(v) else np.zeros(0, np.int64)
-            sets = np.diff(np.append(first, len(v)))
-            level = np.where(np.isin(v[first], np.concatenate(marks)), 255, np.minimum(254, 8 * np.log2(np.maximum(sets, 1)))).astype(np.uint8)
-            several = np.repeat((sets > 1) | (level == 255), sets)
-            x, v, level = x[several], v[several], np.repeat(level, sets)[several]
-        else:
-            level = np.full(len(v), 255, np.uint8)
-        for i in range(0, len(x), 1 << 20):
-            yield _tell(x[i : i + (1 << 20)], v[i : i + (1 << 20)], level[i : i + (1 << 20)], shares)
+            one = _starts(v, x)  # a set that several tasks sent counts once
+            x, v = x[one], v[one]
+            if passed:
+                level = np.full(len(v), 255, np.uint8)
+            else:
+                first = _starts(v)
+                sets = np.diff(np.append(first, len(v)))
+                level = np.where(np.isin(v[first], marks), 255, np.minimum(254, 8 * np.log2(np.maximum(sets, 1)))).astype(np.uint8)
+                several = np.repeat((sets > 1) | (level == 255), sets)
+                x, v, level = x[several], v[several], np.repeat(level, sets)[several]
+            for i in range(0, len(x), 1 << 20):
+                yield _tell(x[i : i + (1 << 20)], v[i : i + (1 << 20)], level[i : i + (1 << 20)], shares)
 
 
 def _supported(batches, percent: int):
@@ -233,11 +234,9 @@ def supported_sets(docs: DataFrame, rows: DataFrame, k: int, percent: int, held:
             edges, none = np.append(at, len(x)), pa.nulls(len(at), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(share[order][at], pa.int32()), _cut(x[order], edges), none, none, _cut(n[order], edges)], ["share", "xs", "vs", "levels", "ns"])
 
-    told = docs.mapInArrow(ask, _ASK).repartition(shares, "share").mapInArrow(lambda b: _answers(b, shares), _TELL)
-    known = rows.where("x is not null").select("x", "n").distinct().mapInArrow(sizes, _TELL)
-    out = stored(told.unionByName(known).repartition(shares, "share").mapInArrow(lambda b: _supported(b, percent), "x long, n long, u array<long>"))
-    sweep(docs.sparkSession)
-    return out
+    told = docs.mapInArrow(lean(ask), _ASK).repartition(shares, "share").mapInArrow(lean(lambda b: _answers(b, shares)), _TELL)
+    known = rows.where("x is not null").select("x", "n").distinct().mapInArrow(lean(sizes), _TELL)
+    return stored(told.unionByName(known).repartition(shares, "share").mapInArrow(lean(lambda b: _supported(b, percent)), "x long, n long, u array<long>"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = ROUNDS, **options) -> DataFrame:
@@ -263,7 +262,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
             sets = [(_key(u) if len(u) else None, len(u)) for u in shingle_sets(b.column(1), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x for x, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], ["doc_id", "_key", "x", "n"])
 
-    rows = stored(docs.mapInArrow(scan, f"doc_id {kind}, _key long, x long, n long"))
+    rows = stored(docs.mapInArrow(lean(scan), f"doc_id {kind}, _key long, x long, n long"))
     sets = supported_sets(docs.select("doc_id", "text"), rows, k, percent, **options)
     # Of n shingles, all but those that a linked set must share may be missing in it; the first one more are in its regions.
     least = F.ceil(F.col("n") * percent / 100).cast("int")

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table
 
 ORDER = 4
 DISCOUNT = 0.75
 #: Training texts of each language, about: the bound of the labelled sample that the models are fitted on.
 SAMPLE_DOCS = 2500
+#: Codes that are scored at once.
+PIECE = 1 << 18
 EDGE = 1  # the code that stands before each text
 _LETTERS: list[np.ndarray] = []
 
@@ -137,18 +139,27 @@ class Models:
             out[miss] = low
         return out
 
+    def _sums(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """For each place the sum of the log-probabilities of the codes before it, the first three left out; PIECE codes at a time, however long a text is."""
+        rows = np.clip(places - (ORDER - 1), 0, None)
+        out, so_far = np.zeros((len(places), len(self.languages))), np.zeros((1, len(self.languages)))
+        for r in range(0, max(0, len(codes) - ORDER + 1), PIECE):
+            logs = self._backed_off(_grams(codes[r : r + PIECE + ORDER - 1]), ORDER)
+            sums = np.concatenate([so_far, so_far + np.cumsum(logs, axis=0, dtype=np.float64)])
+            here = (rows > r) & (rows <= r + len(logs))
+            out[here], so_far = sums[rows[here] - r], sums[-1:]
+        return out
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each text's cross-entropy per character (nats) in each language, scored characters and letters."""
         out, sizes, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for i, j in _parts(texts):
             codes, begins = _codes(texts[i:j])
-            logs = self._backed_off(_grams(codes), ORDER)  # row r is the code at r + 3
             edges = np.append(begins, len(codes))
             sizes[i:j] = np.diff(edges) - 3
             letters[i:j] = np.add.reduceat((codes != 32) & (codes != EDGE), begins)
-            sums = np.zeros((len(codes) + 1, len(self.languages)))
-            np.cumsum(logs, axis=0, dtype=np.float64, out=sums[4:]) if len(logs) else None
-            out[i:j] = -(sums[edges[1:]] - sums[edges[:-1] + 3])
+            sums = self._sums(codes, np.concatenate([edges[:-1] + ORDER - 1, edges[1:]]))
+            out[i:j] = sums[: j - i] - sums[j - i :]
         return out / np.maximum(sizes, 1)[:, None], sizes, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +206,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, slack: float = 1.25) ->
                 g, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = [x for x in sorted(share) if (counts.lang == x).any()]
     if not languages:
         return None
@@ -209,7 +220,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, slack: float = 1.25) ->
             ok = own >= 0
             yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(ce[np.arange(len(own)), own][ok]), pa.array(sizes[ok])], ["lang", "ce", "size"])
 
-    seen = sample.mapInArrow(spread, "lang long, ce double, size long").toPandas()
+    seen = sample.mapInArrow(lean(spread), "lang long, ce double, size long").toPandas()
     for i in range(len(languages)):
         mine = seen[(seen.lang == i) & (seen["size"] > 0)]
         ce, root = mine.ce.to_numpy(), np.sqrt(mine["size"].to_numpy())
@@ -224,8 +235,9 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, lang_pred, score, cross_entropy, rejected.
 
     Null and empty texts, and texts without a letter, are `und` with score 0, rejected. If no language could be
-    learned every text is `und`, and only those without a letter are rejected. Ties go to the first language in order. Whole texts are scored, whatever their
-    length; repeated rows are scored each; an empty table gives no rows; extra columns are ignored.
+    learned every text is `und`, and only those without a letter are rejected. Ties go to the first language in order. Whole
+    texts are scored, in pieces where they are long; repeated rows are scored each; an empty table gives no rows;
+    extra columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -237,7 +249,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
             lang, score, ce, rejected = _predict(m, texts)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(ce), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def _predict(models: Models | None, texts: list[str]):
@@ -255,7 +267,7 @@ def accepted(docs: DataFrame, models: Models | None) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(~_predict(shared.value, [t or "" for t in b.column(at).to_pylist()])[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_language_id(spark, sf_dir):

@@ -1,21 +1,33 @@
 """Operator 3: exact top-k search in binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into segments, each indexed by its value. Codes within distance r * segments + segments - 1
-of a query share a segment with it up to r changed bits (pigeonhole). Radii grow round by round; a query is done as soon
-as its kth verified distance is covered by what the searched radius guarantees.
+A code of 64 bits is cut into segments, each indexed by its value. Segments are searched one after the other: first
+all with no bit changed, then all with one, and so on. When segments 0 to s were searched with r changed bits and the
+others with r - 1, every code within distance r * segments + s was met (pigeonhole), so a query is done as soon as its
+kth verified distance is covered by that.
+
+Queries are dealt into blocks and codes into shards; each pair of a block and a shard is searched by one task through
+the shard's own index, and the best of all shards are merged.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored, table
+from .common import stored, table
 
 BITS = 64
+#: Codes in a shard and queries in a block, at most, about; fewer queries where there are tasks to spare.
+SHARD, BLOCK, FEW = 200_000, 20_000, 64
+#: Probes and candidates that are looked at at once.
+HELD = 1 << 20
 
 
 def sign_codes(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -34,52 +46,110 @@ def cuts(n_codes: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _segment(code: str, low: int, width: int):
-    return F.shiftrightunsigned(code, low).bitwiseAND((1 << width) - 1).cast("int")
-
-
-def _flips(number: int, low: int, width: int, radius: int):
-    """(seg, value) of a query's segment with each choice of `radius` bits changed."""
-    masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))
-    value = _segment("_q", low, width)
-    return F.transform(F.split(F.lit(masks), ",").cast("array<int>"), lambda m: F.struct(F.lit(number).alias("seg"), value.bitwiseXOR(m).alias("value")))
-
-
-def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+@cache
+def _masks(width: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.uint64)
+
+
+class MultiIndex:
+    """Codes by the values of their segments: for each segment the codes in order of value, and where each value starts."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.segments, self.tables = codes, cuts(len(codes)), []
+        for low, width in self.segments:
+            value = self.part(codes, low, width)
+            starts = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << width))])
+            self.tables.append((np.argsort(value, kind="stable"), starts))
+
+    @staticmethod
+    def part(codes: np.ndarray, low: int, width: int) -> np.ndarray:
+        return (codes >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+    def _met(self, queries: np.ndarray, active: np.ndarray, s: int, radius: int):
+        """(query number, code number) of the codes that share segment s up to `radius` changed bits and were not met before, in pieces."""
+        low, width = self.segments[s]
+        masks = _masks(width, radius).astype(np.int64)
+        order, starts = self.tables[s]
+        for i in range(0, len(active), max(1, HELD // len(masks))):
+            some = active[i : i + max(1, HELD // len(masks))]
+            value = self.part(queries[some], low, width)[:, None] ^ masks[None, :]
+            first, count = starts[value], starts[value + 1] - starts[value]
+            done = np.cumsum(count.sum(axis=1))
+            begin = 0
+            while begin < len(some):  # no more candidates at once than HELD, or those of one query
+                end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + HELD, side="right")))
+                c, f = count[begin:end].ravel(), first[begin:end].ravel()
+                q = np.repeat(np.repeat(some[begin:end], len(masks)), c)
+                at = order[np.repeat(f - np.cumsum(c) + c, c) + np.arange(len(q))]
+                x = queries[q] ^ self.codes[at]
+                new = np.ones(len(q), bool)
+                for t, (lo, w) in enumerate(self.segments):
+                    if t != s:
+                        new &= np.bitwise_count(x >> np.uint64(lo) & np.uint64((1 << w) - 1)) > (radius if t < s else radius - 1)
+                yield q[new], at[new], np.bitwise_count(x[new]).astype(np.int64)
+                begin = end
+
+    def nearest(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, code number, distance) of each query's k nearest codes; ties go to the smaller code number. own[i] is the code number that query i leaves out, or -1."""
+        best = (np.zeros(0, np.int64),) * 3
+        bound, seen, active = np.full(len(queries), BITS + 1), np.zeros(len(queries), np.int64), np.arange(len(queries))
+        for radius in range(max(w for _, w in self.segments) + 1):
+            for s, (_, width) in enumerate(self.segments):
+                for q, at, d in self._met(queries, active, s, radius) if radius <= width else ():
+                    seen += np.bincount(q, minlength=len(queries))
+                    good = (d <= bound[q]) & (at != own[q])
+                    q, at, d = (np.concatenate(x) for x in zip(best, (q[good], at[good], d[good]), strict=True))
+                    order = np.lexsort((at, d, q))
+                    q, at, d = q[order], at[order], d[order]
+                    starts = np.searchsorted(q, np.arange(len(queries) + 1))
+                    place = np.arange(len(q)) - starts[q]
+                    bound[q[place == k - 1]] = d[place == k - 1]
+                    best = tuple(x[place < k] for x in (q, at, d))
+                covered = len(self.segments) * radius + s
+                active = active[(bound[active] > covered) & (seen[active] < len(self.codes))]
+                if not len(active):
+                    return best
+        return best
+
+
+def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """For each query(query_id, code) its k nearest rows(id, code) by Hamming distance: query_id, rank, id, distance.
 
     A row with the query's own id is left out. Ties go to the smaller id. Fewer than k rows give fewer results; rows
-    and queries with a null id or code are left out; repeated rows count once for each (id, code). Rows with the same
-    code are indexed as one code with its k + 1 smallest ids, which loses nothing: ties are settled by id.
+    and queries with a null id or code are left out; repeated rows count once for each (id, code), and of ids with
+    the same code the k + 1 smallest are indexed, which loses nothing: ties are settled by id. An empty table gives
+    no rows. Extra columns are ignored. A task holds one shard of codes and one block of queries, of a bounded size.
     """
+    kind = rows.schema["id"].dataType.simpleString()
+    query_kind = queries.schema["query_id"].dataType.simpleString()
     by_id = Window.partitionBy("code").orderBy("id")
     kept = rows.where(F.col("id").isNotNull() & F.col("code").isNotNull()).select("id", "code").distinct().withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
-    codes = stored(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    n_codes = codes.count()
-    segments = cuts(n_codes)
-    index = stored(codes.select(F.posexplode(F.array(*[_segment("code", *s) for s in segments])).alias("seg", "value"), "code"))
-    active = stored(queries.where(F.col("query_id").isNotNull() & F.col("code").isNotNull()).select("query_id", "code").distinct())
-    found = done = None
+    codes = stored(kept.select("id", "code"))
+    asked = stored(queries.where(F.col("query_id").isNotNull() & F.col("code").isNotNull()).select("query_id", "code").distinct())
+    n_codes, n_queries = codes.count(), asked.count()
+    shards = max(1, -(-n_codes // shard))
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n_queries // block), min(-(-tasks // shards), n_queries // FEW))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = codes.select("id", "code", deal("id", shards).alias("shard"), every(blocks).alias("block")).groupBy("shard", "block")
+    right = asked.select("query_id", "code", deal("query_id", blocks).alias("block"), every(shards).alias("shard")).groupBy("shard", "block")
+
+    def search(codes_: pa.Table, asked_: pa.Table) -> pa.Table:
+        codes_ = codes_.take(pc.sort_indices(codes_.column("id")))
+        ids, query_ids = codes_.column("id").combine_chunks(), asked_.column("query_id").combine_chunks()
+        word = lambda t: t.column("code").to_numpy().view(np.uint64)
+        if not len(ids) or not len(query_ids):
+            return pa.table({"query_id": query_ids.slice(0, 0), "id": ids.slice(0, 0), "distance": pa.array([], pa.int64())})
+        same = pc.index_in(query_ids, ids) if query_ids.type == ids.type else pa.nulls(len(query_ids), pa.int32())
+        own = pc.fill_null(same, -1).to_numpy(zero_copy_only=False)
+        q, at, d = MultiIndex(word(codes_)).nearest(word(asked_), own, k)
+        return pa.table({"query_id": query_ids.take(pa.array(q)), "id": ids.take(pa.array(at)), "distance": pa.array(d)})
+
+    found = left.cogroup(right).applyInArrow(search, f"query_id {query_kind}, id {kind}, distance long")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
-    for radius in range(max(w for _, w in segments) + 1):
-        flipped = [_flips(i, low, width, radius) for i, (low, width) in enumerate(segments) if radius <= width]
-        probes = active.select("query_id", F.col("code").alias("_q")).select("query_id", "_q", F.inline(F.concat(*flipped)))
-        # Probes compress well, so their size on disk says little: no side of this join is broadcast.
-        near = probes.join(index.hint("merge"), ["seg", "value"]).select("query_id", "code", F.bit_count(F.col("_q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
-        near = near.join(codes.hint("merge"), "code").select("query_id", F.explode("ids").alias("id"), "distance").where(F.col("id") != F.col("query_id"))
-        near = near if found is None else near.unionByName(found.join(maybe_broadcast(active.select("query_id"), active.count()), "query_id", "left_semi").select("query_id", "id", "distance"))
-        found = stored(near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-        covered = len(segments) * (radius + 1) - 1
-        full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d")).where((F.col("_n") >= k) & (F.col("_d") <= covered))
-        last = covered >= BITS or n_codes == 0
-        left = active.join(full, "query_id", "left_anti") if not last else active.limit(0)
-        left = stored(left)
-        part = stored(found.join(left.select("query_id"), "query_id", "left_anti"))
-        done = part if done is None else done.unionByName(part)
-        active = left
-        if not active.count():
-            break
-    return done.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.col("distance").cast("long").alias("distance"))
+    ranked = found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", "distance")
 
 
 def op3_hamming_topk(spark, sf_dir, k=10, every=20):

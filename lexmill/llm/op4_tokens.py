@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import lean, table
 
 #: The pre-tokenizer's pattern and the Unicode White_Space set: fixed values.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -148,7 +148,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
             sizes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def op4_token_counts(spark, sf_dir, name="byte_bpe_50k.json"):

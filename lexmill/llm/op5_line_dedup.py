@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STRIP, stored, table
+from .common import STRIP, lean, stored, table
 from .repeats import Suspects, expected_bytes, repeated
 
 #: Largest set of confirmed keys that is broadcast, in bytes; beyond it drops are found by a join and shuffled by row.
@@ -38,11 +38,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     """One row per row of docs(doc_id, text): doc_id, text (kept lines joined by \\n), n_lines, n_dropped, and `carried`, a struct of the columns named in carry, if any.
 
     A line's key is the line stripped of white space with A-Z lower-cased. Keys of at least min_chars code points
-    that stand in at least min_docs (2 or more) rows are repeats. keep="none" drops all their lines; keep="first"
+    that stand in at least min_docs (2 or more) documents are repeats; rows with the same doc_id are one document,
+    and rows without an id one each. keep="none" drops all their lines; keep="first"
     keeps the first such line of the row with the smallest doc_id (null ids come last; rows that tie all keep it).
 
-    Null and empty texts are one empty line (text ""). Repeated rows count as rows of their own. An empty table
-    gives no rows. Extra columns are ignored.
+    Null and empty texts are one empty line (text ""). Repeated rows are changed each. An empty table gives no rows.
+    Extra columns are ignored. Ids may be of any type with an order.
     """
     if min_docs < 2 or min_chars < 1 or keep not in ("none", "first"):
         raise ValueError("min_docs must be 2 or more, min_chars 1 or more, keep 'none' or 'first'")
@@ -50,6 +51,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     every = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
     docs = docs.select("doc_id", "text")
 
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    id_repeats = not ids.where("n > 1").isEmpty()
+
     def distinct(text):
         return {k for k in line_keys(text) if _long_enough(k, min_chars)}
 
@@ -60,7 +64,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     test = suspects.tester()
 
     def count(batches):
-        held: dict[bytes, list] = {}
+        # Rows of one document can lie in several tasks: where ids repeat, keys are counted by id.
+        held: dict[tuple, list] = {}
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys = list(distinct(text))
@@ -68,25 +73,26 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
                     continue
                 h = np.fromiter(map(_hash, keys), np.uint64, len(keys))
                 for i in np.flatnonzero(test(h)):
-                    old = held.get(keys[i])
+                    name = (keys[i], doc_id if id_repeats else None)
+                    old = held.get(name)
                     if old is None:
-                        held[keys[i]] = [1, doc_id, int(h[i])]
+                        held[name] = [1, doc_id, int(h[i])]
                     else:
                         old[0] += 1
                         if doc_id is not None and (old[1] is None or doc_id < old[1]):
                             old[1] = doc_id
             if len(held) >= HELD:
-                yield sent(held)
+                yield sent(held, b.column(0).type)
                 held = {}
         if held:
-            yield sent(held)
-
-    id_type = pa.string() if kind == "string" else {"bigint": pa.int64(), "int": pa.int32()}[kind]
+            yield sent(held, b.column(0).type)
 
-    def sent(held):
-        return pa.RecordBatch.from_arrays([pa.array([k.decode() for k in held]), pa.array(np.array([v[2] for v in held.values()], np.uint64).view(np.int64)), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], id_type)], ["key", "h", "n", "first"])
+    def sent(held, id_type):
+        return pa.RecordBatch.from_arrays([pa.array([k.decode() for k, _ in held]), pa.array(np.array([v[2] for v in held.values()], np.uint64).view(np.int64)), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], id_type)], ["key", "h", "n", "first"])
 
-    counted = suspects.narrow(docs.mapInArrow(count, f"key string, h long, n long, first {kind}"), "h")
+    counted = suspects.narrow(docs.mapInArrow(lean(count), f"key string, h long, n long, first {kind}"), "h")
+    if id_repeats:
+        counted = counted.groupBy("key", "first").agg(F.when(F.col("first").isNull(), F.sum("n")).otherwise(F.lit(1)).alias("n"))
     confirmed = stored(counted.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs))
     size = confirmed.select(F.coalesce(F.sum(F.octet_length("key") + 100), F.lit(0))).first()[0]
     schema = f"doc_id {kind}, text string, n_lines long, n_dropped long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in every.schema if f.name == "carried")
@@ -112,25 +118,27 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
             for b in batches:
                 yield rows(b, [known.value] * b.num_rows)
 
-        return every.mapInArrow(drop, schema)
+        return every.mapInArrow(lean(drop), schema)
 
-    # Too many repeats to broadcast: each row's suspected keys meet the confirmed ones, and come back to the row.
+    # Too many repeats to broadcast: each row's suspected keys meet the confirmed ones (one row a key, so the join can
+    # split a key that many rows have), and come back to the row.
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     every = every.withColumn("_row", F.xxhash64("doc_id", "text"))
 
     def spread(batches):
         for b in batches:
-            found = [(d, r, k) for d, t, r in zip(*(c.to_pylist() for c in b.columns), strict=True) for k in distinct(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in found], pa.int64()), pa.array([x[2].decode() for x in found], pa.string())], ["_row", "key"])
+            found = [(r, k) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for k in distinct(t)]
+            some = np.flatnonzero(test(np.fromiter((_hash(k) for _, k in found), np.uint64, len(found)))) if found else []
+            yield pa.RecordBatch.from_arrays([pa.array([found[i][0] for i in some], pa.int64()), pa.array([found[i][1].decode() for i in some], pa.string())], ["_row", "key"])
 
-    hit = keyed.mapInArrow(spread, "_row long, key string").join(confirmed.select("key", "first"), "key").groupBy("_row").agg(F.collect_set(F.struct("key", "first")).alias("bad"))
+    hit = keyed.mapInArrow(lean(spread), "_row long, key string").join(confirmed.select("key", "first"), "key").groupBy("_row").agg(F.collect_set(F.struct("key", "first")).alias("bad"))
     joined = every.join(hit, "_row", "left").drop("_row")
 
     def drop_joined(batches):
         for b in batches:
             yield rows(b, [{x["key"].encode(): x["first"] for x in bad or ()} for bad in b.column("bad").to_pylist()])
 
-    return joined.mapInArrow(drop_joined, schema)
+    return joined.mapInArrow(lean(drop_joined), schema)
 
 
 def op5_line_dedup(spark, sf_dir):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, table
+from .common import Words, lean, maybe_broadcast, slices, table
 from .op2_language_id import held_out
 
 #: Labelled rows that the trees are fitted on, about: the bound of the sample.
@@ -143,20 +143,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **op
     """Trees from labels(doc_id, quality) outside the held-out rows; None without labels of both kinds.
 
     About sample_rows labelled rows are used, chosen by the hash of their id, whole texts; null labels and ids are
-    left out.
+    left out. Of an id's labels the smallest counts, and of rows that repeat an id one text.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_l"), F.col("quality").cast("int").alias("_q"))
+    rows = rows.groupBy("_l").agg(F.min("_q").alias("_q"))
     share = int(min(1.0, sample_rows / max(1, rows.count())) * (1 << 30))
     sample = rows.where(F.pmod(F.xxhash64("_l"), F.lit(1 << 30)) <= share)
-    # The sample is bounded by sample_rows, so it may be broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_l")).select("text", "_q")
+    texts = docs.select("doc_id", "text").join(maybe_broadcast(sample, sample.count()), F.col("doc_id") == F.col("_l"))
+    texts = texts.groupBy("_l").agg(F.min("text").alias("text"), F.min("_q").alias("_q")).select("text", "_q")
     width = len(FEATURES)
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(statistics(b.column(0))), pa.list_(pa.float64())), b.column(1)], ["x", "q"])
 
-    got = texts.mapInArrow(run, "x array<double>, q int").toPandas()
+    got = texts.mapInArrow(lean(run), "x array<double>, q int").toPandas()
     if not len(got) or got.q.nunique() < 2:
         return None
     x, y = np.array(got.x.tolist()).reshape(-1, width), (got.q.to_numpy() >= 1).astype(float)
@@ -178,7 +179,7 @@ def score_quality(docs: DataFrame, model: Trees | None, threshold: float = 0.7)
             score = shared.value.score(statistics(b.column(2))) if shared.value else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op6_quality_classifier(spark, sf_dir):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, maybe_broadcast, slices, stored, sweep, table, within, window_hashes
+from .common import Words, discard, lean, maybe_broadcast, slices, stored, table, window_hashes, within
 from .fm_index import FMIndex, matching_statistics
 from .repeats import Suspects, expected_bytes, repeated
 
@@ -68,9 +68,6 @@ def _once_per_text(m: np.ndarray, text: np.ndarray) -> np.ndarray:
     return m[np.concatenate([[True], (m[1:] != m[:-1]) | (text[1:] != text[:-1])])] if len(m) else m
 
 
-_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = None, hot: int = HOT) -> DataFrame:
     """Windows of k words that also start in a row with a smaller doc_id, stored by row: (_r, gone), gone having (start word, bits), where bit i stands for the window at start + i.
 
@@ -108,10 +105,9 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
                 )
 
     schema = f"_row long, doc_id {kind}, start int, m long, k long, seg string"
-    cand = stored(suspects.narrow(docs.mapInArrow(segments, schema), "m"))
+    cand = stored(suspects.narrow(docs.mapInArrow(lean(segments), schema), "m"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")
     once = stored(cand.groupBy("m", "k").agg(F.min(order).alias("d"), F.max("seg").alias("seg")).select("m", "k", F.col("d.doc_id").alias("d"), "seg"))
-    sweep(docs.sparkSession)
     many = stored(once.groupBy("m").count().where(F.col("count") > hot).select("m"))
     n_many = many.count()
     temporary = [cand, once]
@@ -131,7 +127,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(starts, pa.int32()), pa.array(h), pa.array(h), pa.array(segs, pa.binary()).cast(pa.string())], ["_row", "doc_id", "start", "m", "k", "seg"])
 
         heavy = maybe_broadcast(many, n_many)
-        alone = stored(cand.join(heavy, "m", "left_semi").select(cand.columns).mapInArrow(split, schema))
+        alone = stored(cand.join(heavy, "m", "left_semi").select(cand.columns).mapInArrow(lean(split), schema))
         temporary.append(alone)
         cand = cand.join(heavy, "m", "left_anti").select(cand.columns).unionByName(alone)
         single = alone.groupBy("m", "k").agg(F.min(order).alias("d"), F.max("seg").alias("seg")).select("m", "k", F.col("d.doc_id").alias("d"), "seg")
@@ -156,19 +152,19 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
         windows = lengths - k + 1
         which = np.repeat(np.arange(len(segs)), windows)
         begin = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        index = FMIndex(text, k)
+        index = FMIndex(text, k, rank[owner])
         # A match that only the window itself has ends the search; what reaches k words stands elsewhere too.
         length, low, high = matching_statistics(index, text, begin + k - 1, k, own=2)
         least = rank[which]
         twice = np.flatnonzero(length == k)
         if len(twice):
-            by_suffix = rank[owner[index.order]]
+            by_suffix = index.labels
             spots, where = np.unique(low[twice], return_inverse=True)
             ends = np.zeros(len(spots), np.int64)
             ends[where] = high[twice]
-            least[twice] = np.minimum.reduceat(np.append(by_suffix, len(values)), np.column_stack([spots, ends]).ravel())[::2][where]
+            least[twice] = np.minimum.reduceat(np.append(by_suffix, np.int32(len(values))), np.column_stack([spots, ends]).ravel())[::2][where]
         mins = [values[x] for x in least]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(windows)), pa.int32()), pa.array(mins, _KINDS[kind]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(windows)), pa.int32()), pa.array(mins, group.column("d").type))
         return pa.table({"m": group.column("m"), "k": group.column("k"), "mins": lists})
 
     found = once.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInArrow(search, f"m long, k long, mins array<{kind}>")
@@ -178,7 +174,6 @@ def repeated_windows(docs: DataFrame, k: int = 13, filter_bytes: int | None = No
     hit = hit.select(F.col("_row").alias("_r"), "start", gone.alias("gone")).where(F.col("gone") != 0)
     out = stored(hit.groupBy("_r").agg(F.collect_set(F.struct("start", "gone")).alias("gone")))
     discard(*temporary, many, suspects.found)
-    sweep(docs.sparkSession)
     return out
 
 
@@ -223,7 +218,7 @@ def remove_repeated_windows(docs: DataFrame, k: int = 13, broadcast_bytes: int =
             spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.binary()).cast(pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], spans)], ["doc_id", "text", "n_words", "n_removed", "spans"])
 
-    return joined.mapInArrow(cut, f"doc_id {kind}, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
+    return joined.mapInArrow(lean(cut), f"doc_id {kind}, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
 
 
 def op7_substring_dedup(spark, sf_dir):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: Kinds in the order in which spans are listed; the last is what the method adds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -25,7 +25,7 @@ THRESHOLD = 0.9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")  # from the first digit of a run only, so each run is read once
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -37,7 +37,7 @@ _VALUE = re.compile(r"[A-Za-z0-9_+/=.~-]+")
 _ASSIGN = re.compile(r"[=:]\s?[\"']?(?=[A-Za-z0-9_+/~-]{6})")
 _NAME_BEFORE = re.compile(r"([A-Za-z_-]+)[\"']?\s?$")
 _DIGITS = re.compile(r"[0-9]+")
-_INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=~-")
+_RUN = re.compile(r"[A-Za-z0-9_+/=~-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -68,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the fixed patterns, by kind, then start; code points, end exclusive."""
     out = [(0, *s) for s in emails(text)] if "@" in text else []
     if _DIGITS.search(text):
-        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.group().split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 d = m.group().replace(" ", "").replace("-", "")
@@ -80,32 +80,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Strings that may be credentials: runs with a digit of 12 characters or more, and assigned values; none touches a base span."""
+    """Strings that may be credentials: runs with a digit of 12 characters or more, and assigned values; none touches a base span.
+
+    Each character is read a fixed number of times, so a text's time grows with its length, whatever is in it.
+    """
     found = set()
-    for m in _DIGITS.finditer(text):
-        a, b = m.start(), m.end()
-        if found and (a, b) <= max(found):
+    for m in _RUN.finditer(text):
+        run = m.group()
+        if len(run) < 12 or not _DIGITS.search(run):
             continue
-        while a and text[a - 1] in _INNER:
-            a -= 1
-        while b < len(text) and text[b] in _INNER:
-            b += 1
-        a += len(text[a:b]) - len(text[a:b].lstrip("=+/-"))
+        a, b = m.end() - len(run.lstrip("=+/-")), m.end()
         if b - a >= 12:
             cut = text.rfind("=", a, b - 2)  # name=value: the value is the candidate
             found.add((max(a, cut + 1), b))
+    stop = end = 0  # of the run of value characters read last: its end, and that without dots
     for m in _ASSIGN.finditer(text):
-        v = _VALUE.match(text, m.end())
-        if v:
-            end = v.end() - (len(v.group()) - len(v.group().rstrip(".")))
-            if end - m.end() >= 6:
-                found.add((m.end(), end))
-    busy = sorted((s, e) for _, s, e in taken)
-    out = []
+        if m.end() >= stop and (v := _VALUE.match(text, m.end())):
+            stop = v.end()
+            end = v.start() + len(v.group().rstrip("."))
+        if end - m.end() >= 6:
+            found.add((m.end(), end))
+    busy: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if busy and s < busy[-1][1]:
+            busy[-1][1] = max(busy[-1][1], e)
+        else:
+            busy.append([s, e])
+    out, i = [], 0
     for a, b in sorted(found):
-        if (out and a < out[-1][1]) or any(s < b and a < e for s, e in busy):
+        if out and a < out[-1][1]:
             continue
-        out.append((a, b))
+        while i < len(busy) and busy[i][1] <= a:
+            i += 1
+        if i == len(busy) or busy[i][0] >= b:
+            out.append((a, b))
     return out
 
 
@@ -201,7 +209,7 @@ def fit(docs: DataFrame, rounds: int = 200) -> SpanClassifier | None:
                         held[(*votes(text, a, e), *features(text, a, e))] += 1
         yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["pattern", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    rows = docs.select("text").mapInArrow(lean(count), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     if not rows:
         return None
     all_ = np.array([list(map(int, r.pattern.split(","))) for r in rows])
@@ -229,6 +237,7 @@ def find_personal_data(docs: DataFrame, model: SpanClassifier | None, threshold:
 
     Offsets are code points, end exclusive. Null and empty texts have no spans. Texts are searched whole, repeated
     rows each; an empty table gives no rows; extra columns are ignored. Without a model only base spans are found.
+    The time of a text grows with its length, also where it is one token of a million characters.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -247,13 +256,14 @@ def find_personal_data(docs: DataFrame, model: SpanClassifier | None, threshold:
                 spans.append(_listed(fixed + more))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.string()), pa.array(spans, pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "base", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
 
 
 def op9_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = find_personal_data(docs, fit(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", F.sha2("base", 256).alias("base_sha256"), "spans")
+    n = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_secret")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", n.alias("n_found"), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 QUERIES = {"op9_pii": op9_pii}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stored
+from .common import lean, mix, stored
 
 #: Bits of a filter per hash and bits set for each: in the shares, and in the filter that is broadcast.
 BITS, SET = 12, 2
@@ -97,8 +97,8 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], ex
         if n:
             yield _send(held, shares)
 
-    sent = rows.mapInArrow(send, "share int, once binary, more binary")
-    return stored(sent.repartition(shares, "share").mapInArrow(_suspects, "h long"))
+    sent = rows.mapInArrow(lean(send), "share int, once binary, more binary")
+    return stored(sent.repartition(shares, "share").mapInArrow(lean(_suspects), "h long"))
 
 
 class Suspects:
@@ -132,7 +132,7 @@ class Suspects:
             packed = {k: np.packbits(v, bitorder="little").tobytes() for k, v in bits.items()}
             yield pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array(list(packed.values()), pa.binary())], ["part", "packed"])
 
-        rows = self.found.mapInArrow(places, "part int, places binary").repartition(min(parts, 16), "part").mapInArrow(pack, "part int, packed binary").collect()
+        rows = self.found.mapInArrow(lean(places), "part int, places binary").repartition(min(parts, 16), "part").mapInArrow(lean(pack), "part int, packed binary").collect()
         bits = np.zeros(size >> 3, np.uint8)
         for r in rows:
             bits[r.part * (width >> 3) : (r.part + 1) * (width >> 3)] = np.frombuffer(bytes(r.packed), np.uint8)

@@ -13,15 +13,16 @@ from lexmill.functions import text as T
 
 @dataclass(frozen=True)
 class Index:
-    """postings(unit_id, term, tf), units(unit_id, doc_id, dl), terms(term, df), corpus(n, avgdl): all DataFrames."""
+    """postings(unit_id, doc_id, term, tf), units(unit_id, doc_id, dl), terms(term, df), corpus(n, avgdl): all DataFrames."""
 
+    counted: DataFrame
     postings: DataFrame
     units: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
     def release(self) -> None:
-        for df in (self.postings, self.units, self.terms):
+        for df in (self.counted, self.units, self.terms):
             df.unpersist()
 
 
@@ -29,24 +30,28 @@ def tokenizer(name: str = "full"):
     return {"full": T.tokenize, "simple": T.simple_tokenize}[name]
 
 
-def build_index(units: DataFrame, drop_empty: bool = False) -> Index:
-    """From units(unit_id, doc_id, tokens). drop_empty leaves out units without tokens, which changes N and avgdl.
+def build_index(units: DataFrame, drop_empty: bool = False, lemmas: DataFrame | None = None) -> Index:
+    """From units(unit_id, doc_id, tokens); terms are lemmas if there is a table lemmas(token, lemma). drop_empty leaves out units without tokens, which changes N and avgdl.
 
-    Postings are counted with a map-side combine on (unit, term); the tables are kept for the several joins of a
+    Each text is tokenised once: postings are counted with a map-side combine on (unit, term), a unit without tokens
+    being one row without a term, and lengths are sums of postings. The tables are kept for the several joins of a
     query, on disk where memory ends.
     """
     level = StorageLevel.MEMORY_AND_DISK
-    units = units.where(F.size("tokens") > 0) if drop_empty else units
-    lengths = units.select("unit_id", "doc_id", F.size("tokens").cast("long").alias("dl")).persist(level)
-    postings = units.select("unit_id", "doc_id", F.explode("tokens").alias("term")).groupBy("unit_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).persist(level)
+    spread = F.explode("tokens") if drop_empty else F.explode_outer("tokens")
+    counted = units.select("unit_id", "doc_id", spread.alias("term")).groupBy("unit_id", "doc_id", "term").agg(F.count("term").alias("tf"))
+    counted = T.lemma_terms(counted, lemmas, "tf").persist(level)
+    lengths = counted.groupBy("unit_id", "doc_id").agg(F.sum("tf").alias("dl")).persist(level)
+    postings = counted.where("term is not null")
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).persist(level)
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(postings, lengths, terms, corpus)
+    return Index(counted, postings, lengths, terms, corpus)
 
 
-def query_terms(questions: DataFrame, make=T.tokenize) -> DataFrame:
-    """questions(qid, question) to (qid, term, qtf); a repeated word counts each time."""
-    return questions.select("qid", F.explode(make(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+def query_terms(questions: DataFrame, make=T.tokenize, lemmas: DataFrame | None = None) -> DataFrame:
+    """questions(qid, question) to (qid, term, qtf), terms being lemmas where the index has them; a repeated word counts each time."""
+    counted = questions.select("qid", F.explode(make(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return T.lemma_terms(counted, lemmas, "qtf")
 
 
 def bm25_terms(index: Index, epsilon: float = 0.25) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .index import rounded
 
+#: Best pads that are taken at once before it is asked whether fewer than all matches will do.
+FRONT = 10_000
 POOLING = ("max", "top2_sum", "mean_topk", "logsumexp")
 
 
@@ -27,7 +29,7 @@ def dense_topk(scores: DataFrame, questions: DataFrame, pads: DataFrame, k: int)
 
     pads(doc_id, pad) has every document's score without a match. Only questions whose kth match isn't above the
     best pad need any, and k + m of the best pads hold k that are unmatched, m being the most matches of such a
-    question; so no question meets all documents unless its matches are as many.
+    question; beyond FRONT of them the depth grows only until k are unmatched.
     """
     w = Window.partitionBy("qid").orderBy(F.desc(rounded(F.col("score"))), "doc_id")
     matched = scores.select("qid", "doc_id", "score").withColumn("_r", F.row_number().over(w))
@@ -39,7 +41,14 @@ def dense_topk(scores: DataFrame, questions: DataFrame, pads: DataFrame, k: int)
     found = ranked(scores, k)
     if most is None:
         return found
-    front = pads.orderBy(F.desc(rounded(F.col("pad"))), "doc_id").limit(int(most) + k)
+    depth = min(int(most) + k, FRONT)
+    front = lambda: pads.orderBy(F.desc(rounded(F.col("pad"))), "doc_id").limit(depth)
+    while depth < int(most) + k:  # a question with very many matches: as deep as k unmatched documents lie, no deeper
+        hits = scores.join(F.broadcast(front()), "doc_id", "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("_h"))
+        if needy.join(hits, "qid").where(F.col("_h") > depth - k).isEmpty():
+            break
+        depth = min(4 * depth, int(most) + k)
+    front = front()
     extra = needy.select("qid").crossJoin(front).join(scores.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "doc_id", F.col("pad").alias("score"))
     return ranked(found.select("qid", "doc_id", "score").unionByName(extra), k)
 

@@ -12,13 +12,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexmill.functions import text as T
 
-from .index import rounded
+from .index import query_terms, rounded
 from .ranking import blend, ranked
 
 EMPTY = "__empty__"
 
 
-def top_chunks(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, limit: int, make=T.tokenize, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def top_chunks(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, limit: int, make=T.tokenize, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, lemmas: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """The best passages of each candidate(qid, doc_id): (qid, doc_id, place, chunk_no, score), ranked by BM25 inside the document alone.
 
     A document with at most `limit` passages, without any token, or a question without tokens gives its first
@@ -26,14 +26,15 @@ def top_chunks(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, l
     are scored together. Passages without tokens count as one empty word.
     """
     near = chunks.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_no", make(F.col("chunk_text")).alias("tokens"))
-    near = near.withColumn("_empty", F.size("tokens") == 0).withColumn("tokens", F.when(F.col("_empty"), F.array(F.lit(EMPTY))).otherwise(F.col("tokens"))).persist()  # tokens of the candidates' passages, read by four joins
+    near = keep(near.withColumn("_empty", F.size("tokens") == 0).withColumn("tokens", F.when(F.col("_empty"), F.array(F.lit(EMPTY))).otherwise(F.col("tokens"))))  # tokens of the candidates' passages, read by four joins
     per_doc = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"), F.min(F.col("_empty").cast("int")).alias("_all_empty"))
-    postings = near.select("doc_id", "chunk_no", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "chunk_no", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
+    postings = near.select("doc_id", "chunk_no", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "chunk_no", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = keep(T.lemma_terms(postings, lemmas, "tf"))
     df = postings.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(per_doc.select("doc_id", "n"), "doc_id").withColumn("_i", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = idf.groupBy("doc_id").agg(F.avg("_i").alias("_mean"))
     idf = idf.join(mean, "doc_id").select("doc_id", "term", F.when(F.col("_i") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(F.col("_i")).alias("idf"))
-    asked = candidates.select("qid", "doc_id").join(questions.select("qid", F.explode(make(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")), "qid")
+    asked = candidates.select("qid", "doc_id").join(query_terms(questions, make, lemmas), "qid")
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = asked.join(postings, ["doc_id", "term"]).join(idf, ["doc_id", "term"]).join(per_doc.select("doc_id", "avgdl"), "doc_id").groupBy("qid", "doc_id", "chunk_no").agg(F.sum(part).alias("score"))
@@ -91,10 +92,10 @@ class RerankOptions:
             raise ValueError("the weights must not be negative and not both zero")
 
 
-def rerank(first: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, options: RerankOptions = RerankOptions(), scorer=containment_scorer) -> DataFrame:
+def rerank(first: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, options: RerankOptions = RerankOptions(), scorer=containment_scorer, lemmas: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """The first stage's candidates(qid, rank, doc_id, score) by pair score: best passage of each document, blended with the first stage, cut at min(k, rerank_top_k)."""
     candidates = first.where(F.col("rank") <= options.rerank_top_k)
-    parts = top_chunks(candidates, questions, chunks, options.chunks_per_doc).join(chunks, ["doc_id", "chunk_no"]).join(questions.select("qid", "question"), "qid")
+    parts = top_chunks(candidates, questions, chunks, options.chunks_per_doc, lemmas=lemmas, keep=keep).join(chunks, ["doc_id", "chunk_no"]).join(questions.select("qid", "question"), "qid")
     ce = scorer(parts.select("qid", "doc_id", "question", "chunk_text")).groupBy("qid", "doc_id").agg(F.max("ce").alias("ce"))
     pairs = candidates.select("qid", "doc_id", F.col("score").alias("sparse")).join(ce, ["qid", "doc_id"])
     return ranked(blend(pairs, options.combine_mode, options.ce_weight, options.sparse_weight, options.rrf_k), min(k, options.rerank_top_k))

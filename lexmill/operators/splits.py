@@ -54,11 +54,14 @@ def holdout_summary(questions: DataFrame, role: str = "role") -> DataFrame:
 
 
 def fold_leakage(questions: DataFrame, fold: str = "fold") -> DataFrame:
-    """By fold: gold documents of its questions, those that other folds have too, and their share."""
-    pairs = questions.select(fold, "gold_doc_id").distinct()
+    """By fold: gold documents of its questions, gold documents of the other folds, those in both, and their share."""
+    pairs = questions.where(F.col(fold).isNotNull()).select(fold, "gold_doc_id").distinct()
     spread = pairs.groupBy("gold_doc_id").agg(F.count(F.lit(1)).alias("_f"))
-    return pairs.join(spread, "gold_doc_id").groupBy(fold).agg(
-        F.count(F.lit(1)).alias("num_gold_docs"), F.sum((F.col("_f") > 1).cast("long")).alias("num_leaking"), F.avg((F.col("_f") > 1).cast("double")).alias("leaking_share"))
+    total = spread.agg(F.count(F.lit(1)).alias("_total"))
+    leaking = (F.col("_f") > 1).cast("long")
+    found = pairs.join(spread, "gold_doc_id").groupBy(fold).agg(F.count(F.lit(1)).alias("num_gold_docs"), F.sum(leaking).alias("num_leaking"), F.avg(leaking.cast("double")).alias("leaking_share"))
+    others = F.col("_total") - F.col("num_gold_docs") + F.col("num_leaking")
+    return found.crossJoin(F.broadcast(total)).select(fold, "num_gold_docs", others.alias("num_train_docs"), "num_leaking", "leaking_share")
 
 
 def _greedy(groups: list[tuple[str, dict[str, int]]], parts: int, seed: int) -> dict[str, int]:
@@ -102,20 +105,36 @@ def relaxed_folds(questions: DataFrame, parts: int = 5, seed: int = 42, min_coun
     return collapse_rare(questions, min_count).withColumn("relaxed_cv_fold", F.pmod(F.row_number().over(w) - 1, F.lit(parts)).cast("int")).drop("topic_bucket")
 
 
-def validation_assignments(questions: DataFrame, holdout_parts: int = 5, cv_parts: int = 4, relaxed_parts: int = 5, min_count: int = 10, seed: int = 42) -> DataFrame:
-    """One row per question(qid, question, gold_doc_id, topic): topic_bucket, strict_holdout_role, strict_cv_fold (null on the holdout), relaxed_cv_fold.
+def validation_splits(questions: DataFrame, holdout_parts: int = 5, cv_parts: int = 4, relaxed_parts: int = 5, min_count: int = 10, seed: int = 42) -> tuple[DataFrame, dict]:
+    """One row per question(qid, question, gold_doc_id, topic): topic_bucket, strict_holdout_role, strict_cv_fold (null on the holdout), relaxed_cv_fold; and the parameters with the fold that was chosen.
 
     The holdout is the candidate fold whose size and topics are nearest to the whole; the strict folds are made of
     the rest with the buckets counted anew.
     """
     base = questions.select("qid", "question", "gold_doc_id", "topic")
-    candidates = grouped_folds(base, holdout_parts, seed, min_count, "_c").persist()
-    chosen = best_fold(fold_scores(candidates, "_c"), "_c").select(F.col("_c").alias("_best"))
-    marked = candidates.crossJoin(F.broadcast(chosen)).withColumn("strict_holdout_role", F.when(F.col("_c") == F.col("_best"), "holdout").otherwise("dev")).drop("_c", "_best")
+    candidates = grouped_folds(base, holdout_parts, seed, min_count, "_c")
+    chosen = best_fold(fold_scores(candidates, "_c"), "_c").first()
+    chosen = None if chosen is None else int(chosen["_c"])
+    marked = candidates.withColumn("strict_holdout_role", F.when(F.col("_c") == F.lit(chosen), "holdout").otherwise("dev")).drop("_c")
     dev = grouped_folds(marked.where(F.col("strict_holdout_role") == "dev"), cv_parts, seed + 1, min_count, "strict_cv_fold")
     relaxed = relaxed_folds(base, relaxed_parts, seed, min_count).select("qid", "relaxed_cv_fold")
     buckets = collapse_rare(base, min_count).select("qid", "topic_bucket")
-    return marked.join(buckets, "qid").join(dev.select("qid", "strict_cv_fold"), "qid", "left").join(relaxed, "qid").select("qid", "question", "gold_doc_id", "topic", "topic_bucket", "strict_holdout_role", "strict_cv_fold", "relaxed_cv_fold")
+    out = marked.join(buckets, "qid").join(dev.select("qid", "strict_cv_fold"), "qid", "left").join(relaxed, "qid")
+    metadata = {"holdout_fold": chosen, "holdout_splits": holdout_parts, "strict_cv_splits": cv_parts, "relaxed_cv_splits": relaxed_parts, "min_topic_count_for_stratify": min_count, "random_state": seed}
+    return out.select("qid", "question", "gold_doc_id", "topic", "topic_bucket", "strict_holdout_role", "strict_cv_fold", "relaxed_cv_fold"), metadata
+
+
+def validation_assignments(questions: DataFrame, **options) -> DataFrame:
+    """The assignments of `validation_splits` alone."""
+    return validation_splits(questions, **options)[0]
+
+
+def texts_of(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """rows with the text of the document that `key` names; ValueError with some of the ids if any has no document."""
+    missing = [r[0] for r in rows.join(docs.select(F.col("doc_id").alias(key)), key, "left_anti").select(key).distinct().orderBy(key).limit(5).collect()]
+    if missing:
+        raise ValueError(f"no documents with the ids {missing}")
+    return rows.join(docs.select(F.col("doc_id").alias(key), "text"), key)
 
 
 def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

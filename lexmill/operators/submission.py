@@ -20,12 +20,17 @@ def with_rank(predictions: DataFrame, position: str | None = None) -> DataFrame:
     return predictions.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(position)).cast("long"))
 
 
-def create_submission(predictions: DataFrame, k: int = 5, position: str | None = None) -> DataFrame:
-    """(qid, rank, doc_id): each question's first k distinct documents."""
+def ranked_submission(predictions: DataFrame, k: int = 5, position: str | None = None) -> DataFrame:
+    """(qid, rank, doc_id): each question's first k distinct documents; the rank gives a file its order."""
     ids = with_rank(predictions, position).withColumn("qid", F.col("qid").cast("string")).withColumn("doc_id", F.col("doc_id").cast("string"))
     return deduplicated(ids, k)
 
 
+def create_submission(predictions: DataFrame, k: int = 5, position: str | None = None) -> DataFrame:
+    """The submission itself: qid, doc_id, ordered by question and rank."""
+    return ranked_submission(predictions, k, position).orderBy("qid", "rank").select("qid", "doc_id")
+
+
 def violations(submission: DataFrame, questions: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
     """(rule, n): how often each rule is broken, in the order of RULES, as one union of small aggregates."""
     s = submission.select("qid", "doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +14,35 @@ from lexmill.operators import describe, evaluate, index, ranking, rerank, splits
 
 from . import sql as S
 from .questions import benchmark_questions, corpus_documents, labelled_questions, table, user_turns
-from .registry import Corpus, Params, chunking_sweep, pooling_sweep, retrieve
+from .registry import Corpus, Params, chunking_sweep, pooling_sweep, retrieve, sweep_order
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 WINDOWS = Params(name="chunked_bm25", chunking="windows")
 
 
+_MADE: list[Corpus] = []
+
+
+def _corpus(spark: SparkSession, d: str, lemmas: DataFrame | None = None) -> Corpus:
+    """The documents as a corpus; what it keeps is released when the query's result is no longer held."""
+    _MADE.append(Corpus(corpus_documents(spark, d), lemmas))
+    return _MADE[-1]
+
+
 def query(sql: str | None = None, name: str | None = None):
     def register(f):
         key = name or f.__name__
-        QUERIES[key] = f
+
+        @functools.wraps(f)
+        def run(spark, d):
+            _MADE.clear()
+            out = f(spark, d)
+            out._corpora = tuple(_MADE)
+            _MADE.clear()
+            return out
+
+        QUERIES[key] = run
         if sql:
             SQL[key] = sql
         return f
@@ -35,11 +54,6 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def sql_values(rows: list[tuple], names: str) -> str:
-    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
-
-
 def long(c: str):
     return F.col(c).cast("long").alias(c)
 
@@ -75,37 +89,35 @@ def numeric_reference_tokens(spark, d):
     return corpus_documents(spark, d).select("doc_id", F.concat_ws(" ", T.numeric_date_tokens(n)).alias("dates"), F.concat_ws(" ", T.dotted_tokens(n)).alias("dotted"))
 
 
-LEGAL = [
-    (1, "ст. 10.2 ГК РФ от 05.03.2019", "гк рф 2019 статья article_10.2 гк рф code_гк_рф date_2019-03-05 10.2 05.03.2019"),
-    (2, "ФЗ-400", "фз 400 фз law_400"),
-    (3, "400-фз", "400 фз фз"),
-    (4, "статьи 12", "статьи статья article_12"),
-    (5, "статье 10", "статье"),
-    (6, "5 мая 2021 года", "мая 2021 года date_2021-05-05"),
-    (7, "№ 2-15/2020", "2020 case_2-15/2020"),
-    (8, "01.02.49 и 01.02.50", "date_2049-02-01 date_1950-02-01 01.02.49 01.02.50"),
-    (9, "", ""),
-]
+#: A reference made of each document's number, before its text: the Cyrillic patterns meet every row.
+_REFERENCE = "'Ст. ' || (doc_id % 300 + 1) || '.2 ГК РФ и ФЗ-' || (400 + doc_id % 50) || ' от 5 мая 2021 года, дело № 2-' || doc_id || '/2020, УИД 77-' || doc_id || ' '"
+_REFERRED = f"r AS (SELECT doc_id, coalesce(text, '') AS text, {_REFERENCE} || coalesce(text, '') AS t FROM documents)"
 
 
-@query(sql_values([(i, e) for i, _, e in LEGAL], "id, tokens"))
+@query(f"""WITH {_REFERRED}, n AS (SELECT doc_id, {S.norm('t')} AS n, {S.norm('text')} AS own FROM r),
+t AS (SELECT doc_id, list_concat(list_concat({S.generic('n')}, ['статья', 'article_' || (doc_id % 300 + 1) || '.2', 'фз', 'law_' || (400 + doc_id % 50), 'гк', 'рф', 'code_гк_рф']),
+  list_concat(list_concat({S.dates('own')}, ['date_2021-05-05', 'case_2-' || doc_id || '/2020', 'uid_77-' || doc_id]), {S.dotted('n')})) AS t FROM n)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM t""")
 def legal_special_tokens(spark, d):
-    return values(spark, [(i, t) for i, t, _ in LEGAL], "id int, t string").select("id", F.concat_ws(" ", T.tokenize(F.col("t"))).alias("tokens"))
+    text = F.concat(F.expr(_REFERENCE), F.coalesce("text", F.lit("")))
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), T.tokenize(text).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", "t")).alias("tokens"))
 
 
-@query(sql_values([("u1", "суд решение article_5 гк дом"), ("u2", "")], "unit_id, tokens"))
+@query(f"WITH {S.DOCS} SELECT doc_id, md5(array_to_string({S.lemma_tokens('text')}, ' ')) AS tokens FROM docs")
 def lemma_lookup(spark, d):
-    rows = values(spark, [("u1", ["суда", "решения", "article_5", "гк", "дом"]), ("u2", [])], "unit_id string, tokens array<string>")
-    lemmas = values(spark, [("суда", "суд"), ("решения", "решение"), ("гк", "кодекс"), ("article_5", "x")], "token string, lemma string")
-    return T.lemmatize(rows, lemmas).select("unit_id", F.concat_ws(" ", "tokens").alias("tokens"))
+    rows = corpus_documents(spark, d).select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+    return T.lemmatize(rows, _lemmas(spark, d), key="doc_id").select("doc_id", F.md5(F.concat_ws(" ", "tokens")).alias("tokens"))
 
 
-PARAGRAPHS = [(1, "a b\n \nc\n\n\n d ", "a b|c|d"), (2, "  ", ""), (3, "one\ntwo", "one\ntwo")]
+_STRIPPED = lambda x: rf"regexp_replace({x}, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
 
 
-@query(sql_values([(i, e) for i, _, e in PARAGRAPHS], "id, parts"))
+@query(rf"WITH {S.DOCS}, p AS (SELECT doc_id, list_filter(list_transform(string_split_regex({_STRIPPED("replace(text, '. ', '.' || chr(10) || ' ' || chr(10))")}, '\n\s*\n+'), lambda x: {_STRIPPED('x')}), lambda x: x <> '') AS p FROM docs) SELECT doc_id, CAST(len(p) AS BIGINT) AS n_parts, md5(array_to_string(p, '|')) AS parts FROM p")
 def paragraph_split(spark, d):
-    return values(spark, [(i, t) for i, t, _ in PARAGRAPHS], "id int, t string").select("id", F.concat_ws("|", T.paragraphs(F.col("t"))).alias("parts"))
+    spread = F.replace(F.col("text"), F.lit(". "), F.lit(".\n \n"))  # each sentence as a paragraph
+    p = corpus_documents(spark, d).select("doc_id", T.paragraphs(spread).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n_parts"), F.md5(F.concat_ws("|", "p")).alias("parts"))
 
 
 _SPACED = r"trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g'))"
@@ -127,22 +139,21 @@ def chunks_structured(spark, d):
     return chunking.structured_chunks(corpus_documents(spark, d), 1600, 800).select("doc_id", long("chunk_no"), F.md5("chunk_text").alias("chunk"))
 
 
-KINDS = [
-    (1, "АПЕЛЛЯЦИОННОЕ ОПРЕДЕЛЕНИЕ", "апелляционное определение", "апелляция"),
-    (2, "Кассационный суд", "кассационное определение", "кассация"),
-    (3, "Р Е Ш Е Н И Е", "решение", "первая инстанция"),
-    (4, "прочее", "определение", "первая инстанция"),
-]
+#: A court's header before each document's text, by its number; every fifth has none.
+_HEADERS = ("АПЕЛЛЯЦИОННОЕ ОПРЕДЕЛЕНИЕ", "Третий кассационный суд", "Р Е Ш Е Н И Е", "Апелляционный суд")
+_HEADED = "CASE " + " ".join(f"WHEN doc_id % 5 = {i} THEN '{h}' || chr(10)" for i, h in enumerate(_HEADERS)) + " ELSE '' END || coalesce(text, '')"
 
 
-@query(sql_values([(i, k) for i, _, k, _ in KINDS], "id, kind"))
+@query(f"""WITH h AS (SELECT doc_id, {_HEADED} AS t FROM documents), k AS (SELECT doc_id, t, regexp_replace(upper(substr(t, 1, 800)), '[ \n]', '', 'g') AS h FROM h)
+SELECT doc_id, CASE WHEN contains(h, 'АПЕЛЛЯЦИОННОЕОПРЕДЕЛЕНИЕ') THEN 'апелляционное определение' WHEN contains(upper(substr(t, 1, 1500)), 'КАССАЦИОН') THEN 'кассационное определение' WHEN contains(substr(h, 1, 300), 'РЕШЕНИЕ') THEN 'решение' ELSE 'определение' END AS kind FROM k""")
 def document_kind(spark, d):
-    return values(spark, [(i, t) for i, t, _, _ in KINDS], "id int, t string").select("id", T.document_kind(F.col("t")).alias("kind"))
+    return table(spark, d, "documents").select("doc_id", T.document_kind(F.expr(_HEADED)).alias("kind"))
 
 
-@query(sql_values([(i, c) for i, _, _, c in KINDS], "id, instance"))
+@query(f"""WITH h AS (SELECT doc_id, upper(substr({_HEADED}, 1, 1500)) AS h FROM documents)
+SELECT doc_id, CASE WHEN contains(h, 'КАССАЦИОН') THEN 'кассация' WHEN contains(h, 'АПЕЛЛЯЦИОН') THEN 'апелляция' ELSE 'первая инстанция' END AS instance FROM h""")
 def court_instance(spark, d):
-    return values(spark, [(i, t) for i, t, _, _ in KINDS], "id int, t string").select("id", T.court_instance(F.col("t")).alias("instance"))
+    return table(spark, d, "documents").select("doc_id", T.court_instance(F.expr(_HEADED)).alias("instance"))
 
 
 @query(f"WITH {S.GOLD}, t AS (SELECT qid, {S.tokens('question')} AS a, {S.tokens('coalesce(text, chr(32))')} AS b FROM gold JOIN documents ON CAST(doc_id AS VARCHAR) = gold_doc_id) SELECT qid, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(a)) END, 6) AS there, round(CASE WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(b, a)) / len(list_distinct(b)) END, 6) AS back FROM t")
@@ -172,32 +183,33 @@ _INDEX = f"WITH {S.DOCS},\n{S.units(None)},\n{S.POSTINGS}\n"
 
 @query(_INDEX + "SELECT unit_id, term, CAST(tf AS BIGINT) AS tf FROM postings")
 def postings(spark, d):
-    return Corpus(corpus_documents(spark, d)).documents().postings.select("unit_id", "term", "tf")
+    return _corpus(spark, d).documents().postings.select("unit_id", "term", "tf")
 
 
 @query(_INDEX + "SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM bm")
 def term_stats_bm25(spark, d):
-    return rounded(index.bm25_terms(Corpus(corpus_documents(spark, d)).documents()), "idf")
+    return rounded(index.bm25_terms(_corpus(spark, d).documents()), "idf")
 
 
 @query(_INDEX + "SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM ti")
 def term_stats_tfidf(spark, d):
-    return rounded(index.tfidf_terms(Corpus(corpus_documents(spark, d)).documents()), "idf")
+    return rounded(index.tfidf_terms(_corpus(spark, d).documents()), "idf")
 
 
 # --- retrieval ----------------------------------------------------------------------------------
 
 
-def _ranking(params: Params, k: int = 5):
+def _ranking(params: Params, k: int = 5, lemmas: bool = False):
     def run(spark, d):
-        return rounded(retrieve(Corpus(corpus_documents(spark, d)), benchmark_questions(spark, d), params, k), "score")
+        corpus = _corpus(spark, d, _lemmas(spark, d) if lemmas else None)
+        return rounded(retrieve(corpus, benchmark_questions(spark, d), params, k), "score")
 
     return run
 
 
 query(S.topk(), "bm25_topk")(_ranking(Params(name="bm25")))
 query(S.topk(scoring=S.TFIDF), "tfidf_topk")(_ranking(Params(name="tfidf")))
-query(S.topk(scoring=S.TFIDF, simple=True), "tfidf_simple_topk")(_ranking(Params(name="tfidf", tokenizer="simple")))
+query(S.topk(scoring=S.TFIDF, tok=S.simple_tokens), "tfidf_simple_topk")(_ranking(Params(name="tfidf", tokenizer="simple")))
 for _mode in ranking.POOLING:
     query(S.topk(chunked=(1600, 800), mode=_mode), f"chunked_bm25_{_mode}")(_ranking(replace(WINDOWS, chunk_score_aggregation=_mode)))
 query(S.topk(scoring=S.TFIDF, chunked=(1600, 800)), "chunked_tfidf_max")(_ranking(replace(WINDOWS, name="chunked_tfidf")))
@@ -205,11 +217,23 @@ query(None, "chunked_bm25_structured")(_ranking(Params(name="chunked_bm25")))
 query(f"WITH {S.fused(20)}\n{S.show('hybrid')}", "hybrid_rrf")(_ranking(replace(WINDOWS, name="hybrid_rrf"), 20))
 
 
+def _lemmas(spark, d) -> DataFrame:
+    """A lemma table over the words of documents and questions: the first four characters of longer words."""
+    texts = corpus_documents(spark, d).select("text").unionByName(benchmark_questions(spark, d).select(F.col("question").alias("text")))
+    words = texts.select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct().where(F.length("token") > 4)
+    return words.select("token", F.substring("token", 1, 4).alias("lemma"))
+
+
+query(S.topk(tok=S.lemma_tokens), "bm25_lemma_topk")(_ranking(Params(name="bm25"), lemmas=True))
+query(S.reranked("linear", 5, 20, 3, S.lemma_tokens), "rerank_lemma_linear")(_ranking(replace(WINDOWS, name="cross_encoder_rerank", rerank=rerank.RerankOptions(20, 3, "linear")), lemmas=True))
+
+
 @query(S.top_chunks(20, 3))
 def top_chunks_in_document(spark, d):
-    corpus, questions = Corpus(corpus_documents(spark, d)), benchmark_questions(spark, d)
+    corpus, questions = _corpus(spark, d), benchmark_questions(spark, d)
     p = replace(WINDOWS, name="hybrid_rrf")
-    return rounded(rerank.top_chunks(retrieve(corpus, questions, p, 20).persist(), questions, corpus.chunks(p), 3), "score")
+    first = corpus.keep(retrieve(corpus, questions, p, 20))
+    return rounded(rerank.top_chunks(first, questions, corpus.chunks(p), 3, keep=corpus.keep), "score")
 
 
 for _mode in ("ce_only", "linear", "rrf"):
@@ -219,8 +243,9 @@ for _mode in ("ce_only", "linear", "rrf"):
 
 
 def _placed(spark, d, params: Params = Params(name="bm25"), k: int = 20) -> DataFrame:
-    questions = labelled_questions(spark, d).persist()
-    return evaluate.first_gold_rank(questions, retrieve(Corpus(corpus_documents(spark, d)), questions, params, k), k)
+    corpus = _corpus(spark, d)
+    questions = corpus.keep(labelled_questions(spark, d))
+    return evaluate.first_gold_rank(questions, retrieve(corpus, questions, params, k), k)
 
 
 @query(f"WITH {S.placed()} SELECT CAST(count(*) AS BIGINT) AS num_queries, round({S.recall(1)}, 6) AS recall_at_1, round({S.recall(5)}, 6) AS recall_at_5, round({S.recall(20)}, 6) AS recall_at_20 FROM placed")
@@ -268,7 +293,7 @@ def _item_folds(spark, d):
     return labelled_questions(spark, d).withColumn("fold", F.pmod(F.substring("qid", 3, 18).cast("long"), F.lit(4)))
 
 
-@query(f"WITH {S.GOLD}, {_ITEMS}, p AS (SELECT DISTINCT fold, gold_doc_id FROM f), s AS (SELECT gold_doc_id, count(*) AS k FROM p GROUP BY 1) SELECT fold, CAST(count(*) AS BIGINT) AS num_gold_docs, CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS num_leaking, round(avg(CASE WHEN k > 1 THEN 1.0 ELSE 0 END), 6) AS leaking_share FROM p JOIN s USING (gold_doc_id) GROUP BY fold")
+@query(f"WITH {S.GOLD}, {_ITEMS}, p AS (SELECT DISTINCT fold, gold_doc_id FROM f), s AS (SELECT gold_doc_id, count(*) AS k FROM p GROUP BY 1) SELECT fold, CAST(count(*) AS BIGINT) AS num_gold_docs, (SELECT count(*) FROM s WHERE EXISTS (SELECT 1 FROM p o WHERE o.gold_doc_id = s.gold_doc_id AND o.fold <> p.fold)) AS num_train_docs, CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS num_leaking, round(avg(CASE WHEN k > 1 THEN 1.0 ELSE 0 END), 6) AS leaking_share FROM p JOIN s USING (gold_doc_id) GROUP BY fold")
 def fold_leakage(spark, d):
     return rounded(splits.fold_leakage(_item_folds(spark, d)), "leaking_share")
 
@@ -287,6 +312,21 @@ def grouped_splits(spark, d):
     return splits.validation_assignments(labelled_questions(spark, d), min_count=3)
 
 
+@query(f"""WITH {S.GOLD}, q AS (SELECT count(*) AS n, count(DISTINCT gold_doc_id) AS docs FROM gold), t AS (SELECT topic, count(*) AS n FROM gold GROUP BY topic)
+SELECT CAST(n AS BIGINT) AS num_queries, CAST(docs AS BIGINT) AS num_gold_docs, 0::BIGINT AS docs_in_two_folds, 0::BIGINT AS docs_in_two_roles, 0::BIGINT AS holdout_with_fold, 0::BIGINT AS dev_without_fold, 0::BIGINT AS without_relaxed_fold,
+  (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM t WHERE n < 3) AS in_rare_bucket, true AS holdout_is_a_part FROM q""")
+def split_invariants(spark, d):
+    """What must hold of any grouped split, counted on the split that was made."""
+    rows = splits.validation_assignments(labelled_questions(spark, d), min_count=3)
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    hold = F.col("strict_holdout_role") == "holdout"
+    doc = rows.groupBy("gold_doc_id").agg(F.countDistinct("strict_cv_fold").alias("folds"), F.countDistinct("strict_holdout_role").alias("roles"))
+    by_doc = doc.agg(F.count(F.lit(1)).alias("num_gold_docs"), n(F.col("folds") > 1).alias("docs_in_two_folds"), n(F.col("roles") > 1).alias("docs_in_two_roles"))
+    by_row = rows.agg(F.count(F.lit(1)).alias("num_queries"), n(hold & F.col("strict_cv_fold").isNotNull()).alias("holdout_with_fold"), n(~hold & F.col("strict_cv_fold").isNull()).alias("dev_without_fold"), n(F.col("relaxed_cv_fold").isNull()).alias("without_relaxed_fold"),
+                      n(F.col("topic_bucket") == splits.RARE).alias("in_rare_bucket"), (F.sum(hold.cast("long")).between(1, F.count(F.lit(1)) - 1)).alias("holdout_is_a_part"))
+    return by_row.crossJoin(by_doc)
+
+
 @query("SELECT d.doc_id, lang, CAST(quality AS BIGINT) AS quality FROM labels JOIN documents d ON d.doc_id = labels.doc_id")
 def aligned_inner_join(spark, d):
     both = splits.aligned(table(spark, d, "labels"), table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
@@ -348,14 +388,15 @@ def query_nn_similarity(spark, d):
 best AS (SELECT a AS unit_id, max(s) AS s FROM (SELECT x.unit_id AS a, y.unit_id AS b, sum(x.w * y.w) AS s FROM r x JOIN r y ON x.term = y.term AND x.unit_id <> y.unit_id GROUP BY ALL) GROUP BY 1)
 SELECT lens.unit_id, round(coalesce(s, 0), 6) AS similarity FROM lens LEFT JOIN best USING (unit_id)""")
 def document_nn_similarity(spark, d):
-    return rounded(describe.nearest(Corpus(corpus_documents(spark, d)).documents()), "similarity")
+    return rounded(describe.nearest(_corpus(spark, d).documents()), "similarity")
 
 
 # --- submission and sweeps ----------------------------------------------------------------------
 
 
 def _with_duplicates(spark, d) -> DataFrame:
-    top = retrieve(Corpus(corpus_documents(spark, d)), benchmark_questions(spark, d), Params(name="bm25"), 6).select("qid", "rank", "doc_id").persist()
+    corpus = _corpus(spark, d)
+    top = corpus.keep(retrieve(corpus, benchmark_questions(spark, d), Params(name="bm25"), 6).select("qid", "rank", "doc_id"))
     return top.unionByName(top.where("rank = 1").select("qid", F.lit(7).cast("long").alias("rank"), "doc_id"))
 
 
@@ -364,7 +405,7 @@ _DUPLICATES = f"{S.document_scores()},\n{S.top('dense', 6)},\npred AS (SELECT qi
 
 @query(f"WITH {_DUPLICATES}, o AS (SELECT qid, doc_id, min(rank) AS r FROM pred GROUP BY ALL) SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY r, doc_id) AS BIGINT) AS rank, doc_id FROM o) WHERE rank <= 5")
 def create_submission(spark, d):
-    return submission.create_submission(_with_duplicates(spark, d), 5)
+    return submission.ranked_submission(_with_duplicates(spark, d), 5)
 
 
 @query(f"""WITH {_DUPLICATES}, s AS (SELECT qid, doc_id FROM pred WHERE qid <> 'b_0' UNION ALL SELECT 'extra', 'nowhere')
@@ -382,11 +423,13 @@ _METRICS = ("strict_cv_mean", "strict_cv_std", "strict_holdout")
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({S.cv_rows([5], f'''{chr(39)}{m}{chr(39)} AS chunk_score_aggregation, CAST(2 AS BIGINT) AS chunk_score_top_k, ''', chunked=(1600, 800), mode=m)})" for m in ranking.POOLING))
 def pooling_sweep_summary(spark, d):
-    out = pooling_sweep(Corpus(corpus_documents(spark, d)), labelled_questions(spark, d).persist(), WINDOWS)
+    corpus = _corpus(spark, d)
+    out = sweep_order(pooling_sweep(corpus, corpus.keep(labelled_questions(spark, d)), WINDOWS))
     return rounded(out.withColumn("chunk_score_top_k", F.col("chunk_score_top_k").cast("long")), *_METRICS)
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({S.cv_rows([5], f'CAST({a} AS BIGINT) AS chunk_size, CAST({b} AS BIGINT) AS chunk_stride, CAST({a - b} AS BIGINT) AS chunk_overlap, ', chunked=(a, b))})" for a, b in ((900, 450), (1600, 800))))
 def chunking_sweep_summary(spark, d):
-    out = chunking_sweep(Corpus(corpus_documents(spark, d)), labelled_questions(spark, d).persist(), WINDOWS, ("900:450", "1600:800"))
+    corpus = _corpus(spark, d)
+    out = sweep_order(chunking_sweep(corpus, corpus.keep(labelled_questions(spark, d)), WINDOWS, ("900:450", "1600:800")))
     return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("chunk_size", "chunk_stride", "chunk_overlap")}), *_METRICS)

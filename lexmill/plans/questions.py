@@ -9,6 +9,10 @@ from lexmill.functions import text as T
 from lexmill.sources.tables import from_documents
 
 
+#: Terms of questions that may be broadcast; more are joined with a shuffle.
+BROADCAST_TERMS = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,17 +35,24 @@ def labelled_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark passages that stand verbatim in a document: qid, question, gold_doc_id (the smallest id as text), topic (its language and source), fold, split.
 
     A document with the passage has each word between the passage's first and last blank, so candidates meet on
-    the rarest of these and only they are compared as text.
+    the rarest of these and only they are compared as text. Passages without such a word meet all documents, as a
+    query set of their own.
     """
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     questions = benchmark_questions(spark, sf_dir)
     words = lambda text: F.array_distinct(F.regexp_extract_all(T.normalize(text), F.lit(T.TOKEN), F.lit(0)))
     inner = F.regexp_extract("question", r"(?s)\s(.*)\s", 1)
     asked = questions.select("qid", "question", F.explode(words(inner)).alias("term"))
-    held = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
+    terms = asked.select("term").distinct().persist()
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    held = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).join(terms, "term")
     frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(frequency, "term").groupBy("qid", "question").agg(F.min(F.struct("df", "term")).alias("_r")).select("qid", "question", F.col("_r.term").alias("term"))
-    pairs = rarest.join(held, "term").join(docs.select("doc_id", "text", "lang", "source"), "doc_id").where(F.contains("text", F.col("question")))
+    texts = docs.select("doc_id", "text", "lang", "source")
+    pairs = rarest.join(held, "term").join(texts, "doc_id").where(F.contains("text", F.col("question"))).drop("term")
+    wordless = questions.where(F.size(words(inner)) == 0)
+    if not wordless.isEmpty():
+        pairs = pairs.unionByName(wordless.crossJoin(texts).where(F.contains("text", F.col("question"))), allowMissingColumns=True)
     first = Window.partitionBy("qid").orderBy(F.col("doc_id").cast("string"))
     gold = pairs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1)
     fold = F.pmod("doc_id", F.lit(5)).cast("long")

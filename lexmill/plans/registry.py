@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from typing import Protocol
 
@@ -30,6 +32,7 @@ class Params:
     rrf_k: int = 60
     first_stage: str = "hybrid_rrf"
     rerank: rerank.RerankOptions = rerank.RerankOptions()
+    lemmas: bool = False
 
     def __post_init__(self):
         if self.name not in NAMES:
@@ -48,7 +51,7 @@ class Params:
             raise ValueError("the first stage is any other retriever")
 
     def as_record(self) -> dict:
-        keep = {"name", "top_k", "tokenizer"}
+        keep = {"name", "top_k", "tokenizer", "lemmas"}
         if "chunked" in self.name or self.name in NAMES[4:]:
             keep |= {"chunk_size", "chunk_stride", "chunking", "chunk_score_aggregation", "chunk_score_top_k"}
         if self.name in NAMES[4:]:
@@ -71,18 +74,21 @@ class Corpus:
         self.docs, self.lemmas = docs, lemmas
         self._indexes: dict[tuple, index.Index] = {}
         self._chunks: dict[tuple, DataFrame] = {}
+        self._kept: list[DataFrame] = []
 
-    def _units(self, units: DataFrame) -> DataFrame:
-        if self.lemmas is None:
-            return units
-        from lexmill.functions.text import lemmatize
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, kept until the corpus is released: for what several joins of a query read."""
+        self._kept.append(df.persist())
+        return df
 
-        return lemmatize(units, self.lemmas)
+    def terms(self, questions: DataFrame, tokenizer: str) -> DataFrame:
+        """The terms of questions, lemmatised as those of the documents and passages are."""
+        return index.query_terms(questions, index.tokenizer(tokenizer), self.lemmas)
 
     def documents(self, tokenizer: str = "full") -> index.Index:
         key = ("documents", tokenizer)
         if key not in self._indexes:
-            self._indexes[key] = index.build_index(self._units(index.documents_as_units(self.docs, index.tokenizer(tokenizer))))
+            self._indexes[key] = index.build_index(index.documents_as_units(self.docs, index.tokenizer(tokenizer)), lemmas=self.lemmas)
         return self._indexes[key]
 
     def chunks(self, p: Params) -> DataFrame:
@@ -95,32 +101,36 @@ class Corpus:
     def passages(self, p: Params, drop_empty: bool) -> index.Index:
         key = (p.chunking, p.chunk_size, p.chunk_stride, p.tokenizer, drop_empty)
         if key not in self._indexes:
-            self._indexes[key] = index.build_index(self._units(index.chunks_as_units(self.chunks(p), index.tokenizer(p.tokenizer))), drop_empty)
+            self._indexes[key] = index.build_index(index.chunks_as_units(self.chunks(p), index.tokenizer(p.tokenizer)), drop_empty, self.lemmas)
         return self._indexes[key]
 
     def release(self) -> None:
         for x in self._indexes.values():
             x.release()
-        for x in self._chunks.values():
+        for x in [*self._chunks.values(), *self._kept]:
             x.unpersist()
-        self._indexes, self._chunks = {}, {}
+        self._indexes, self._chunks, self._kept = {}, {}, []
+
+    def __del__(self):
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.release()
 
 
 def passage_scores(corpus: Corpus, questions: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """Passage scores of the chunked retrievers, and how many passages each document has in the index."""
     bm25 = p.name == "chunked_bm25"
     made = corpus.passages(p, drop_empty=bm25)
-    terms = index.query_terms(questions, index.tokenizer(p.tokenizer))
+    terms = corpus.terms(questions, p.tokenizer)
     scores = (index.bm25_scores if bm25 else index.tfidf_scores)(made, terms)
     counts = made.units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return scores, corpus.docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def retrieve(corpus: Corpus, questions: DataFrame, p: Params, k: int | None = None) -> DataFrame:
-    """The k best documents (qid, rank, doc_id, score) of each question(qid, question)."""
+def retrieve(corpus: Corpus, questions: DataFrame, p: Params, k: int | None = None, scorer=None) -> DataFrame:
+    """The k best documents (qid, rank, doc_id, score) of each question(qid, question); re-ranking takes a pair scorer, containment by default."""
     k = ranking.check_depth(p.top_k if k is None else k)
     if p.name in ("tfidf", "bm25"):
-        terms = index.query_terms(questions, index.tokenizer(p.tokenizer))
+        terms = corpus.terms(questions, p.tokenizer)
         made = corpus.documents(p.tokenizer)
         scores = (index.bm25_scores if p.name == "bm25" else index.tfidf_scores)(made, terms)
         return ranking.dense_topk(scores, questions, corpus.docs.select("doc_id", F.lit(0.0).alias("pad")), k)
@@ -131,21 +141,31 @@ def retrieve(corpus: Corpus, questions: DataFrame, p: Params, k: int | None = No
     if p.name == "hybrid_rrf":
         parts = [retrieve(corpus, questions, replace(p, name=n), k) for n in p.hybrid_retrievers]
         return ranking.reciprocal_rank_fusion(parts, k, p.rrf_k)
-    first = retrieve(corpus, questions, replace(p, name=p.first_stage), p.rerank.rerank_top_k).persist()  # read by four joins
-    return rerank.rerank(first, questions, corpus.chunks(p), k, p.rerank)
+    first = corpus.keep(retrieve(corpus, questions, replace(p, name=p.first_stage), p.rerank.rerank_top_k))  # read by four joins
+    return rerank.rerank(first, questions, corpus.chunks(p), k, p.rerank, scorer or rerank.containment_scorer, corpus.lemmas, corpus.keep)
 
 
 @dataclass(frozen=True)
 class NamedRetriever:
     corpus: Corpus
     params: Params
+    scorer: Callable[[DataFrame], DataFrame] | None = None
 
     def retrieve(self, questions: DataFrame, k: int) -> DataFrame:
-        return retrieve(self.corpus, questions, self.params, k)
+        return retrieve(self.corpus, questions, self.params, k, self.scorer)
 
 
-def create_retriever(name: str, corpus: Corpus, **options) -> NamedRetriever:
-    return NamedRetriever(corpus, Params(name=name, **options))
+def create_retriever(name: str, corpus: Corpus, load_model: Callable | None = None, **options) -> NamedRetriever:
+    """A retriever by name. load_model(max_length) runs once in each Python worker of the re-ranker and returns a
+    function of questions and passages, which is called with batch_size pairs at once."""
+    p = Params(name=name, lemmas=corpus.lemmas is not None, **options)
+    scorer = None
+    if load_model is not None:
+        if name != "cross_encoder_rerank":
+            raise ValueError("only the re-ranker takes a model")
+        most = p.rerank.max_length
+        scorer = rerank.model_scorer(lambda: load_model(most), p.rerank.batch_size)
+    return NamedRetriever(corpus, p, scorer)
 
 
 def depth(metric_ks, retrieve_k: int | None = None) -> int:
@@ -165,8 +185,8 @@ def experiment(corpus: Corpus, questions: DataFrame, p: Params, metric_ks=(5, 20
     k = depth(metric_ks, retrieve_k)
     if p.name == "cross_encoder_rerank" and p.rerank.rerank_top_k < k:
         raise ValueError("rerank_top_k must reach retrieve_k")
-    predictions = retrieve(corpus, questions, p, k).persist()
-    placed = evaluate.first_gold_rank(questions, predictions, k).persist()
+    predictions = corpus.keep(retrieve(corpus, questions, p, k))
+    placed = corpus.keep(evaluate.first_gold_rank(questions, predictions, k))
     return {"predictions": predictions.join(questions.select("qid", "split", "fold"), "qid"), "topics": evaluate.topic_metrics(placed, metric_ks), "summary": evaluate.cv_summary(placed, metric_ks)}
 
 
@@ -181,7 +201,7 @@ def sweep_order(rows: DataFrame) -> DataFrame:
 def pooling_sweep(corpus: Corpus, questions: DataFrame, p: Params, modes=ranking.POOLING, metric_k: int = 5, depth_: int = 20) -> DataFrame:
     """One row per pooling mode; passage scores are computed once for all of them."""
     scores, counts = passage_scores(corpus, questions, p)
-    scores = scores.persist()
+    scores = corpus.keep(scores)
     out = None
     for mode in modes:
         pooled, pads = ranking.pool(scores, counts, mode, p.chunk_score_top_k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.functions.text import SHORT_WORDS, STOP_WORDS, TOKEN
+from lexmill.functions.text import PASS_PREFIXES, SHORT_WORDS, STOP_WORDS, TOKEN
 
 _LIST = lambda words: ", ".join(f"'{w}'" for w in words)
 DOCS = "docs AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text FROM documents)"
@@ -39,14 +39,19 @@ def simple_tokens(text: str) -> str:
     return f"list_filter(regexp_extract_all(lower({text}), '{TOKEN}'), lambda x: length(x) > 2 AND x NOT IN ({_LIST(STOP_WORDS)}))"
 
 
+def lemma_tokens(text: str) -> str:
+    """Tokens by the lemma table of the registered queries: the first four characters of longer words."""
+    kept = f"x IN ({_LIST(SHORT_WORDS)}) OR regexp_matches(x, '^({'|'.join(PASS_PREFIXES)})|[0-9]') OR length(x) <= 4"
+    return f"list_transform({tokens(text)}, lambda x: CASE WHEN {kept} THEN x ELSE substr(x, 1, 4) END)"
+
+
 def windows(size: int, stride: int) -> str:
     return rf"""cut AS (SELECT doc_id, i, substr(text, CAST(i * {stride} + 1 AS BIGINT), {size}) AS chunk_text FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - {size}) / {stride})) AS BIGINT) + 1)) AS i FROM docs WHERE length(text) > 0)),
 kept AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, chunk_text FROM cut WHERE regexp_replace(chunk_text, '[\s\x1c-\x1f]+', '', 'g') <> ''),
 chunks AS (SELECT * FROM kept UNION ALL SELECT doc_id, 0, text FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM kept))"""
 
 
-def units(chunked: tuple[int, int] | None, simple: bool = False) -> str:
-    tok = simple_tokens if simple else tokens
+def units(chunked: tuple[int, int] | None, tok=tokens) -> str:
     if chunked is None:
         return f"units AS (SELECT doc_id AS unit_id, doc_id, {tok('text')} AS tokens FROM docs)"
     return windows(*chunked) + f",\nunits AS (SELECT doc_id || '#' || chunk_no AS unit_id, doc_id, {tok('chunk_text')} AS tokens FROM chunks)"
@@ -73,13 +78,13 @@ POOLED = {
 }
 
 
-def query_terms(simple: bool = False) -> str:
-    return f"qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({(simple_tokens if simple else tokens)('question')}) AS term FROM qs) GROUP BY ALL)"
+def query_terms(tok=tokens) -> str:
+    return f"qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tok('question')}) AS term FROM qs) GROUP BY ALL)"
 
 
-def document_scores(scoring: str = BM25, chunked: tuple[int, int] | None = None, mode: str = "max", k: int = 2, questions: str = QUESTIONS, simple: bool = False) -> str:
+def document_scores(scoring: str = BM25, chunked: tuple[int, int] | None = None, mode: str = "max", k: int = 2, questions: str = QUESTIONS, tok=tokens) -> str:
     """CTEs up to dense(qid, doc_id, score)."""
-    head = ",\n".join([DOCS, questions, query_terms(simple), units(chunked, simple)])
+    head = ",\n".join([DOCS, questions, query_terms(tok), units(chunked, tok)])
     if chunked is not None and scoring is BM25:
         head += ",\nall_units AS (SELECT * FROM units)"
         post = POSTINGS.replace("FROM units", "FROM filled")
@@ -112,15 +117,15 @@ def nested(name: str, k: int, **how) -> str:
     return f"{name} AS (WITH {document_scores(**how)},\n{top('dense', k)}\nSELECT qid, rank, doc_id, score FROM ranked)"
 
 
-def fused(depth: int, name: str = "hybrid") -> str:
-    parts = nested("r1", depth) + ",\n" + nested("r2", depth, chunked=(1600, 800))
+def fused(depth: int, name: str = "hybrid", tok=tokens) -> str:
+    parts = nested("r1", depth, tok=tok) + ",\n" + nested("r2", depth, chunked=(1600, 800), tok=tok)
     return parts + f",\nrrf AS (SELECT qid, doc_id, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY ALL),\n{top('rrf', depth, name)}"
 
 
-def inside(limit: int, candidates: str, chunk_ctes: str) -> str:
+def inside(limit: int, candidates: str, chunk_ctes: str, tok=tokens) -> str:
     """CTEs up to placed(qid, doc_id, place, chunk_no, score): passages ranked inside their document."""
     return f"""{chunk_ctes},
-ct0 AS (SELECT doc_id, chunk_no, chunk_text, {tokens('chunk_text')} AS t FROM chunks WHERE doc_id IN (SELECT doc_id FROM {candidates})),
+ct0 AS (SELECT doc_id, chunk_no, chunk_text, {tok('chunk_text')} AS t FROM chunks WHERE doc_id IN (SELECT doc_id FROM {candidates})),
 ct AS (SELECT doc_id, chunk_no, len(t) = 0 AS empty, CASE WHEN len(t) = 0 THEN ['__empty__'] ELSE t END AS t FROM ct0),
 pd AS (SELECT doc_id, count(*) AS n, avg(len(t)) AS avgdl, bool_and(empty) AS all_empty FROM ct GROUP BY doc_id),
 cp AS (SELECT doc_id, chunk_no, dl, term, count(*) AS tf FROM (SELECT doc_id, chunk_no, len(t) AS dl, unnest(t) AS term FROM ct) GROUP BY ALL),
@@ -128,26 +133,27 @@ ci0 AS (SELECT cp.doc_id, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*)
 ci AS (SELECT doc_id, term, CASE WHEN i0 < 0 THEN 0.25 * avg(i0) OVER (PARTITION BY doc_id) ELSE i0 END AS idf FROM ci0),
 cs AS (SELECT c.qid, cp.doc_id, cp.chunk_no, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM {candidates} c JOIN cqt ON cqt.qid = c.qid JOIN cp ON cp.doc_id = c.doc_id AND cp.term = cqt.term JOIN ci ON ci.doc_id = cp.doc_id AND ci.term = cp.term JOIN pd ON pd.doc_id = cp.doc_id GROUP BY ALL),
-cq AS (SELECT qid, question, {tokens('question')} AS t FROM cqs),
+cq AS (SELECT qid, question, {tok('question')} AS t FROM cqs),
 ca AS (SELECT c.qid, ct.doc_id, ct.chunk_no, CASE WHEN n <= {limit} OR all_empty OR len(cq.t) = 0 THEN 0 ELSE coalesce(cs.score, 0) END AS score
   FROM {candidates} c JOIN cq ON cq.qid = c.qid JOIN ct ON ct.doc_id = c.doc_id JOIN pd ON pd.doc_id = c.doc_id LEFT JOIN cs ON cs.qid = c.qid AND cs.doc_id = ct.doc_id AND cs.chunk_no = ct.chunk_no),
 placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 8) DESC, chunk_no) AS place FROM ca) WHERE place <= {limit})"""
 
 
-CHUNK_QUESTIONS = f"cqs AS (SELECT 'b_' || item_id AS qid, coalesce(text, '') AS question FROM benchmark),\ncqt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tokens('question')}) AS term FROM cqs) GROUP BY ALL)"
+def chunk_questions(tok=tokens) -> str:
+    return f"cqs AS (SELECT 'b_' || item_id AS qid, coalesce(text, '') AS question FROM benchmark),\ncqt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tok('question')}) AS term FROM cqs) GROUP BY ALL)"
 
 
 def top_chunks(depth: int, limit: int) -> str:
-    return f"WITH {fused(depth)},\n{DOCS},\n{CHUNK_QUESTIONS},\n{inside(limit, 'hybrid', windows(1600, 800))}\nSELECT qid, doc_id, CAST(place AS BIGINT) AS place, CAST(chunk_no AS BIGINT) AS chunk_no, round(score, 6) AS score FROM placed"
+    return f"WITH {fused(depth)},\n{DOCS},\n{chunk_questions()},\n{inside(limit, 'hybrid', windows(1600, 800))}\nSELECT qid, doc_id, CAST(place AS BIGINT) AS place, CAST(chunk_no AS BIGINT) AS chunk_no, round(score, 6) AS score FROM placed"
 
 
-def reranked(mode: str, k: int, depth: int, limit: int) -> str:
+def reranked(mode: str, k: int, depth: int, limit: int, tok=tokens) -> str:
     contained = "CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(a)) END"
     ce = f"ce AS (SELECT qid, doc_id, max({contained}) AS ce FROM (SELECT placed.qid, placed.doc_id, {tokens('question')} AS a, {tokens('chunk_text')} AS b FROM placed JOIN cqs USING (qid) JOIN chunks ON chunks.doc_id = placed.doc_id AND chunks.chunk_no = placed.chunk_no) GROUP BY ALL),\npairs AS (SELECT hybrid.qid, hybrid.doc_id, hybrid.score AS sparse, ce FROM hybrid JOIN ce ON ce.qid = hybrid.qid AND ce.doc_id = hybrid.doc_id)"
     mm = lambda c: f"CASE WHEN max({c}) OVER (PARTITION BY qid) <= min({c}) OVER (PARTITION BY qid) THEN 1 ELSE ({c} - min({c}) OVER (PARTITION BY qid)) / (max({c}) OVER (PARTITION BY qid) - min({c}) OVER (PARTITION BY qid)) END"
     rk = lambda c: f"row_number() OVER (PARTITION BY qid ORDER BY round({c}, 8) DESC, doc_id)"
     score = {"ce_only": "ce", "linear": f"0.7 * ({mm('ce')}) + 0.3 * ({mm('sparse')})", "rrf": f"0.7 / (60 + {rk('ce')}) + 0.3 / (60 + {rk('sparse')})"}[mode]
-    return f"WITH {fused(depth)},\n{DOCS},\n{CHUNK_QUESTIONS},\n{inside(limit, 'hybrid', windows(1600, 800))},\n{ce},\nblended AS (SELECT qid, doc_id, CAST({score} AS DOUBLE) AS score FROM pairs),\n{top('blended', k)}\n{show()}"
+    return f"WITH {fused(depth, tok=tok)},\n{DOCS},\n{chunk_questions(tok)},\n{inside(limit, 'hybrid', windows(1600, 800), tok)},\n{ce},\nblended AS (SELECT qid, doc_id, CAST({score} AS DOUBLE) AS score FROM pairs),\n{top('blended', k)}\n{show()}"
 
 
 #: Labelled questions with the rank of their gold document among the first 20 by BM25.

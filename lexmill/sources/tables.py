@@ -22,26 +22,32 @@ IDS = ("doc_id", "qid", "gold_doc_id")
 INTEGERS = ("gold_evidence_char_start", "gold_evidence_char_end", "strict_cv_fold", "relaxed_cv_fold", "rank", "fold")
 
 
+#: Folders that an experiment writes to, inside the outputs.
+OUTPUTS = ("predictions", "metrics", "submissions")
+
+
 @dataclass(frozen=True)
 class Paths:
-    raw_dir: str
-    processed_dir: str
+    raw_data_dir: str
+    processed_data_dir: str
     outputs_dir: str
 
 
-def load_paths(path: str) -> Paths:
-    """Paths of a YAML file; KeyError names the keys that are missing."""
+def load_paths(path: str, root: str | None = None) -> Paths:
+    """Paths of a YAML file; ~ is the home folder, and relative ones start at root (the working folder by default). KeyError names the keys that are missing."""
     import yaml
 
-    spec = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    base = Path(root or ".").resolve()
+    spec = yaml.safe_load((base / Path(path).expanduser()).read_text(encoding="utf-8")) or {}
     missing = [k for k in Paths.__dataclass_fields__ if k not in spec]
     if missing:
         raise KeyError(f"missing keys: {missing}")
-    return Paths(*(str(spec[k]) for k in Paths.__dataclass_fields__))
+    place = lambda value: value if "://" in value else str(base / Path(value).expanduser())
+    return Paths(*(place(str(spec[k])) for k in Paths.__dataclass_fields__))
 
 
 def ensure_output_dirs(paths: Paths) -> None:
-    for folder in (paths.processed_dir, paths.outputs_dir):
+    for folder in (paths.processed_data_dir, *(f"{paths.outputs_dir}/{x}" for x in OUTPUTS)):
         Path(folder).mkdir(parents=True, exist_ok=True)
 
 
@@ -78,7 +84,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def load(spark: SparkSession, paths: Paths, name: str) -> DataFrame:
     """One of the four tables, checked; documents must have unique ids."""
-    df = require_columns(read_csv(spark, f"{paths.raw_dir}/{FILES[name]}"), REQUIRED[name], name)
+    df = require_columns(read_csv(spark, f"{paths.raw_data_dir}/{FILES[name]}"), REQUIRED[name], name)
     return require_unique(df, "doc_id", name) if name == "documents" else df
 
 
@@ -91,7 +97,7 @@ def inventory(spark: SparkSession, paths: Paths) -> list[dict]:
     out = []
     for name in FILES:
         try:
-            df = read_csv(spark, f"{paths.raw_dir}/{FILES[name]}")
+            df = read_csv(spark, f"{paths.raw_data_dir}/{FILES[name]}")
             out.append({"name": name, "exists": True, "rows": df.count(), "columns": df.columns})
         except FileNotFoundError:
             out.append({"name": name, "exists": False, "rows": None, "columns": None})
@@ -115,15 +121,26 @@ def write_json(value, path: str) -> None:
     Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
 
 
-def markdown_table(df: DataFrame) -> str:
-    """A small, aggregated DataFrame as a Markdown table."""
+def shown(x, percent: bool = False) -> str:
+    """A value as reports show it: numbers to four places or as percentages, mappings as key: value, nothing as -."""
+    if x is None:
+        return "-"
+    if isinstance(x, dict):
+        return ", ".join(f"{k}: {shown(v, percent)}" for k, v in x.items())
+    if isinstance(x, float):
+        return f"{100 * x:.1f} %" if percent else f"{x:.4f}"
+    return str(x)
+
+
+def markdown_table(df: DataFrame, percent: tuple[str, ...] = ()) -> str:
+    """A small, aggregated DataFrame as a Markdown table; the columns in percent are shares."""
     rows = df.collect()
     line = lambda xs: "| " + " | ".join(xs) + " |"
-    show = lambda x: f"{x:.4f}" if isinstance(x, float) else str(x)
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line([show(x) for x in r]) for r in rows]])
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line([shown(x, c in percent) for c, x in zip(df.columns, r, strict=True)]) for r in rows]])
 
 
-def write_report(title: str, sections: dict[str, DataFrame], path: str) -> None:
-    """A Markdown report of named tables."""
-    body = "\n\n".join(f"## {name}\n\n{markdown_table(df)}" for name, df in sections.items())
+def write_report(title: str, sections: dict[str, DataFrame | str], path: str, percent: tuple[str, ...] = ()) -> None:
+    """A Markdown report of named tables and paragraphs."""
+    show = lambda x: x if isinstance(x, str) else markdown_table(x, percent)
+    body = "\n\n".join(f"## {name}\n\n{show(x)}" for name, x in sections.items())
     Path(path).write_text(f"# {title}\n\n{body}\n", encoding="utf-8")

@@ -116,11 +116,13 @@ def test_components(spark):
 
 
 def brute_lines(rows, least=10, chars=1):
+    """Rows with the same id are one document, rows without an id one each."""
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    count = {}
-    for _, t in rows:
-        for k in {key(x) for x in (t or "").split("\n")}:
-            count[k] = count.get(k, 0) + 1
+    holders = {}
+    for i, (d, t) in enumerate(rows):
+        for x in (t or "").split("\n"):
+            holders.setdefault(key(x), set()).add((d, i if d is None else 0))
+    count = {k: len(v) for k, v in holders.items()}
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
@@ -129,6 +131,21 @@ def brute_lines(rows, least=10, chars=1):
     return sorted(out, key=repr)
 
 
+def test_lines_of_repeated_rows_count_once(spark):
+    rows = [(1, "own\nshared")] * 6 + [(2, "shared"), (3, "other"), (None, "other"), (None, "other")]
+    got = dedup_lines(table(spark, rows).repartition(4), min_docs=3)
+    assert sorted([(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()], key=repr) == brute_lines(rows, 3)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,2)", "date", "string", "double"])
+def test_ids_of_any_type(spark, kind):
+    rows = [(i, "the same line here again and again so it is long enough to be a window of words\nown " + str(i)) for i in range(1, 5)]
+    docs = table(spark, rows).withColumn("doc_id", F.expr("date_add(date('2020-01-01'), int(doc_id))") if kind == "date" else F.col("doc_id").cast(kind))
+    lines = dedup_lines(docs, min_docs=3, keep="first").orderBy("doc_id").collect()
+    assert [r["n_dropped"] for r in lines] == [0, 1, 1, 1]
+    assert [r["n_removed"] > 0 for r in remove_repeated_windows(docs).orderBy("doc_id").collect()] == [False, True, True, True]
+
+
 @pytest.mark.parametrize(("chars", "options"), [(1, {}), (5, {"filter_bytes": 0}), (1, {"key_bytes": 0})])
 def test_line_dedup(spark, chars, options):
     rng = random.Random(7)
@@ -189,7 +206,7 @@ def test_substring_dedup(spark, k, options):
 def test_fm_index_finds_what_is_there():
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(1, 6, 399), 0)
-    fm = fm_index.FMIndex(text, 8)
+    fm = fm_index.FMIndex(text, 8, np.arange(400))
     query = rng.integers(1, 6, 300)
     length, low, high = fm_index.matching_statistics(fm, query, np.arange(300), 8)
     raw = bytes(text.tolist())
@@ -200,7 +217,7 @@ def test_fm_index_finds_what_is_there():
         assert length[e] == n
         if n:
             at = {i for i in range(400 - n + 1) if raw[i : i + n] == bytes(query[e - n + 1 : e + 1].tolist())}
-            assert set(fm.order[low[e] : high[e]].tolist()) == at
+            assert set(fm.labels[low[e] : high[e]].tolist()) == at
 
 
 def test_mixing(spark):

@@ -1,7 +1,9 @@
 """Operators 2, 3, 4, 6, 9: brute force, the tokenizer's library, held-out accuracy; and the edge cases of each."""
 
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from lexmill.llm import op2_language_id as lang
 from lexmill.llm import op4_tokens as tok
 from lexmill.llm import op6_quality as quality
 from lexmill.llm import op9_pii as pii
-from lexmill.llm.op3_hamming import hamming_topk, sign_codes
+from lexmill.llm.op3_hamming import MultiIndex, hamming_topk, sign_codes
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ein", "er"], "cc": ["ção", "ñe", "ue", "ir"]}
 
@@ -50,6 +52,37 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(models._backed_off(head | letters, 4)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
+    models = lang.fit(documents(spark))
+    texts = ["kalo mitu " * 50, "", "schung ein", "12", "x" * 301]
+    whole = models.entropies(texts)
+    for piece in (1, 7, 100):
+        monkeypatch.setattr(lang, "PIECE", piece)
+        for a, b in zip(models.entropies(texts), whole, strict=True):
+            np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_held_out_accuracy_of_language_id(spark):
+    got = lang.op2_language_id(spark, SF).where("held_out and lang_pred <> 'und'")
+    truth = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    rows = got.join(truth, "doc_id").collect()
+    assert len(rows) > 100 and np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.98
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_held_out_auc_of_quality(spark):
+    got = quality.op6_quality_classifier(spark, SF).where("held_out")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    rows = got.join(labels, "doc_id").collect()
+    good, bad = [np.array([r["score"] for r in rows if r["quality"] == x]) for x in (1, 0)]
+    auc = np.mean((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :]))
+    assert len(good) > 10 and len(bad) > 10 and auc > 0.97
+
+
 def brute_topk(codes, queries, k):
     out = []
     for q, c in queries:
@@ -63,11 +96,33 @@ def test_hamming_topk(spark):
     word = lambda: rng.getrandbits(64) - 2**63
     base = [word() for _ in range(12)]
     codes = [(i, base[i % 12] ^ (1 << rng.randrange(62)) * (i % 3 > 0)) for i in range(150)] + [(i, word()) for i in range(150, 220)] + [(300 + i, base[0]) for i in range(20)]
-    rows = spark.createDataFrame([*codes, codes[3], (None, 5)], "id long, code long")
-    queries = [(i, c) for i, c in codes if i % 20 == 0]
-    got = hamming_topk(rows, spark.createDataFrame(queries, "query_id long, code long"), 5).collect()
-    assert sorted(tuple(r) for r in got) == brute_topk(codes, queries, 5)
-    assert hamming_topk(rows.limit(0), spark.createDataFrame(queries, "query_id long, code long"), 5).count() == 0
+    rows = spark.createDataFrame([(*c, "s", 1) for c in [*codes, codes[3], (None, 5), (900, None)]], "id long, code long, shard string, block int")
+    queries = [(i, c) for i, c in codes if i % 20 == 0] + [(10_000, base[1])]
+    asked = spark.createDataFrame([*queries, queries[0], (None, 1), (7, None)], "query_id long, code long")
+    for options in ({}, {"shard": 60, "block": 4}):
+        got = hamming_topk(rows, asked, 5, **options).collect()
+        assert sorted(tuple(r) for r in got) == brute_topk(codes, queries, 5)
+    assert hamming_topk(rows.limit(0), asked, 5).count() == hamming_topk(rows, asked.limit(0), 5).count() == 0
+    few = hamming_topk(spark.createDataFrame([("b", 1), ("a", 1), ("c", -1)], "id string, code long"), spark.createDataFrame([("a", 1)], "query_id string, code long"), 5)
+    assert sorted((r["rank"], r["id"], r["distance"]) for r in few.collect()) == [(1, "b", 0), (2, "c", 63)]
+
+
+def test_segments_are_searched_one_by_one():
+    """Random codes, families of near codes and codes that share a segment, in pieces of any size; every answer against all distances."""
+    from lexmill.llm import op3_hamming
+
+    rng = np.random.default_rng(4)
+    codes = np.concatenate([rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2), np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)), np.full(30, 99, np.uint64), np.uint64(0xFFFF) | rng.integers(0, 2**40, 80, dtype=np.uint64) << np.uint64(20)])
+    queries = np.concatenate([codes[::7], rng.integers(0, 2**63, 20, dtype=np.uint64)])
+    own = np.append(np.arange(0, len(codes), 7), np.full(20, -1))
+    every = np.bitwise_count(queries[:, None] ^ codes[None, :]).astype(int)
+    for held, k in ((1 << 20, 10), (50, 3), (1 << 20, 1000)):
+        op3_hamming.HELD = held
+        q, at, d = MultiIndex(codes).nearest(queries, own, k)
+        for i in range(len(queries)):
+            want = sorted((every[i, c], c) for c in range(len(codes)) if c != own[i])[:k]
+            assert list(zip(d[q == i].tolist(), at[q == i].tolist(), strict=True)) == want
+    op3_hamming.HELD = 1 << 20
 
 
 def test_sign_codes(spark):
@@ -152,6 +207,31 @@ def test_base_spans():
         assert pii.base_spans(t) == brute_spans(t), t
 
 
+def test_odd_texts_of_personal_data():
+    """Very long parts and tokens: no error, and time that grows with the text's length."""
+    zeros = "0" * 6000
+    assert pii.base_spans(f"{zeros}1.2.{zeros}.255 9{zeros}.1.1.1") == [(1, 0, 6000 + 5 + 6000 + 4)]
+    texts = ["A1b2+/" * 170_000, "ab12#" * 200_000, "1" * 1_000_000, "a=" + "bbbbbb=" * 140_000, "1.2." * 250_000, "x@" * 500_000, "+1" * 500_000, "a@b.c " * 160_000 + "k" * 40_000]
+    for t in texts:
+        start = time.perf_counter()
+        fixed = pii.base_spans(t)
+        for a, b in pii.candidates(t, fixed):
+            assert 0 <= a < b <= len(t) and not any(s < b and a < e for _, s, e in fixed[:50])
+        assert time.perf_counter() - start < 5, t[:20]
+
+
+def test_reliabilities_are_recovered():
+    """Votes of labelers whose accuracies are known: EM finds these, the share of true spans, and the truth."""
+    rng = np.random.default_rng(3)
+    right, speaks = np.array([0.95, 0.9, 0.85, 0.75, 0.65, 0.8]), np.array([0.9, 0.8, 0.9, 0.7, 0.9, 0.6])
+    truth = rng.random(40_000) < 0.3
+    said = np.where((rng.random((40_000, 6)) < right) == truth[:, None], 1, -1) * (rng.random((40_000, 6)) < speaks)
+    patterns, where, counts = np.unique(said, axis=0, return_inverse=True, return_counts=True)
+    share, found, post = pii.reliabilities(patterns, counts.astype(float))
+    assert abs(share - 0.3) < 0.02 and np.abs(found - right).max() < 0.03
+    assert ((post[where.ravel()] > 0.5) == truth).mean() > 0.95
+
+
 def test_personal_data(spark):
     rng = random.Random(10)
     fill = lambda: " ".join(rng.choice(["the", "lorem", "ipsum", "dolor"]) for _ in range(8))

@@ -33,6 +33,28 @@ def test_tfidf(spark):
     assert scores(got) == [("d2", 0.959146), ("d1", 0.366447), ("d3", 0.0)]
 
 
+def test_lemmas_on_both_sides(spark):
+    docs = spark.createDataFrame([("d1", "решение суда"), ("d2", "жалоба"), ("d3", ""), ("d4", "ответчик просил"), ("d5", "договор займа")], "doc_id string, text string")
+    lemmas = spark.createDataFrame([("суда", "суд"), ("судом", "суд"), ("судом", "судья"), ("жалобу", "жалоба")], "token string, lemma string")
+    c = registry.Corpus(docs, lemmas)
+    for name in ("bm25", "tfidf", "chunked_bm25", "chunked_tfidf"):
+        for question, best in (("судом", "d1"), ("суда", "d1"), ("жалобу", "d2")):
+            got = registry.retrieve(c, asked(spark, question), registry.Params(name=name), 1).first()
+            assert got["doc_id"] == best, (name, question)
+    assert registry.create_retriever("bm25", c).params.as_record()["lemmas"]
+    near = rerank.top_chunks(spark.createDataFrame([("q0", "d")], "qid string, doc_id string"), asked(spark, "судом"), spark.createDataFrame([("d", i, t) for i, t in enumerate(["прочее слово", "иное", "и решение суда"])], "doc_id string, chunk_no int, chunk_text string"), 1, lemmas=lemmas)
+    assert near.first()["chunk_no"] == 2
+
+
+def test_model_through_the_registry(spark):
+    c = corpus(spark, [(f"d{i}", "alpha " * (i + 1)) for i in range(4)])
+    made = registry.create_retriever("cross_encoder_rerank", c, lambda most: lambda qs, ts: [float(most + len(qs)) - len(t) for t in ts], first_stage="bm25", rerank=rerank.RerankOptions(4, 1, "ce_only", batch_size=1, max_length=7))
+    got = made.retrieve(asked(spark, "alpha"), 4).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == ["d0", "d1", "d2", "d3"] and got[0]["score"] == 7 + 1 - len("alpha")
+    with pytest.raises(ValueError):
+        registry.create_retriever("bm25", c, lambda most: None)
+
+
 def test_padding_by_id_and_empty_question(spark):
     got = registry.retrieve(corpus(spark), asked(spark, "delta", ""), registry.Params(name="bm25"), 2)
     rows = [(r["qid"], r["doc_id"]) for r in got.orderBy("qid", "rank").collect()]
@@ -103,7 +125,7 @@ def test_param_guards(bad):
 
 
 def test_records_and_windows():
-    assert registry.Params(name="bm25").as_record() == {"name": "bm25", "top_k": 5, "tokenizer": "full"}
+    assert registry.Params(name="bm25").as_record() == {"name": "bm25", "top_k": 5, "tokenizer": "full", "lemmas": False}
     assert registry.parse_windows(["900:450"]) == [(900, 450)]
     for bad in ("900", "a:b", "10:20"):
         with pytest.raises(ValueError):
@@ -151,8 +173,11 @@ def test_submission_rules(spark):
 
 def test_created_submission(spark):
     p = spark.createDataFrame([("q", i, d) for i, d in enumerate("aabc", 1)], "qid string, position long, doc_id string")
-    got = submission.create_submission(p, 2, "position").orderBy("rank").collect()
+    got = submission.ranked_submission(p, 2, "position").orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == ["a", "b"]
+    made = submission.create_submission(p, 2, "position")
+    assert [tuple(r) for r in made.collect()] == [("q", "a"), ("q", "b")]
+    submission.validate_submission(made, spark.createDataFrame([("q",)], "qid string"), spark.createDataFrame([("a",), ("b",)], "doc_id string"))
     with pytest.raises(ValueError):
         submission.create_submission(p, 2)
 
@@ -175,3 +200,45 @@ def test_streamed_questions(spark, tmp_path):
     stream = spark.readStream.schema("qid string, question string").json(str(tmp_path / "in"))
     rank_stream(stream, corpus(spark), registry.Params(name="bm25"), lambda df, n: got.extend(df.collect()), str(tmp_path / "cp"), 1).awaitTermination(60)
     assert [(r["qid"], r["doc_id"]) for r in got] == [("q0", "d2")]
+
+
+def labelled(spark):
+    rows = [(f"q{i}", f"alpha w{i % 9}x", f"d{i % 9}", f"t{i % 2}") for i in range(27)]
+    return spark.createDataFrame(rows, "qid string, question string, gold_doc_id string, topic string")
+
+
+def test_programs_write_their_files(spark, tmp_path):
+    from lexmill.plans import programs
+    from lexmill.sources import tables
+
+    paths = tables.Paths(str(tmp_path / "raw"), str(tmp_path / "p"), str(tmp_path / "o"))
+    c = corpus(spark, [(f"d{i}", f"alpha beta w{i}x") for i in range(9)])
+    metadata = programs.make_splits(labelled(spark), str(tmp_path / "v"), holdout_parts=3, cv_parts=2, min_count=3)
+    assert metadata["strict_cv_splits"] == 2 and metadata["holdout_fold"] in (0, 1, 2)
+    report = (tmp_path / "v" / "validation_protocol.md").read_text()
+    assert "## Strict folds" in report and "100.0 %" in report and (tmp_path / "v" / "validation_metadata.json").exists()
+    split = tables.load_splits(spark, str(tmp_path / "v" / "validation_splits"))
+    questions = programs.by_split(labelled(spark), split)
+    record = programs.run_experiment("e", c, questions, registry.Params(name="bm25"), paths, (1, 5), test=asked(spark, "w1x"))
+    assert record["all_metrics"]["recall_at_1"]["strict_holdout"] == 1.0 and record["num_queries"] == 27 and [f["recall_at_1"] for f in record["fold_metrics"]] == [1.0, 1.0]
+    for name in ("predictions/e_strict_cv_predictions", "predictions/e_strict_holdout_predictions", "predictions/e_test_predictions", "metrics/e_topic_metrics", "metrics/e_metrics.json"):
+        assert (tmp_path / "o" / name).exists(), name
+    made = programs.make_submission(c, asked(spark, "w1x", "w2x"), registry.Params(name="bm25"), paths, "s")
+    assert [r["doc_id"] for r in tables.read_csv(spark, str(tmp_path / "o/submissions/s")).collect()] == [r["doc_id"] for r in made.collect()]
+    programs.describe_data(c, labelled(spark), asked(spark, "w1x gamma"), str(tmp_path / "eda.md"))
+    text = (tmp_path / "eda.md").read_text()
+    assert "| documents | 9 |" in text and "## Hardest topics" in text and "| 27 | 1.0000 | 1.0000 |" in text
+
+
+def test_missing_documents_are_named(spark):
+    with pytest.raises(ValueError, match="nowhere"):
+        splits.texts_of(spark.createDataFrame([("q", "nowhere")], "qid string, gold_doc_id string"), corpus(spark).docs, "gold_doc_id")
+
+
+def test_padding_beyond_the_front(spark, monkeypatch):
+    """A question that matches most documents with scores below the pads."""
+    monkeypatch.setattr(ranking, "FRONT", 4)
+    scored = spark.createDataFrame([("q", f"d{i:02d}", -1.0) for i in range(30)] + [("r", "d31", -1.0)], "qid string, doc_id string, score double")
+    pads = spark.createDataFrame([(f"d{i:02d}", 0.0) for i in range(40)], "doc_id string, pad double")
+    got = ranking.dense_topk(scored, scored.select("qid").distinct(), pads, 3).orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["doc_id"]) for r in got] == [("q", "d30"), ("q", "d31"), ("q", "d32"), ("r", "d00"), ("r", "d01"), ("r", "d02")]

@@ -9,8 +9,8 @@ def paths(tmp_path):
     raw.mkdir()
     (raw / "documents.csv").write_text('doc_id,text\n007,"a ""b""\nc"\n8,\n', encoding="utf-8")
     (raw / "train.csv").write_text("qid,question\n1,x\n", encoding="utf-8")
-    (tmp_path / "p.yaml").write_text(f"raw_dir: {raw}\nprocessed_dir: {tmp_path}/p\noutputs_dir: {tmp_path}/o\n")
-    return tables.load_paths(str(tmp_path / "p.yaml"))
+    (tmp_path / "p.yaml").write_text(f"raw_data_dir: {raw}\nprocessed_data_dir: p\noutputs_dir: o\n")
+    return tables.load_paths("p.yaml", str(tmp_path))
 
 
 def test_ids_stay_and_null_text_is_empty(spark, paths):
@@ -22,7 +22,7 @@ def test_missing_columns_and_files(spark, paths, tmp_path):
         tables.load(spark, paths, "train")
     with pytest.raises(FileNotFoundError):
         tables.load(spark, paths, "test")
-    (tmp_path / "bad.yaml").write_text("raw_dir: x\n")
+    (tmp_path / "bad.yaml").write_text("raw_data_dir: x\n")
     with pytest.raises(KeyError):
         tables.load_paths(str(tmp_path / "bad.yaml"))
     assert [x["exists"] for x in tables.inventory(spark, paths)] == [True, True, False, False]
@@ -36,9 +36,21 @@ def test_repeated_ids(spark):
 def test_sinks(spark, paths, tmp_path):
     df = spark.createDataFrame([("q", 2, "b"), ("q", 1, "a")], "qid string, rank long, doc_id string")
     tables.ensure_output_dirs(paths)
+    assert all((tmp_path / x).is_dir() for x in ("p", "o/predictions", "o/metrics", "o/submissions"))
     tables.write_csv(df, str(tmp_path / "csv"))
     assert [r["doc_id"] for r in tables.read_csv(spark, str(tmp_path / "csv")).collect()] == ["a", "b"]
     tables.write_json({"ключ": 1}, str(tmp_path / "x.json"))
     assert "ключ" in (tmp_path / "x.json").read_text(encoding="utf-8")
     tables.write_report("R", {"part": df.orderBy("rank")}, str(tmp_path / "r.md"))
     assert "| q | 1 | a |" in (tmp_path / "r.md").read_text(encoding="utf-8")
+
+
+def test_paths_of_home_and_other_stores(tmp_path):
+    (tmp_path / "p.yaml").write_text("raw_data_dir: ~/raw\nprocessed_data_dir: hdfs://store/p\noutputs_dir: /o\n")
+    got = tables.load_paths(str(tmp_path / "p.yaml"))
+    assert got.raw_data_dir.endswith("/raw") and "~" not in got.raw_data_dir and (got.processed_data_dir, got.outputs_dir) == ("hdfs://store/p", "/o")
+
+
+def test_shown_values():
+    assert [tables.shown(x) for x in (None, 0.25, 3, {"a": 0.5, "b": None})] == ["-", "0.2500", "3", "a: 0.5000, b: -"]
+    assert tables.shown(0.256, percent=True) == "25.6 %"

@@ -17,6 +17,39 @@ def test_tokens_of_a_reference(spark):
     assert tokens(spark, "ст. 10.2 ГК РФ от 05.03.2019") == ["гк", "рф", "2019", "статья", "article_10.2", "гк", "рф", "code_гк_рф", "date_2019-03-05", "10.2", "05.03.2019"]
 
 
+REFERENCES = [
+    ("ст. 10.2 ГК РФ от 05.03.2019", "гк рф 2019 статья article_10.2 гк рф code_гк_рф date_2019-03-05 10.2 05.03.2019"),
+    ("ФЗ-400", "фз 400 фз law_400"),
+    ("400-фз", "400 фз фз"),
+    ("статьи 12", "статьи статья article_12"),
+    ("статье 10", "статье"),
+    ("5 мая 2021 года", "мая 2021 года date_2021-05-05"),
+    ("5 мая 2021 г. и 17 декабря 1999", "мая 2021 декабря 1999 date_2021-05-05 date_1999-12-17"),
+    ("№ 2-15/2020", "2020 case_2-15/2020"),
+    ("УИД 77-RS-0001", "уид 0001 uid_77-rs-0001"),
+    ("01.02.49 и 01.02.50", "date_2049-02-01 date_1950-02-01 01.02.49 01.02.50"),
+    ("Граждан кодекс; гражданский кодекс Российской Федерации", "граждан кодекс гражданский кодекс российской федерации гк рф code_гк_рф"),
+    ("1.2.3 x", "1.2.3"),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), REFERENCES)
+def test_references(spark, text, want):
+    assert tokens(spark, text) == want.split()
+
+
+def test_kinds_and_instances(spark):
+    rows = [("АПЕЛЛЯЦИОННОЕ ОПРЕДЕЛЕНИЕ", "апелляционное определение", "апелляция"), ("Кассационный суд", "кассационное определение", "кассация"), ("Р Е Ш Е Н И Е", "решение", "первая инстанция"), ("прочее", "определение", "первая инстанция")]
+    got = spark.createDataFrame(rows, "t string, kind string, instance string").select(T.document_kind(F.col("t")).alias("a"), "kind", T.court_instance(F.col("t")).alias("b"), "instance").collect()
+    assert all(r["a"] == r["kind"] and r["b"] == r["instance"] for r in got)
+
+
+def test_paragraphs(spark):
+    rows = spark.createDataFrame([("a b\n \nc\n\n\n d ",), ("  ",), ("one\ntwo",)], "t string").select(T.paragraphs(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["a b", "c", "d"], [], ["one\ntwo"]]
+
+
 def test_laws(spark):
     assert tokens(spark, "ФЗ-400")[-2:] == ["фз", "law_400"]
     assert {"фз", "law_400-фз"} <= set(tokens(spark, "федеральный закон от 28.12.2013 № 400-ФЗ"))
