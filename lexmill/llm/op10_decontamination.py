@@ -1,23 +1,49 @@
-"""Operator 10: benchmark decontamination by seed hashing (DataFrame operations only).
-
-A seed is the hash of a few consecutive words. Where at least r of L words are equal at the same places, the L - r
-others cut them into L - r + 1 runs at most, so one run has r / (L - r + 1) equal words or more, rounded up: seeds of
-that many words, taken at every place, lose no pair (4 words for 16 of 20). Seeds of the benchmark join seeds of the
-documents; each hit fixes an alignment of item and document, and the words around it are compared one by one.
+"""Operator 10: benchmark decontamination by spaced-seed hashing (DataFrame operations only).
+
+A seed is the hash of the words that a fixed mask keeps of a few consecutive words; the words that it ignores may
+differ. Masks are chosen to lose no pair: for each length of a run, by trying all places of the words that may differ
+(one mask, 1 1 1 0 1, serves all runs of 11 to 20 words at 4 of 5 equal). Where there are too many places to try, or
+no spaced mask that loses nothing, the mask is solid: L - r differing words cut a run of L words into L - r + 1 parts,
+one of which has r / (L - r + 1) equal words or more, rounded up. Seeds of the benchmark join seeds of the documents;
+each hit fixes an alignment of item and document, and the words around it are compared one by one.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, maybe_broadcast, stored, table
 
 
-def seed_length(words: int, share: float) -> int:
-    """The longest seed that every run of so many words with at least `share` of them equal holds intact."""
+#: Places of differing words that are tried to prove a mask, and the longest run (bits of an integer) for which they are.
+TRIED, LONGEST = 200_000, 60
+
+
+def loses_nothing(mask: tuple[int, ...], words: int, differ: int) -> bool:
+    """Whether in every run of so many words, of which any `differ` differ, the mask keeps only equal words at some place."""
+    left = np.array([sum(1 << i for i in at) for at in combinations(range(words), differ)], np.int64)
+    kept = sum(1 << i for i in mask)
+    for place in range(words - mask[-1]):
+        left = left[left & kept << place != 0]
+    return not len(left)
+
+
+def seed_mask(words: int, share: float, known: tuple[tuple[int, ...], ...] = ()) -> tuple[int, ...]:
+    """The places of the words that a seed keeps, so that every run of so many words with at least `share` of them equal has an intact seed: one of the known masks if it will do, else the heaviest and shortest."""
     least = next((n for n in range(1, words) if n >= share * words), words)
-    return -(-least // (words - least + 1))
+    differ = words - least
+    solid = -(-least // (differ + 1))
+    if differ and words <= LONGEST and comb(words, differ) <= TRIED:
+        new = [(0, *inner, span - 1) for weight in (solid + 1, solid) if weight > 1 for span in (weight + 1, weight + 2) if span <= words for inner in combinations(range(1, span - 1), weight - 2)]
+        for mask in (*(m for m in known if solid <= len(m) and m[-1] < words), *new):
+            if loses_nothing(mask, words, differ):
+                return mask
+    return tuple(range(solid))
 
 
 def _words(text):
@@ -28,10 +54,10 @@ def _hashed(words):
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def _seeds(a, lengths: list[int]):
-    """The seeds of an array of word hashes, length after length; position p of length number m is at m * size(a) + p; null where the window is cut."""
-    one = lambda k: F.transform(a, lambda x, i: F.when(i + F.lit(k) <= F.size(a), F.xxhash64(F.lit(k), *[F.get(a, i + F.lit(j)) for j in range(k)])))
-    return F.concat(*[one(k) for k in lengths])
+def _seeds(a, masks: list[tuple[int, ...]]):
+    """The seeds of an array of word hashes, mask after mask; position p of mask number m is at m * size(a) + p; null where the window is cut."""
+    one = lambda m, mask: F.transform(a, lambda x, i: F.when(i + F.lit(mask[-1]) < F.size(a), F.xxhash64(F.lit(m), *[F.get(a, i + F.lit(j)) for j in mask])))
+    return F.concat(*[one(m, mask) for m, mask in enumerate(masks)])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 20, share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -49,17 +75,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 20, share
     items = benchmark.select("item_id", _hashed(_words(F.col("text"))).alias("_b")).where(F.size("_b") > 0)
     items = stored(items.groupBy("_b").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items")))
     run = F.least(F.size("_b"), F.lit(window))
-    length_of = {r[0]: seed_length(r[0], share) for r in items.select(run).distinct().collect()}
-    lengths = sorted(set(length_of.values())) or [1]
+    mask_of: dict[int, tuple[int, ...]] = {}
+    for words in sorted((r[0] for r in items.select(run).distinct().collect()), reverse=True):
+        mask_of[words] = seed_mask(words, share, tuple(dict.fromkeys(mask_of.values())))
+    masks = list(dict.fromkeys(mask_of.values())) or [(0,)]
     own = F.lit(-1)
-    for words, k in length_of.items():
-        own = F.when(run == words, lengths.index(k)).otherwise(own)
-    seeds = items.select("item_id", F.size("_b").alias("_n"), own.alias("_own"), F.posexplode(_seeds(F.col("_b"), lengths)).alias("_p", "_seed"))
+    for words, mask in mask_of.items():
+        own = F.when(run == words, masks.index(mask)).otherwise(own)
+    seeds = items.select("item_id", F.size("_b").alias("_n"), own.alias("_own"), F.posexplode(_seeds(F.col("_b"), masks)).alias("_p", "_seed"))
     seeds = seeds.where(F.col("_seed").isNotNull() & (F.floor(F.col("_p") / F.col("_n")) == F.col("_own")))
     seeds = stored(seeds.select("item_id", "_seed", F.pmod("_p", "_n").alias("_ip")).distinct())
     n_seeds = seeds.count()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_key"), _hashed(_words(F.col("text"))).alias("_a"))
-    hits = keyed.select("doc_id", "_key", F.size("_a").alias("_n"), F.posexplode(_seeds(F.col("_a"), lengths)).alias("_p", "_seed")).where(F.col("_seed").isNotNull())
+    hits = keyed.select("doc_id", "_key", F.size("_a").alias("_n"), F.posexplode(_seeds(F.col("_a"), masks)).alias("_p", "_seed")).where(F.col("_seed").isNotNull())
     hits = hits.join(maybe_broadcast(seeds, n_seeds, broadcast_rows), "_seed").select("doc_id", "_key", "item_id", (F.pmod("_p", "_n") - F.col("_ip")).alias("doc_start")).distinct()
     hits = stored(hits.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("item_id", "doc_start")).alias("_hits")))
     n_hits, n_items = hits.count(), items.count()

@@ -1,6 +1,7 @@
 """Operators 1, 5, 7, 8, 10 against brute force on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -14,7 +15,7 @@ from lexmill.llm.op1_jaccard_join import jaccard_components, one_of_each
 from lexmill.llm.op5_line_dedup import dedup_lines
 from lexmill.llm.op7_substring_dedup import remove_repeated_windows
 from lexmill.llm.op8_mixing import mix_sources
-from lexmill.llm.op10_decontamination import contamination, decontaminate
+from lexmill.llm.op10_decontamination import contamination, decontaminate, seed_mask
 from lexmill.llm.repeats import Suspects, repeated
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -290,6 +291,16 @@ def found_pairs(spark, rows, items, **options):
     return {(r["doc_id"], r["item_id"]): (r["doc_start"], r["n_equal"]) for r in contamination(table(spark, rows), bench, **options).collect()}
 
 
+def test_masks_hit_every_run():
+    for share in (0.7, 0.8, 1.0):
+        for words in range(1, 21):
+            differ = max(n for n in range(words) if words - n >= share * words)
+            mask = seed_mask(words, share)
+            for bad in itertools.combinations(range(words), differ):
+                assert any(all(p + i not in bad for i in mask) for p in range(words - mask[-1])), (words, share, bad)
+    assert seed_mask(20, 0.8) == (0, 1, 2, 4)
+
+
 def test_decontamination_misses_no_substitutions(spark):
     rng = random.Random(11)
     pick = lambda k: [rng.choice([f"w{i}" for i in range(40)]) for _ in range(k)]

@@ -210,7 +210,7 @@ def test_base_spans():
 def test_odd_texts_of_personal_data():
     """Very long parts and tokens: no error, and time that grows with the text's length."""
     zeros = "0" * 6000
-    assert pii.base_spans(f"{zeros}1.2.{zeros}.255 9{zeros}.1.1.1") == [(1, 0, 6000 + 5 + 6000 + 4)]
+    assert pii.base_spans(f"{zeros}1.2.{zeros}.255 9{zeros}.1.1.1") == [(1, 0, 6000 + len("1.2.") + 6000 + len(".255"))]
     texts = ["A1b2+/" * 170_000, "ab12#" * 200_000, "1" * 1_000_000, "a=" + "bbbbbb=" * 140_000, "1.2." * 250_000, "x@" * 500_000, "+1" * 500_000, "a@b.c " * 160_000 + "k" * 40_000]
     for t in texts:
         start = time.perf_counter()
