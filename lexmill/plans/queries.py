@@ -218,8 +218,10 @@ query(f"WITH {S.fused(20)}\n{S.show('hybrid')}", "hybrid_rrf")(_ranking(replace(
 
 
 def _lemmas(spark, d) -> DataFrame:
-    """A lemma table over the words of documents and questions: the first four characters of longer words."""
-    texts = corpus_documents(spark, d).select("text").unionByName(benchmark_questions(spark, d).select(F.col("question").alias("text")))
+    """A lemma table over the words of documents, their windows (which cut words) and questions: the first four characters of longer words."""
+    docs = corpus_documents(spark, d)
+    windows = chunking.window_chunks(docs, WINDOWS.chunk_size, WINDOWS.chunk_stride).select(F.col("chunk_text").alias("text"))
+    texts = docs.select("text").unionByName(windows).unionByName(benchmark_questions(spark, d).select(F.col("question").alias("text")))
     words = texts.select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct().where(F.length("token") > 4)
     return words.select("token", F.substring("token", 1, 4).alias("lemma"))
 
