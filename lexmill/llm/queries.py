@@ -13,9 +13,11 @@ from . import (
     op8_mixing,
     op9_pii,
     op10_decontamination,
+    op11_chat_format,
+    op12_ranked_search,
 )
 
-MODULES = (op1_jaccard_join, op2_language_id, op3_hamming, op4_tokens, op5_line_dedup, op6_quality, op7_substring_dedup, op8_mixing, op9_pii, op10_decontamination)
+MODULES = (op1_jaccard_join, op2_language_id, op3_hamming, op4_tokens, op5_line_dedup, op6_quality, op7_substring_dedup, op8_mixing, op9_pii, op10_decontamination, op11_chat_format, op12_ranked_search)
 
 
 def queries() -> dict:
