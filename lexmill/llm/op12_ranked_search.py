@@ -44,7 +44,7 @@ SHARD_POSTINGS, SHARD_DOCS = 500_000, 65_536
 #: Lengths that a block of postings may have: rungs of the dynamic programme.
 LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 #: What a block costs, as a multiple of the mean distance of its list's postings from their mean.
-BLOCK_COST = 8.0
+BLOCK_COST = 4.0
 
 
 def terms(text: bytes) -> list[bytes]:
