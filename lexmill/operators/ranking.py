@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .index import rounded
 
-#: Best pads that are taken at once before it is asked whether fewer than all matches will do.
-FRONT = 10_000
+#: Best pads that are tried first.
+FRONT = 2_000
 POOLING = ("max", "top2_sum", "mean_topk", "logsumexp")
 
 
@@ -24,33 +24,38 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= check_depth(k)).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
-def dense_topk(scores: DataFrame, questions: DataFrame, pads: DataFrame, k: int) -> DataFrame:
+def dense_topk(scores: DataFrame, questions: DataFrame, pads: DataFrame, k: int, keep=None) -> DataFrame:
     """ranked(), where documents that match nothing take part with their pad score.
 
-    pads(doc_id, pad) has every document's score without a match. Only questions whose kth match isn't above the
-    best pad need any, and k + m of the best pads hold k that are unmatched, m being the most matches of such a
-    question; beyond FRONT of them the depth grows only until k are unmatched.
+    pads(doc_id, pad) has every document's score without a match. Only questions whose kth match isn't above the best
+    pad need any. For these the first pads in order, FRONT of them or as many as it takes for each to have k without a
+    match, are one list; a question takes its k from it by leaving out those that it matches. keep(df), if given, keeps
+    the scores, which are read for the ranking, for counts and for the matches in the list.
     """
-    w = Window.partitionBy("qid").orderBy(F.desc(rounded(F.col("score"))), "doc_id")
-    matched = scores.select("qid", "doc_id", "score").withColumn("_r", F.row_number().over(w))
-    state = matched.groupBy("qid").agg(F.count(F.lit(1)).alias("_m"), F.max(F.when(F.col("_r") == k, rounded(F.col("score")))).alias("_kth"))
-    best = pads.agg(rounded(F.max("pad")).alias("_best"))
-    needy = questions.select("qid").distinct().join(state, "qid", "left").crossJoin(F.broadcast(best))
-    needy = needy.where(F.col("_kth").isNull() | (F.col("_kth") <= F.col("_best"))).select("qid", F.coalesce("_m", F.lit(0)).alias("_m"))
-    most = needy.agg(F.max("_m")).first()[0]
+    scores = scores.select("qid", "doc_id", "score")
+    scores = keep(scores) if keep else scores
     found = ranked(scores, k)
-    if most is None:
+    kth = found.groupBy("qid").agg(F.count(F.lit(1)).alias("_m"), F.min(rounded(F.col("score"))).alias("_kth"))
+    best = pads.agg(rounded(F.max("pad"))).first()[0]
+    if best is None:  # no documents
+        return found
+    needy = questions.select("qid").distinct().join(kth, "qid", "left").where(F.col("_m").isNull() | (F.col("_m") < k) | (F.col("_kth") <= F.lit(best))).select("qid")
+    if needy.isEmpty():
         return found
-    depth = min(int(most) + k, FRONT)
-    front = lambda: pads.orderBy(F.desc(rounded(F.col("pad"))), "doc_id").limit(depth)
-    while depth < int(most) + k:  # a question with very many matches: as deep as k unmatched documents lie, no deeper
-        hits = scores.join(F.broadcast(front()), "doc_id", "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("_h"))
-        if needy.join(hits, "qid").where(F.col("_h") > depth - k).isEmpty():
+    entry = F.struct((-rounded(F.col("pad"))).alias("o"), F.col("doc_id").alias("doc_id"), F.col("pad").alias("pad"))
+    depth = max(FRONT, 2 * k)
+    while True:
+        front = pads.orderBy(F.desc(rounded(F.col("pad"))), "doc_id").limit(depth)
+        front = keep(front) if keep else front
+        hits = scores.join(needy, "qid", "left_semi").join(F.broadcast(front) if depth <= 10 * FRONT else front, "doc_id")
+        hits = hits.groupBy("qid").agg(F.collect_list(entry).alias("_hit"))
+        if front.count() < depth or hits.where(F.size("_hit") > depth - k).isEmpty():
             break
-        depth = min(4 * depth, int(most) + k)
-    front = front()
-    extra = needy.select("qid").crossJoin(front).join(scores.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "doc_id", F.col("pad").alias("score"))
-    return ranked(found.select("qid", "doc_id", "score").unionByName(extra), k)
+        depth *= 4  # some question matches nearly all of the first pads
+    whole = front.agg(F.sort_array(F.collect_list(entry)).alias("_all"))  # one row of at most depth entries
+    free = F.slice(F.when(F.col("_hit").isNull(), F.col("_all")).otherwise(F.array_except("_all", "_hit")), 1, k)
+    extra = needy.join(hits, "qid", "left").crossJoin(F.broadcast(whole)).select("qid", F.inline(free))
+    return ranked(found.select("qid", "doc_id", "score").unionByName(extra.select("qid", "doc_id", F.col("pad").alias("score"))), k)
 
 
 def pooled(best: Column, mode: str, k: int) -> Column:

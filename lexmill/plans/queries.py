@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import chunking
 from lexmill.functions import text as T
-from lexmill.operators import describe, evaluate, index, ranking, rerank, splits, submission
+from lexmill.operators import describe, evaluate, index, kept, pruned, ranking, rerank, splits, submission
+from lexmill.sources.shared import new_folder
 
 from . import sql as S
 from .questions import benchmark_questions, corpus_documents, labelled_questions, table, user_turns
@@ -217,6 +218,20 @@ query(None, "chunked_bm25_structured")(_ranking(Params(name="chunked_bm25")))
 query(f"WITH {S.fused(20)}\n{S.show('hybrid')}", "hybrid_rrf")(_ranking(replace(WINDOWS, name="hybrid_rrf"), 20))
 
 
+@query(S.topk())
+def kept_bm25_topk(spark, d):
+    """bm25_topk from an index that was written to files and opened by its path."""
+    index_ = kept.build(corpus_documents(spark, d), new_folder(spark, "index"), buckets=8)
+    return rounded(kept.bm25_topk(index_, benchmark_questions(spark, d), 5), "score")
+
+
+@query(S.topk())
+def pruned_bm25_topk(spark, d):
+    """The same, leaving out the postings that can't matter."""
+    index_ = kept.build(corpus_documents(spark, d), new_folder(spark, "index"), buckets=8)
+    return rounded(pruned.Search(index_, benchmark_questions(spark, d), 5).topk(), "score")
+
+
 def _lemmas(spark, d) -> DataFrame:
     """A lemma table over the words of documents, their windows (which cut words) and questions: the first four characters of longer words."""
     docs = corpus_documents(spark, d)

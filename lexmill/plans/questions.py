@@ -23,7 +23,11 @@ def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage as a question (qid, question)."""
-    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b_"), F.col("item_id").cast("string")).alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
+    return passages_as_questions(table(spark, sf_dir, "benchmark"))
+
+
+def passages_as_questions(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.concat(F.lit("b_"), F.col("item_id").cast("string")).alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
 
 
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +36,18 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark passages that stand verbatim in a document: qid, question, gold_doc_id (the smallest id as text), topic (its language and source), fold, split.
+    """The benchmark passages with their gold documents."""
+    return labelled(table(spark, sf_dir, "documents"), benchmark_questions(spark, sf_dir))
+
+
+def labelled(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """The questions(qid, question) that stand verbatim in a document: qid, question, gold_doc_id (the smallest id as text), topic (its language and source), fold, split.
 
     A document with the passage has each word between the passage's first and last blank, so candidates meet on
     the rarest of these and only they are compared as text. Passages without such a word meet all documents, as a
     query set of their own.
     """
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    questions = benchmark_questions(spark, sf_dir)
+    docs = docs.where(F.col("text").isNotNull())
     words = lambda text: F.array_distinct(F.regexp_extract_all(T.normalize(text), F.lit(T.TOKEN), F.lit(0)))
     inner = F.regexp_extract("question", r"(?s)\s(.*)\s", 1)
     asked = questions.select("qid", "question", F.explode(words(inner)).alias("term"))

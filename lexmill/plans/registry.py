@@ -133,11 +133,11 @@ def retrieve(corpus: Corpus, questions: DataFrame, p: Params, k: int | None = No
         terms = corpus.terms(questions, p.tokenizer)
         made = corpus.documents(p.tokenizer)
         scores = (index.bm25_scores if p.name == "bm25" else index.tfidf_scores)(made, terms)
-        return ranking.dense_topk(scores, questions, corpus.docs.select("doc_id", F.lit(0.0).alias("pad")), k)
+        return ranking.dense_topk(scores, questions, corpus.docs.select("doc_id", F.lit(0.0).alias("pad")), k, corpus.keep)
     if p.name in ("chunked_tfidf", "chunked_bm25"):
         scores, counts = passage_scores(corpus, questions, p)
         pooled, pads = ranking.pool(scores, counts, p.chunk_score_aggregation, p.chunk_score_top_k)
-        return ranking.dense_topk(pooled, questions, pads, k)
+        return ranking.dense_topk(pooled, questions, pads, k, corpus.keep)
     if p.name == "hybrid_rrf":
         parts = [retrieve(corpus, questions, replace(p, name=n), k) for n in p.hybrid_retrievers]
         return ranking.reciprocal_rank_fusion(parts, k, p.rrf_k)
@@ -205,7 +205,7 @@ def pooling_sweep(corpus: Corpus, questions: DataFrame, p: Params, modes=ranking
     out = None
     for mode in modes:
         pooled, pads = ranking.pool(scores, counts, mode, p.chunk_score_top_k)
-        placed = evaluate.first_gold_rank(questions, ranking.dense_topk(pooled, questions, pads, depth_), depth_)
+        placed = evaluate.first_gold_rank(questions, ranking.dense_topk(pooled, questions, pads, depth_, corpus.keep), depth_)
         row = _labelled(evaluate.cv_summary(placed, [metric_k]), chunk_score_aggregation=mode, chunk_score_top_k=p.chunk_score_top_k)
         out = row if out is None else out.unionByName(row)
     return out
