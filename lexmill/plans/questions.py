@@ -11,6 +11,8 @@ from lexmill.sources.tables import from_documents
 
 #: Terms of questions that may be broadcast; more are joined with a shuffle.
 BROADCAST_TERMS = 200_000
+#: Passages without an inner word that each text is searched for at once, about.
+WORDLESS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,23 +46,28 @@ def labelled(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """The questions(qid, question) that stand verbatim in a document: qid, question, gold_doc_id (the smallest id as text), topic (its language and source), fold, split.
 
     A document with the passage has each word between the passage's first and last blank, so candidates meet on
-    the rarest of these and only they are compared as text. Passages without such a word meet all documents, as a
-    query set of their own.
+    the rarest of these and only they are compared as text. Passages without such a word are a query set of their own,
+    which each document's text is searched for in blocks of WORDLESS passages. Empty passages stand nowhere.
     """
     docs = docs.where(F.col("text").isNotNull())
+    questions = questions.where("question <> ''")
     words = lambda text: F.array_distinct(F.regexp_extract_all(T.normalize(text), F.lit(T.TOKEN), F.lit(0)))
     inner = F.regexp_extract("question", r"(?s)\s(.*)\s", 1)
     asked = questions.select("qid", "question", F.explode(words(inner)).alias("term"))
-    terms = asked.select("term").distinct().persist()
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
     held = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).join(terms, "term")
     frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(frequency, "term").groupBy("qid", "question").agg(F.min(F.struct("df", "term")).alias("_r")).select("qid", "question", F.col("_r.term").alias("term"))
     texts = docs.select("doc_id", "text", "lang", "source")
     pairs = rarest.join(held, "term").join(texts, "doc_id").where(F.contains("text", F.col("question"))).drop("term")
     wordless = questions.where(F.size(words(inner)) == 0)
-    if not wordless.isEmpty():
-        pairs = pairs.unionByName(wordless.crossJoin(texts).where(F.contains("text", F.col("question"))), allowMissingColumns=True)
+    n = wordless.count()
+    for i in range(-(-n // WORDLESS)):
+        block = wordless.where(F.pmod(F.xxhash64("qid"), F.lit(-(-n // WORDLESS))) == i).select("qid", "question").collect()
+        if block:
+            listed = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(t).alias("question")) for q, t in block])
+            pairs = pairs.unionByName(texts.withColumn("_q", F.explode(F.filter(listed, lambda q: F.contains("text", q["question"])))).select(F.col("_q.qid").alias("qid"), F.col("_q.question").alias("question"), "doc_id", "text", "lang", "source"), allowMissingColumns=True)
     first = Window.partitionBy("qid").orderBy(F.col("doc_id").cast("string"))
     gold = pairs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1)
     fold = F.pmod("doc_id", F.lit(5)).cast("long")

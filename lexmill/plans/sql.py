@@ -7,7 +7,7 @@ from lexmill.functions.text import PASS_PREFIXES, SHORT_WORDS, STOP_WORDS, TOKEN
 _LIST = lambda words: ", ".join(f"'{w}'" for w in words)
 DOCS = "docs AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text FROM documents)"
 QUESTIONS = "qs AS (SELECT 'b_' || item_id AS qid, coalesce(text, '') AS question FROM benchmark)"
-GOLD = """gold0 AS (SELECT 'b_' || item_id AS qid, b.text AS question, min(CAST(d.doc_id AS VARCHAR)) AS gold_doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
+GOLD = """gold0 AS (SELECT 'b_' || item_id AS qid, b.text AS question, min(CAST(d.doc_id AS VARCHAR)) AS gold_doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '' GROUP BY ALL),
 gold AS (SELECT qid, question, gold_doc_id, lang || '/' || source AS topic, CAST(doc_id % 5 AS BIGINT) AS fold, CASE WHEN doc_id % 5 = 4 THEN 'holdout' ELSE 'cv' END AS split, instr(text, question) - 1 AS place0, length(text) AS chars FROM gold0 JOIN documents ON CAST(doc_id AS VARCHAR) = gold_doc_id)"""
 
 
