@@ -1,17 +1,11 @@
-"""Documents to passages: fixed windows as an expression, structure-aware packing as one Arrow-batched function."""
+"""Documents to passages: fixed windows and structure-aware packing, as expressions."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACES = re.compile(r"\s+")
-_PARAGRAPH = re.compile(r"\n\s*\n+")
-_SENTENCE = re.compile(r"(?<=[.!?…;:])\s+(?=[А-ЯЁA-Z0-9])")
+from lexmill.functions import text as T
 
 
 def check_window(size: int, stride: int | None = None) -> int:
@@ -32,56 +26,65 @@ def hard_windows(text: Column, size: int, stride: int) -> Column:
     return F.when(n > 0, F.transform(cuts, lambda c, i: F.struct(i.alias("chunk_no"), c.alias("chunk_text")))).otherwise(F.array().cast("array<struct<chunk_no:int,chunk_text:string>>"))
 
 
-def cut(text: str, size: int, overlap: int) -> list[str]:
-    """`text` in windows of `size` that overlap; blank windows go."""
-    step = max(1, size - overlap)
-    starts = range(0, max(1, len(text) - size + step), step) if text else ()
-    return [w for s in starts if (w := text[s : s + size]).strip()]
-
-
-def units(text: str, size: int, stride: int) -> list[str]:
-    """Paragraphs; the sentences of those that are too long; windows of what is still too long."""
-    out: list[str] = []
-    for p in filter(None, (_SPACES.sub(" ", p).strip() for p in _PARAGRAPH.split(text.strip()))):
-        parts = [p] if len(p) <= size else [s for s in map(str.strip, _SENTENCE.split(p)) if s]
-        for part in parts:
-            out += [part] if len(part) <= size else cut(part, size, size - stride)
-    return out
-
-
-def pack(text: str | None, size: int, stride: int) -> list[str]:
-    """Units joined by blanks into chunks of at most `size` (a first unit always fits); each next chunk repeats trailing units of up to size - stride characters, one at least, but always begins later."""
-    u = units(text or "", size, stride)
-    chunks: list[str] = []
-    first, overlap = 0, size - stride
-    while first < len(u):
-        end, total = first + 1, len(u[first])
-        while end < len(u) and total < size and total + 1 + len(u[end]) <= size:
-            total += 1 + len(u[end])
-            end += 1
-        chunks.append(" ".join(u[first:end]))
-        if end == len(u):
-            break
-        back = end
-        if overlap:
-            back, held = end - 1, len(u[end - 1])
-            while back > first and held < overlap and held + 1 + len(u[back - 1]) <= overlap:
-                back -= 1
-                held += 1 + len(u[back])
-        first = max(back, first + 1)
-    return chunks
+def units(text: Column, size: int, stride: int) -> Column:
+    """Paragraphs with single blanks; the sentences of those that are too long; windows of what is still too long."""
+    spaced = lambda c: F.trim(F.regexp_replace(c, T.SPACES, " "))
+    parts = F.filter(F.transform(T.paragraphs(text), spaced), lambda p: p != "")
+    parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(T.sentences(p))))
+    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.transform(hard_windows(p, size, stride), lambda w: w["chunk_text"]))))
+
+
+def packed(every: Column, size: int, stride: int) -> Column:
+    """An array of units as chunks, each of units joined by blanks.
+
+    A fold over the units. Its state is the first unit of the open chunk, the lengths of the chunk's units, and the
+    chunks that are closed, as (first, end). A unit joins the open chunk while that stays within `size`; else the chunk
+    is closed, and the next keeps trailing units of up to size - stride characters, one at least, but begins at least
+    one unit later. Where the kept units leave no room either, they are a chunk of their own, and so on.
+    """
+    overlap = size - stride
+
+    def kept(lengths: Column) -> Column:
+        """How many trailing units the next chunk repeats."""
+        if not overlap:
+            return F.lit(0)
+        first = F.struct(F.lit(1).alias("n"), F.element_at(lengths, -1).alias("held"), F.lit(True).alias("open"))
+        earlier = F.slice(F.reverse(lengths), 2, F.size(lengths))
+
+        def more(s: Column, n: Column) -> Column:
+            fits = s["open"] & (s["held"] + 1 + n <= overlap)
+            return F.struct((s["n"] + fits.cast("int")).alias("n"), F.when(fits, s["held"] + 1 + n).otherwise(s["held"]).alias("held"), fits.alias("open"))
+
+        return F.least(F.aggregate(earlier, first, more)["n"], F.size(lengths) - 1)
+
+    def fits(s: Column, n: Column) -> Column:
+        return (F.size(s["held"]) == 0) | (F.aggregate(s["held"], F.lit(0), lambda a, x: a + x + 1) + n <= size)
+
+    def close(s: Column) -> Column:
+        end = s["first"] + F.size(s["held"])
+        n = kept(s["held"])
+        left = F.slice(s["held"], F.size(s["held"]) - n + 1, n)
+        return F.struct((end - n).alias("first"), left.alias("held"), F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), end.alias("end")))).alias("done"))
+
+    def step(s: Column, unit: Column) -> Column:
+        n = F.length(unit)
+        room = F.when(fits(s, n), s).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(s["held"])), s, lambda t, _: F.when(fits(t, n), t).otherwise(close(t))))
+        held = F.transform(F.array(room), lambda r: F.struct(r["first"].alias("first"), F.concat(r["held"], F.array(n)).alias("held"), r["done"].alias("done")))
+        return F.get(held, F.lit(0))  # room is made once
+
+    start = F.struct(F.lit(0).alias("first"), F.array().cast("array<int>").alias("held"), F.array().cast("array<struct<first:int,end:int>>").alias("done"))
+    last = lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (s["first"] + F.size(s["held"])).alias("end"))))
+    spans = F.aggregate(every, start, step, lambda s: F.when(F.size(s["held"]) > 0, last(s)).otherwise(s["done"]))
+    return F.transform(spans, lambda c: F.array_join(F.slice(every, c["first"] + 1, c["end"] - c["first"]), " "))
 
 
 def structured_chunks(docs: DataFrame, size: int = 1600, stride: int | None = None) -> DataFrame:
     """docs(doc_id, text) to (doc_id, chunk_no, chunk_text); a document without chunks has its text as the only one."""
     stride = check_window(size, stride)
-
-    @F.pandas_udf("array<string>")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: pack(t, size, stride) or [t or ""])
-
-    return docs.select("doc_id", F.posexplode(packed(F.coalesce("text", F.lit("")))).alias("chunk_no", "chunk_text"))
+    text = F.coalesce("text", F.lit(""))
+    # Inside a transform the units are made once; as a column they would be put in wherever they are read.
+    made = F.transform(F.array(units(text, size, stride)), lambda u: F.when(F.size(u) > 0, packed(u, size, stride)).otherwise(F.array(text)))
+    return docs.select("doc_id", F.posexplode(F.get(made, F.lit(0))).alias("chunk_no", "chunk_text"))
 
 
 #: The same under another name.

@@ -30,7 +30,7 @@ UID = r"(?iuU)\b(?:uid|уид)\s*([a-zа-я0-9]+(?:[-/][a-zа-я0-9]+)+)\b"
 DOTTED = r"(?iuU)\b\d+(?:\.\d+)+(?:-\d+)?\b"
 #: The \s of the data's first home takes U+001C to U+001F, Java's does not.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
-PARAGRAPH = r"(?U)\n\s*\n+"
+PARAGRAPH = r"(?U)\n[\s\x1c-\x1f]*\n+"
 SENTENCE = r"(?U)(?<=[.!?…;:])\s+(?=[А-ЯЁA-Z0-9])"
 
 
@@ -76,7 +76,7 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def numeric_date_tokens(normalized: Column) -> Column:
     parts = lambda m: F.split(m, r"\.")
-    return _where(normalized, r"(?U)\d\.\d", F.transform(_all(normalized, NUMERIC_DATE), lambda m: _date(F.get(parts(m), F.lit(2)), F.lpad(F.get(parts(m), F.lit(1)), 2, "0"), F.get(parts(m), F.lit(0)))))
+    return F.transform(_all(normalized, NUMERIC_DATE), lambda m: _date(F.get(parts(m), F.lit(2)), F.lpad(F.get(parts(m), F.lit(1)), 2, "0"), F.get(parts(m), F.lit(0))))
 
 
 def text_date_tokens(normalized: Column) -> Column:
@@ -94,12 +94,26 @@ def uid_tokens(normalized: Column) -> Column:
 
 
 def dotted_tokens(normalized: Column) -> Column:
-    return _where(normalized, r"(?U)\d\.\d", _all(normalized, DOTTED))
+    return _all(normalized, DOTTED)
+
+
+#: Blocks of the Cyrillic letters: patterns that need one are tried only on texts that have one.
+CYRILLIC = "[\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f]"
 
 
 def special_tokens(normalized: Column) -> Column:
-    kinds = (article_tokens, law_tokens, civil_code_tokens, numeric_date_tokens, text_date_tokens, case_tokens, uid_tokens, dotted_tokens)
-    return F.concat(*[f(normalized) for f in kinds])
+    """References in the order of their kinds. Cheap classes of characters decide first which kinds a text may have."""
+    of = lambda *kinds: F.concat(*[f(normalized) for f in kinds])
+    cyrillic = normalized.rlike(CYRILLIC)
+    none = F.array().cast("array<string>")
+    numbers = normalized.rlike(r"(?U)\d\.\d")
+    return F.concat(
+        F.when(cyrillic, of(article_tokens, law_tokens, civil_code_tokens)).otherwise(none),
+        F.when(numbers, numeric_date_tokens(normalized)).otherwise(none),
+        F.when(cyrillic, text_date_tokens(normalized)).otherwise(none),
+        F.when(normalized.rlike("[-/]"), of(case_tokens, uid_tokens)).otherwise(none),
+        F.when(numbers, dotted_tokens(normalized)).otherwise(none),
+    )
 
 
 def tokenize(text: Column) -> Column:

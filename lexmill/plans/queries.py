@@ -135,7 +135,7 @@ def hard_split(spark, d):
     return chunking.window_chunks(corpus_documents(spark, d), 1600, 800).select("doc_id", long("chunk_no"), F.md5("chunk_text").alias("chunk"))
 
 
-@query()
+@query(f"WITH {S.DOCS},\n{S.structured(1600, 800)}\nSELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, md5(chunk_text) AS chunk FROM chunks")
 def chunks_structured(spark, d):
     return chunking.structured_chunks(corpus_documents(spark, d), 1600, 800).select("doc_id", long("chunk_no"), F.md5("chunk_text").alias("chunk"))
 
@@ -214,7 +214,7 @@ query(S.topk(scoring=S.TFIDF, tok=S.simple_tokens), "tfidf_simple_topk")(_rankin
 for _mode in ranking.POOLING:
     query(S.topk(chunked=(1600, 800), mode=_mode), f"chunked_bm25_{_mode}")(_ranking(replace(WINDOWS, chunk_score_aggregation=_mode)))
 query(S.topk(scoring=S.TFIDF, chunked=(1600, 800)), "chunked_tfidf_max")(_ranking(replace(WINDOWS, name="chunked_tfidf")))
-query(None, "chunked_bm25_structured")(_ranking(Params(name="chunked_bm25")))
+query(S.topk(chunked=("structured", 1600, 800)), "chunked_bm25_structured")(_ranking(Params(name="chunked_bm25")))
 query(f"WITH {S.fused(20)}\n{S.show('hybrid')}", "hybrid_rrf")(_ranking(replace(WINDOWS, name="hybrid_rrf"), 20))
 
 

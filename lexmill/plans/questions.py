@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.sources.tables import from_documents
+from lexmill.sources.tables import from_documents, spread
 
 
 #: Terms of questions that may be broadcast; more are joined with a shuffle.
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_documents(table(spark, sf_dir, "documents"))
+    return spread(from_documents(table(spark, sf_dir, "documents")), "doc_id")
 
 
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

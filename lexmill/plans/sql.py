@@ -51,10 +51,32 @@ kept AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 A
 chunks AS (SELECT * FROM kept UNION ALL SELECT doc_id, 0, text FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM kept))"""
 
 
-def units(chunked: tuple[int, int] | None, tok=tokens) -> str:
+def structured(size: int, stride: int) -> str:
+    """CTEs up to chunks: units by lists, chunks by a recursion over the first unit of each."""
+    space = r"[\s\x1c-\x1f]"
+    strip = lambda x: rf"regexp_replace({x}, '^{space}+|{space}+$', '', 'g')"
+    one = lambda x: rf"trim(regexp_replace({x}, '{space}+', ' ', 'g'))"
+    sentences = rf"list_filter(string_split(regexp_replace(x, '([.!?…;:])\s+([А-ЯЁA-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda y: y <> '')"
+    cuts = rf"list_filter(list_transform(range(0, CAST(greatest(0, ceil((length(x) - {size}) / {stride})) AS BIGINT) + 1), lambda i: substr(x, CAST(i * {stride} + 1 AS BIGINT), {size})), lambda y: regexp_replace(y, '{space}+', '', 'g') <> '')"
+    nothing = "CAST([] AS VARCHAR[])"
+    back = "e" if size == stride else f"least(e - 1, len(list_filter(p, lambda x: x < p[e + 1] - 1 - {size - stride})))"
+    end = f"greatest(f + 1, len(list_filter(p, lambda x: x <= p[f + 1] + 1 + {size})) - 1)"
+    return rf"""para AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex({strip('text')}, '\n{space}*\n+'), lambda x: {one('x')}), lambda x: x <> '') AS u FROM docs),
+sent AS (SELECT doc_id, text, flatten(list_concat([{nothing}], list_transform(u, lambda x: CASE WHEN length(x) <= {size} THEN [x] ELSE {sentences} END))) AS u FROM para),
+unit AS MATERIALIZED (SELECT doc_id, text, flatten(list_concat([{nothing}], list_transform(u, lambda x: CASE WHEN length(x) <= {size} THEN [x] ELSE {cuts} END))) AS u FROM sent),
+pref AS MATERIALIZED (SELECT doc_id, u, list_transform(range(0, len(u) + 1), lambda i: CAST(coalesce(list_sum(list_transform(u[1:i], lambda x: length(x) + 1)), 0) AS BIGINT)) AS p FROM unit WHERE len(u) > 0),
+walk AS (WITH RECURSIVE w(doc_id, chunk_no, f, e) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT, {end} FROM (SELECT doc_id, p, 0 AS f FROM pref)
+  UNION ALL SELECT doc_id, chunk_no + 1, f, {end} FROM (SELECT w.doc_id, w.chunk_no, p, u, greatest({back}, f + 1) AS f FROM w JOIN pref USING (doc_id) WHERE e < len(u)))
+  SELECT * FROM w),
+chunks AS (SELECT doc_id, chunk_no, array_to_string(u[f + 1:e], ' ') AS chunk_text FROM walk JOIN pref USING (doc_id) UNION ALL SELECT doc_id, 0, text FROM unit WHERE len(u) = 0)"""
+
+
+def units(chunked: tuple | None, tok=tokens) -> str:
     if chunked is None:
         return f"units AS (SELECT doc_id AS unit_id, doc_id, {tok('text')} AS tokens FROM docs)"
-    return windows(*chunked) + f",\nunits AS (SELECT doc_id || '#' || chunk_no AS unit_id, doc_id, {tok('chunk_text')} AS tokens FROM chunks)"
+    made = structured(*chunked[1:]) if chunked[0] == "structured" else windows(*chunked)
+    return made + f",\nunits AS (SELECT doc_id || '#' || chunk_no AS unit_id, doc_id, {tok('chunk_text')} AS tokens FROM chunks)"
 
 
 POSTINGS = """postings AS (SELECT unit_id, doc_id, term, count(*) AS tf FROM (SELECT unit_id, doc_id, unnest(tokens) AS term FROM units) GROUP BY ALL),
@@ -82,7 +104,7 @@ def query_terms(tok=tokens) -> str:
     return f"qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tok('question')}) AS term FROM qs) GROUP BY ALL)"
 
 
-def document_scores(scoring: str = BM25, chunked: tuple[int, int] | None = None, mode: str = "max", k: int = 2, questions: str = QUESTIONS, tok=tokens) -> str:
+def document_scores(scoring: str = BM25, chunked: tuple | None = None, mode: str = "max", k: int = 2, questions: str = QUESTIONS, tok=tokens) -> str:
     """CTEs up to dense(qid, doc_id, score)."""
     head = ",\n".join([DOCS, questions, query_terms(tok), units(chunked, tok)])
     if chunked is not None and scoring is BM25:

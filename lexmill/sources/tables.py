@@ -109,6 +109,12 @@ def from_documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast(T.StringType()).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by its key where its scan has fewer splits than the cluster has cores, so that costly expressions use all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = ("qid", "rank"), single: bool = True) -> None:
     """A CSV folder with a header, ordered; in one file only for small results."""
     keys = [c for c in order if c in df.columns]

@@ -1,8 +1,8 @@
 """Tokens and passages against values made by hand."""
 
+import random
+
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexmill.functions import chunking as C
@@ -72,21 +72,38 @@ def test_lemmas_leave_special_tokens(spark):
     assert T.lemmatize(rows, lemmas).first()["tokens"] == ["суд", "date_2020-01-01", "гк", "x9"]
 
 
-def test_cut():
-    assert C.cut("x" * 25, 10, 5) == ["x" * 10] * 4
-    assert [len(p) for p in C.cut("x" * 25, 10, 0)] == [10, 10, 5]
+def cut(text, size, stride):
+    """text in windows of size, one each stride; blank ones go."""
+    starts = range(0, max(1, len(text) - size + stride), stride) if text else ()
+    return [w for s in starts if (w := text[s : s + size]).strip()]
+
 
+def test_windows(spark):
+    text = spark.createDataFrame([("x" * 25,)], "text string")
+    sizes = lambda stride: [len(r["chunk_text"]) for r in text.select(F.inline(C.hard_windows(F.col("text"), 10, stride))).collect()]
+    assert sizes(5) == [10] * 4 and sizes(10) == [10, 10, 5]
 
-@pytest.mark.parametrize(("text", "want"), [("aaaa\n\nbbbb\n\ncccc", ["aaaa bbbb", "bbbb cccc"]), ("aaaaaaaa\n\nbbb", ["aaaaaaaa", "bbb"]), ("  ", []), (None, [])])
-def test_pack(text, want):
-    assert C.pack(text, 10, 5) == want
 
+def test_pack(spark):
+    rows = [("aaaa\n\nbbbb\n\ncccc", ["aaaa bbbb", "bbbb cccc"]), ("aaaaaaaa\n\nbbb", ["aaaaaaaa", "bbb"]), ("  ", ["  "]), (None, [""])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string")
+    got: dict = {}
+    for r in C.structured_chunks(docs, 10, 5).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk_text"])
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
 
-@given(st.text(alphabet="ab .\nAB", max_size=200), st.integers(1, 30), st.data())
-def test_pack_covers_all_words_and_ends(text, size, data):
-    chunks = C.pack(text, size, data.draw(st.integers(1, size)))
-    assert set("".join(text.split())) == set("".join("".join(chunks).split()))
-    assert all(c == c.strip() or len(c) <= size for c in chunks)
+
+def test_pack_covers_all_words_and_ends(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab .\nAB", k=rng.randrange(200))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for size, stride in ((1, 1), (5, 2), (30, 30)):
+        got: dict = {}
+        for r in C.structured_chunks(docs, size, stride).collect():
+            got.setdefault(r["doc_id"], []).append(r["chunk_text"])
+        for i, t in enumerate(texts):
+            assert set("".join(t.split())) == set("".join("".join(got[i]).split()))
+            assert got[i] == [t] or all(c == c.strip() or len(c) <= size for c in got[i])
 
 
 def test_windows_match_cut(spark):
@@ -96,7 +113,7 @@ def test_windows_match_cut(spark):
         got = {r["doc_id"]: [] for r in docs.collect()}
         for r in C.window_chunks(docs, size, stride).orderBy("doc_id", "chunk_no").collect():
             got[r["doc_id"]].append(r["chunk_text"])
-        assert got == {i: C.cut(t, size, size - stride) or [t] for i, t in enumerate(texts)}
+        assert got == {i: cut(t, size, stride) or [t] for i, t in enumerate(texts)}
 
 
 def test_structured_chunks_keep_empty_documents(spark):
