@@ -141,19 +141,22 @@ _NON_SPACE = np.ones(256, bool)
 _NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        size = 1 << (n - 1).bit_length()
-        step = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
-        step[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(step)
+#: Two primes under 2^31, a drawn value for each byte and a drawn base under each: no text's structure can make two
+#: polynomials modulo primes agree, as it can modulo a power of two.
+_PRIMES = (2147483647, 2147483629)
+_DRAWN = [np.random.default_rng(20240229 + i).integers(1, p, 256, dtype=np.int64).astype(np.uint64) for i, p in enumerate(_PRIMES)]
+_BASES = [1_103_515_245 + 2 * 739, 1_664_525_017]
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _power(i: int, up: bool, n: int) -> np.ndarray:
+    """The first n powers of a base, or of its inverse, modulo its prime."""
+    p = _PRIMES[i]
+    have = _powers.get((i, up), np.ones(1, np.uint64))
+    base = _BASES[i] if up else pow(_BASES[i], -1, p)
+    while len(have) < n:
+        have = np.concatenate([have, have * np.uint64(pow(base, len(have), p)) % np.uint64(p)])
+    _powers[i, up] = have
     return have[:n]
 
 
@@ -197,13 +200,16 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+        """A hash of each word's bytes (two polynomials modulo primes, 62 bits), the same wherever the word stands."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_RANDOM[self.data] * _power("up", n), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _power("down", n)[self.start])
+        halves = []
+        for i, p in enumerate(np.array(_PRIMES, np.uint64)):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_DRAWN[i][self.data] * _power(i, True, n) % p, out=sums[1:])  # under 2^31 each: no overflow
+            halves.append((sums[self.end] - sums[self.start]) % p * _power(i, False, n)[self.start] % p)
+        return mix((halves[0] << np.uint64(32)) | halves[1])
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

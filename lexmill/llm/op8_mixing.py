@@ -3,7 +3,9 @@
 Each source gets a target number of words. Whole copies come first; what is left of the target is a budget for
 one more copy of some documents, those whose hash lies under a threshold. The threshold is found without a sort:
 words are summed by source and hash bucket, the bucket in which the running sum passes the budget is the
-boundary, and only rows of the boundary bucket are summed again by the next bits of the hash.
+boundary, and only rows of the boundary bucket are summed again by the next bits of the hash. The rows of the last
+boundary bucket, which are one row or repeats of one row, are numbered over all tasks by sums of each task's rows, and
+taken while that comes nearer to the target.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     """One row per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken, and the columns named in carry.
 
     size counts words (null or empty text: 0, never taken beyond 0 words). A null source is a source of its own,
-    last in order. Repeated rows share a hash and are taken or left together; rows without a doc_id are hashed by
-    their text alone. A source without words has target 0. An empty table gives no rows. Other columns are
+    last in order. Repeated rows share a hash; where the threshold falls on them, as many of them are taken as come
+    nearest to the target. Rows without a doc_id are hashed by their text alone. A source without words has target 0. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
     limit = {} if broadcast_rows is None else {"limit": broadcast_rows}
@@ -68,14 +70,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
         before = F.coalesce(F.col("_e._upto") - F.col("_e._n"), F.lit(0))
         rest = F.col("_rest") - before
         bucket = F.coalesce(F.col("_e._b"), F.lit(0))
-        if level == LEVELS - 1:  # the last bucket is whole: in if that is nearer to the target
-            bucket = bucket + F.when(F.col("_e._n") < 2 * rest, 1).otherwise(0)
         found = stored(joined.select("_source", "source_size", "weight", "target", "_full", rest.alias("_rest"), (F.col("_t") + bucket * F.lit(step)).cast("long").alias("_t")))
     rows = docs.select(*sized, F.struct(*carry).alias("_carried")) if carry else base  # what is carried is read again, not stored
     out = rows.join(maybe_broadcast(found.withColumnRenamed("_source", "_s"), n, **limit), F.expr("_source <=> _s"))
-    copies = F.col("_full") + (F.shiftrightunsigned("_h", 64 - BITS * LEVELS) < F.col("_t")).cast("long")
-    copies = F.least(copies, F.lit(int(cap)))
-    return out.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[F.col("_carried").getField(c).alias(c) for c in carry])
+    place, edge = F.shiftrightunsigned("_h", 64 - BITS * LEVELS), F.coalesce(F.col("_rest") > 0, F.lit(False))
+    at_edge = edge & (place == F.col("_t")) & (F.col("size") > 0)
+    rest_ = [F.col(c) for c in ("doc_id", "_source", "size", "source_size", "target", "_full", "_rest")] + ([F.col("_carried")] if carry else [])
+    below = out.where(~at_edge).select(*rest_, (place < F.col("_t")).cast("long").alias("_more"))
+    tied = stored(out.where(at_edge).select(*rest_, "_h", F.spark_partition_id().alias("_p")))
+    # A running sum over all tasks: what the tasks before hold, and a sum within the task's own rows.
+    key = [F.col("_source").isNull().alias("_k0"), F.coalesce(F.col("_source").cast("string"), F.lit("")).alias("_k1"), "_p"]
+    held = tied.groupBy(*key).agg(F.sum("size").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("_k0", "_k1").orderBy("_p")) - F.col("_n")).drop("_n")
+    inside = Window.partitionBy("_k0", "_k1", "_p").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_before") + F.sum("size").over(inside)
+    chosen = tied.select("*", *key[:2]).join(held, ["_k0", "_k1", "_p"]).withColumn("_upto", upto).select(*rest_, (2 * F.col("_upto") - F.col("size") <= 2 * F.col("_rest")).cast("long").alias("_more"))
+    copies = F.least(F.col("_full") + F.col("_more"), F.lit(int(cap)))
+    return below.unionByName(chosen).select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[F.col("_carried").getField(c).alias(c) for c in carry])
 
 
 def op8_source_mixing(spark, sf_dir):

@@ -250,6 +250,35 @@ def test_mixing(spark):
     assert mix_sources(table(spark, [])).count() == 0
 
 
+def test_repeated_rows_come_near_the_target(spark):
+    rows = [(1, "w w w w w", "a")] * 1000 + [(2, "x " * 5, "b")] * 300 + [(3, "y", None)] + [(i, "z " * (i % 9), "b") for i in range(10, 200)]
+    for parts in (1, 7):
+        got = mix_sources(table(spark, rows).repartition(parts), carry=("text",)).collect()
+        taken, target, sizes = {}, {}, {}
+        for r in got:
+            taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+            sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+            target[r["source"]] = r["target"]
+        assert len(got) == len(rows) and all(r["copies"] <= 3 for r in got)
+        assert all(abs(taken[s] - target[s]) <= 9 for s in target), (taken, target)
+        again = sorted((r["doc_id"], r["taken"]) for r in got)
+        assert parts == 1 or again == before
+        before = again
+
+
+def test_words_of_a_structure_that_collides_modulo_powers_of_two():
+    import pyarrow as pa
+
+    from lexmill.llm.common import Words, text_bytes
+
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes = Words(*text_bytes(pa.array([f"{word} {other}", f"x {other}", "x", word]))).hashes()
+    assert hashes[0] != hashes[1] and hashes[1] == hashes[3] and hashes[2] == hashes[4] and hashes[0] == hashes[5]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     pick = lambda k: [rng.choice(["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(50)] + ["the"]) for _ in range(k)]
