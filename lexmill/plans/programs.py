@@ -91,9 +91,9 @@ def describe_data(corpus: Corpus, train: DataFrame, test: DataFrame, path: str,
     asked = lambda df: df.withColumn("q_tokens", F.size(T.tokenize(F.col("question"))))
     median = lambda df, c, name: df.agg(F.percentile(c, 0.5).alias(f"{name}_median"), F.percentile(c, 0.9).alias(f"{name}_p90"), F.max(c).cast("double").alias(f"{name}_max"))
     overlap = texts.select("qid", T.containment(T.tokenize(F.col("question")), T.tokenize(F.col("text"))).alias("o"))
-    nearest_doc = corpus.keep(describe.nearest(corpus.documents()))
+    nearest_doc = corpus.keep(describe.nearest(corpus.documents(), keep=corpus.keep))
     units = lambda df: df.select(F.col("qid").alias("unit_id"), F.col("qid").alias("doc_id"), T.tokenize(F.col("question")).alias("tokens"))
-    nearest_question = corpus.keep(describe.nearest(index.build_index(units(train)), units(test)))
+    nearest_question = corpus.keep(describe.nearest(index.build_index(units(train)), units(test), keep=corpus.keep))
     share = lambda df, c, *limits: df.agg(F.percentile(c, 0.5).alias("median"), *[F.avg((F.col(c) >= x).cast("double")).alias(f"share_from_{x}") for x in limits])
     placed = corpus.keep(evaluate.first_gold_rank(texts.select("qid", "gold_doc_id", "topic", T.document_kind(F.col("text")).alias("kind"), T.court_instance(F.col("text")).alias("instance")), retrieve(corpus, train, Params(), k), k))
     hard = evaluate.hits_by(placed, "topic", k, least)

@@ -398,14 +398,15 @@ best AS (SELECT qid, max(s) AS s FROM (SELECT qid, unit_id, sum(l.w * r.w) AS s
 SELECT turns.qid AS unit_id, round(coalesce(s, 0), 6) AS similarity FROM turns LEFT JOIN best USING (qid)""")
 def query_nn_similarity(spark, d):
     units = lambda q: q.select(F.col("qid").alias("unit_id"), F.col("qid").alias("doc_id"), T.tokenize(F.col("question")).alias("tokens"))
-    return rounded(describe.nearest(index.build_index(units(benchmark_questions(spark, d))), units(user_turns(spark, d))), "similarity")
+    return rounded(describe.nearest(index.build_index(units(benchmark_questions(spark, d))), units(user_turns(spark, d)), keep=_corpus(spark, d).keep), "similarity")
 
 
 @query(_INDEX.rstrip() + """, w AS (SELECT unit_id, term, tf * idf AS w FROM postings JOIN ti USING (term)), r AS (SELECT unit_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY unit_id)) AS w FROM w),
 best AS (SELECT a AS unit_id, max(s) AS s FROM (SELECT x.unit_id AS a, y.unit_id AS b, sum(x.w * y.w) AS s FROM r x JOIN r y ON x.term = y.term AND x.unit_id <> y.unit_id GROUP BY ALL) GROUP BY 1)
 SELECT lens.unit_id, round(coalesce(s, 0), 6) AS similarity FROM lens LEFT JOIN best USING (unit_id)""")
 def document_nn_similarity(spark, d):
-    return rounded(describe.nearest(_corpus(spark, d).documents()), "similarity")
+    corpus = _corpus(spark, d)
+    return rounded(describe.nearest(corpus.documents(), keep=corpus.keep), "similarity")
 
 
 # --- submission and sweeps ----------------------------------------------------------------------
