@@ -14,6 +14,12 @@ one and is done. The others are ordered from their rarest shingle to the commone
   distance to the empty set, by the triangle inequality), where boundary sets are replicated to all windows that they
   reach, and only if their distances to the region's pivot differ by the radius at most.
 
+Every set also has a parity bitmap (for each of at least n values of a hash, whether its shingles there are odd in
+number), a point of another metric space: the bits in which two bitmaps differ are fewer than the shingles that only
+one of the sets holds, so they bound the Jaccard distance from below. Pairs that the bound parts are never verified;
+an eighth of a byte for each shingle moves for them in place of eight. What the bound says of a pivot's distance
+serves the windows as well.
+
 Texts with equal sets collapse into one class first. Pairs within one component are never verified.
 """
 
@@ -41,6 +47,8 @@ COMMON = 8
 COPIED, COPIES = 1_000_000, 64
 #: Width of the windows of size.
 STEP = 1.02
+#: Pairs of one pivot that are verified by one task at most, about; a pivot with more has its set replicated.
+SPLIT = 1024
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -164,8 +172,25 @@ def _answers(batches, shares: int):
                 yield _tell(x[i : i + (1 << 20)], v[i : i + (1 << 20)], level[i : i + (1 << 20)], shares)
 
 
+def _parities(u: np.ndarray, n: int) -> np.ndarray:
+    """Whether the shingles u with each value of a hash are odd in number, as the bits of 64-bit words: n bits at least, a power of two."""
+    bits = 64
+    while bits < n:
+        bits *= 2
+    odd = (np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def differing_bits(a, b):
+    """In how many bits two columns of parity bitmaps differ, the longer one folded to the length of the other (parities add)."""
+    short, long_ = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    pieces = F.transform(F.sequence(F.lit(0), (F.size(long_) / F.size(short)).cast("int") - 1), lambda i: F.slice(long_, i * F.size(short) + 1, F.size(short)))
+    folded = F.aggregate(pieces, short, lambda acc, piece: F.zip_with(acc, piece, lambda p, q: p.bitwiseXOR(q)))
+    return F.aggregate(folded, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+
+
 def _supported(batches, percent: int):
-    """Of shares of sets, those with enough shingles that stand in other sets: these in order, the rarest first."""
+    """Of shares of sets, those with enough shingles that stand in other sets: these in order, the rarest first, and their parities."""
     parts = {"xs": (1, np.int64), "vs": (2, np.uint64), "levels": (3, np.uint8), "ns": (4, np.int64)}
     got = {name: [np.zeros(0, kind)] for name, (_, kind) in parts.items()}
     sized = [np.zeros(0, np.int64)]
@@ -192,11 +217,14 @@ def _supported(batches, percent: int):
         some = good[i : i + 256]
         lists = [v[ends[j] : ends[j + 1]].view(np.int64) for j in some]
         offsets = np.concatenate([[0], np.cumsum([len(u) for u in lists])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x[first[some]]), pa.array(n[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))], ["x", "n", "u"])
+        bits = [_parities(u.view(np.uint64), int(n[j])) for j, u in zip(some, lists, strict=True)]
+        cuts = np.concatenate([[0], np.cumsum([len(w) for w in bits])]).astype(np.int32)
+        held = lambda at, values: pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values)))
+        yield pa.RecordBatch.from_arrays([pa.array(x[first[some]]), pa.array(n[some]), pa.array(np.diff(offsets).astype(np.int64)), held(cuts, bits), held(offsets, lists)], ["x", "n", "f", "bits", "u"])
 
 
 def supported_sets(docs: DataFrame, rows: DataFrame, k: int, percent: int, held: int = HELD, common: int = COMMON) -> DataFrame:
-    """The sets of docs(doc_id, text) that may link, stored: x, n (size), u (shingles that stand in other sets, the rarest first).
+    """The sets of docs(doc_id, text) that may link, stored: x, n (size), u (shingles that stand in other sets, the rarest first), f (their number), bits (their parities).
 
     rows(doc_id, x, n) are the sets' keys and sizes. Shingles go to shares of their hashes, are counted there by
     different sets, and return to shares of the sets; nothing is broadcast but the sets with very many copies, of
@@ -236,7 +264,7 @@ def supported_sets(docs: DataFrame, rows: DataFrame, k: int, percent: int, held:
 
     told = docs.mapInArrow(lean(ask), _ASK).repartition(shares, "share").mapInArrow(lean(lambda b: _answers(b, shares)), _TELL)
     known = rows.where("x is not null").select("x", "n").distinct().mapInArrow(lean(sizes), _TELL)
-    return stored(told.unionByName(known).repartition(shares, "share").mapInArrow(lean(lambda b: _supported(b, percent)), "x long, n long, u array<long>"))
+    return stored(told.unionByName(known).repartition(shares, "share").mapInArrow(lean(lambda b: _supported(b, percent)), "x long, n long, f long, bits array<long>, u array<long>"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = ROUNDS, **options) -> DataFrame:
@@ -274,17 +302,32 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
         return F.least(rest_a, rest_b) * F.lit(100 + percent) >= F.lit(percent) * (n_a + n_b)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs(p, x) with their distance d and whether they link. Only their sets are read and moved."""
-        pairs = stored(pairs)
+        """pairs(p, x) with bounds lo and hi of their distance and whether they link. Sets are read and moved only for the pairs that their parities don't part."""
+        marks = sets.select("x", "n", "f", "bits")
+        of = lambda name: marks.select(F.col("x").alias(name), *[F.col(c).alias(f"_{name}{c}") for c in ("n", "f", "bits")])
+        both = pairs.join(of("p"), "p").join(of("x"), "x")
+        total = F.col("_pn") + F.col("_xn")
+        # Shingles of one set only: those of it that stand in no other set, and of the others as many as the parities differ in, at least.
+        alone = total - F.col("_pf") - F.col("_xf") + differing_bits(F.col("_pbits"), F.col("_xbits"))
+        near = F.lit(100 + percent) * alone <= F.lit(100 - percent) * total
+        pairs = stored(both.select("p", "x", (2 * alone / (total + alone)).alias("lo"), near.alias("near")))
+        far = pairs.where("not near").select("p", "x", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("link"))
+        pairs = pairs.where("near").select("p", "x")
         ends = stored(pairs.select(F.explode(F.array("p", "x")).alias("x")).distinct())
-        found = sets.join(maybe_broadcast(ends, ends.count()), "x", "left_semi")
-        both = pairs.join(found.select("x", F.col("u").alias("_xu"), F.col("n").alias("_xn")), "x")
-        both = both.join(found.select(F.col("x").alias("p"), F.col("u").alias("_pu"), F.col("n").alias("_pn")), "p")
+        found = sets.join(maybe_broadcast(ends, ends.count()), "x", "left_semi").select("x", "n", "u")
+        # A pivot with many pairs is dealt to several tasks, each of which gets its set.
+        busy = stored(pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("_parts")).where("_parts > 1"))
+        busy = maybe_broadcast(busy, busy.count())
+        dealt = pairs.join(busy, "p", "left").withColumn("_part", F.pmod(F.xxhash64("x"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        first = found.select(F.col("x").alias("p"), F.col("u").alias("_pu"), F.col("n").alias("_pn")).join(busy, "p", "left")
+        first = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        both = dealt.join(first, ["p", "_part"]).join(found.select("x", F.col("u").alias("_xu"), F.col("n").alias("_xn")), "x")
         both = both.withColumn("_i", F.size(F.array_intersect("_pu", "_xu")).cast("long"))
         union = F.col("_pn") + F.col("_xn") - F.col("_i")
-        out = stored(both.select("p", "x", (1 - F.col("_i") / union).alias("d"), (F.lit(100) * F.col("_i") >= F.lit(percent) * union).alias("link")))
-        discard(pairs, ends)
-        return out
+        d = 1 - F.col("_i") / union
+        out = stored(both.select("p", "x", d.alias("lo"), d.alias("hi"), (F.lit(100) * F.col("_i") >= F.lit(percent) * union).alias("link")))
+        discard(ends)
+        return out.unionByName(far)
 
     known = found = pivots = None
 
@@ -330,10 +373,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
     if pivots is None:
         left = left.withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(1.0))
     else:
-        # From lo to hi of the region's first pivot: at the distance if it is known; else no link, as the bound says.
-        left = left.join(pivots.select("s", "p"), "s").join(known.select("p", "x", "d"), ["p", "x"], "left")
-        at = F.when(F.col("p") == F.col("x"), F.lit(0.0)).otherwise(F.col("d"))
-        left = left.withColumn("lo", F.coalesce(at, F.lit(0.0))).withColumn("hi", F.coalesce(at, F.lit(1.0)))
+        # From lo to hi of the region's first pivot: at the distance if it is known, beyond the parities' bound, or anywhere.
+        left = left.join(pivots.select("s", "p"), "s").join(known.select("p", "x", "lo", "hi"), ["p", "x"], "left")
+        at = lambda bound, default: F.when(F.col("p") == F.col("x"), F.lit(0.0)).otherwise(F.coalesce(bound, F.lit(default)))
+        left = left.withColumn("lo", at("lo", 0.0)).withColumn("hi", at("hi", 1.0))
     left = stored(left.select("s", "x", "n", "rest", "comp", "lo", "hi"))
     window = lambda n: F.floor(F.log(n) / F.lit(math.log(STEP))).cast("int")
     # A set meets the smaller ones (or as large ones) that its bound allows.

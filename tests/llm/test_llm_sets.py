@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import components as comps
-from lexmill.llm import fm_index
-from lexmill.llm.op1_jaccard_join import jaccard_components, one_of_each
+from lexmill.llm import fm_index, op1_jaccard_join
+from lexmill.llm.op1_jaccard_join import _parities, differing_bits, jaccard_components, one_of_each
 from lexmill.llm.op5_line_dedup import dedup_lines
 from lexmill.llm.op7_substring_dedup import remove_repeated_windows
 from lexmill.llm.op8_mixing import mix_sources
@@ -98,6 +98,63 @@ def test_jaccard_nulls_and_repeats(spark):
     assert jaccard_components(table(spark, [])).count() == 0
 
 
+def verified_pairs(spark, monkeypatch, rows, **options):
+    """The components of rows, and how many pairs of sets were verified on the way."""
+    seen = []
+
+    def stored(df):
+        out = op1_stored(df)
+        if df.columns == ["p", "x", "lo", "hi", "link"]:
+            seen.append(out.count())
+        return out
+
+    op1_stored = op1_jaccard_join.stored
+    with monkeypatch.context() as m:
+        m.setattr(op1_jaccard_join, "stored", stored)
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(table(spark, rows).repartition(4), **options).collect()]
+    return sorted(got, key=repr), sum(seen)
+
+
+def passages_in_random_order(n, seed=44, take=30, of=44):
+    rng = random.Random(seed)
+    passages = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(of)]
+    rows = [(i, " ".join(rng.sample(passages, take))) for i in range(n)]
+    return [*rows, (n, rows[0][1] + " more"), (n + 1, "first " + rows[0][1]), (n + 2, rows[n // 2][1].replace(" p3w4 ", " other "))]
+
+
+def test_texts_of_shared_passages_are_not_verified_pairwise(spark, monkeypatch):
+    """Texts of the same passages in random order meet in all regions, but few pairs are verified, and twice the texts don't bring four times as many."""
+    few, many = passages_in_random_order(100), passages_in_random_order(200)
+    got, n_few = verified_pairs(spark, monkeypatch, few)
+    assert got == brute_components(few)
+    got, n_many = verified_pairs(spark, monkeypatch, many)
+    assert got == brute_components(many)
+    assert n_many < 2.5 * max(n_few, len(few))
+    assert n_many < 2 * len(many) < len(many) ** 2 / 2
+
+
+def test_a_busy_pivot_is_dealt_to_several_tasks(spark, monkeypatch):
+    """Near copies of one text, all in the cell of one pivot."""
+    monkeypatch.setattr(op1_jaccard_join, "SPLIT", 7)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(base[:10] + [f"e{i}"] + base[11:])) for i in range(60)]
+    got, _ = verified_pairs(spark, monkeypatch, rows, k=2)
+    assert got == brute_components(rows, 2)
+
+
+def test_parities_bound_the_difference_of_sets(spark):
+    rng = np.random.default_rng(5)
+    pairs, true = [], []
+    for n, m, common in [(50, 60, 40), (60, 130, 50), (1, 1, 1), (1, 1, 0), (500, 4000, 300), (1024, 1025, 1000)]:
+        u = rng.integers(0, 1 << 64, n + m - common, dtype=np.uint64)
+        a, b = u[:n], u[n - common :]
+        pairs.append((_parities(a, n).tolist(), _parities(b, m).tolist()))
+        true.append(n + m - 2 * common)
+    got = [r["d"] for r in spark.createDataFrame(pairs, "a array<long>, b array<long>").coalesce(1).select(differing_bits(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert all(d <= t and (t - d) % 2 == 0 for d, t in zip(got, true, strict=True))
+    assert got[0] >= 15 and got[2] == 0 and got[5] >= 40
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)]
