@@ -301,8 +301,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
         """Whether sets may share enough, if they share nothing before a shingle after which so many are left."""
         return F.least(rest_a, rest_b) * F.lit(100 + percent) >= F.lit(percent) * (n_a + n_b)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs(p, x) with bounds lo and hi of their distance and whether they link. Sets are read and moved only for the pairs that their parities don't part."""
+    def verified(pairs: DataFrame, last: bool) -> DataFrame:
+        """pairs(p, x) with bounds lo and hi of their distance and whether they link. Sets are read and moved only for the pairs that their parities don't part; in the last join the others needn't be kept."""
         marks = sets.select("x", "n", "f", "bits")
         of = lambda name: marks.select(F.col("x").alias(name), *[F.col(c).alias(f"_{name}{c}") for c in ("n", "f", "bits")])
         both = pairs.join(of("p"), "p").join(of("x"), "x")
@@ -310,7 +310,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
         # Shingles of one set only: those of it that stand in no other set, and of the others as many as the parities differ in, at least.
         alone = total - F.col("_pf") - F.col("_xf") + differing_bits(F.col("_pbits"), F.col("_xbits"))
         near = F.lit(100 + percent) * alone <= F.lit(100 - percent) * total
-        pairs = stored(both.select("p", "x", (2 * alone / (total + alone)).alias("lo"), near.alias("near")))
+        pairs = both.select("p", "x", (2 * alone / (total + alone)).alias("lo"), near.alias("near"))
+        pairs = stored(pairs.where("near") if last else pairs)
         far = pairs.where("not near").select("p", "x", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("link"))
         pairs = pairs.where("near").select("p", "x")
         ends = stored(pairs.select(F.explode(F.array("p", "x")).alias("x")).distinct())
@@ -336,13 +337,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
             return now.withColumn("comp", F.col("x"))
         return now.join(found, "x", "left").withColumn("comp", F.coalesce("comp", "x"))
 
-    def learn(pairs: DataFrame) -> bool:
+    def learn(pairs: DataFrame, last: bool = False) -> bool:
         """Verify pairs(p, x) that are not known yet; whether new links were found."""
         nonlocal known, found
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known.select("p", "x").unionByName(known.select(F.col("x").alias("p"), F.col("p").alias("x"))), ["p", "x"], "left_anti")
-        new = verified(pairs)
+        new = verified(pairs, last)
         known = new if known is None else known.unionByName(new)
         some = not new.where("link").isEmpty()
         if some or found is None:
@@ -387,7 +388,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, rounds: i
     apart = F.greatest(F.col("a_lo") - F.col("b_hi"), F.col("b_lo") - F.col("a_hi"))
     meet = (F.col("a_comp") != F.col("b_comp")) & (F.struct("a_n", "a_x") < F.struct("b_n", "b_x")) & (apart <= radius + 1e-9)
     meet = meet & may_link(F.col("a_rest"), F.col("a_n"), F.col("b_rest"), F.col("b_n"))
-    learn(small.join(large, ["s", "w"]).where(meet).select(F.col("a_x").alias("p"), F.col("b_x").alias("x")))
+    learn(small.join(large, ["s", "w"]).where(meet).select(F.col("a_x").alias("p"), F.col("b_x").alias("x")), last=True)
     discard(sets, members, left)
 
     links = known.where("link").select(F.explode(F.array("p", "x")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"))
