@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import chunking
 from lexmill.functions import text as T
-from lexmill.operators import describe, evaluate, index, kept, pruned, ranking, rerank, splits, submission
+from lexmill.operators import describe, evaluate, index, kept, lemmas, pruned, ranking, rerank, splits, submission
 from lexmill.sources.shared import new_folder
 
 from . import sql as S
@@ -241,6 +241,18 @@ def _lemmas(spark, d) -> DataFrame:
     return words.select("token", F.substring("token", 1, 4).alias("lemma"))
 
 
+#: Words of which the table of the next query holds the lemma; it has to predict the others.
+_HELD = "md5(token) < '8'"
+
+
+@query(S.predicted_lemmas(_HELD, lemmas.LONGEST))
+def predicted_lemmas(spark, d):
+    """The lemmas of all words of the documents: half of them from a table, the others by the suffix rules that it teaches."""
+    words = lemmas.words_of(corpus_documents(spark, d))
+    known = words.where(_HELD).select("token", F.regexp_replace("token", S.ENDINGS, "").alias("lemma"))
+    return lemmas.completed(words, known)
+
+
 query(S.topk(tok=S.lemma_tokens), "bm25_lemma_topk")(_ranking(Params(name="bm25"), lemmas=True))
 query(S.reranked("linear", 5, 20, 3, S.lemma_tokens), "rerank_lemma_linear")(_ranking(replace(WINDOWS, name="cross_encoder_rerank", rerank=rerank.RerankOptions(20, 3, "linear")), lemmas=True))
 

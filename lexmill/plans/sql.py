@@ -45,6 +45,24 @@ def lemma_tokens(text: str) -> str:
     return f"list_transform({tokens(text)}, lambda x: CASE WHEN {kept} THEN x ELSE substr(x, 1, 4) END)"
 
 
+#: Endings that the lemma table of `predicted_lemmas` takes off.
+ENDINGS = "(ing|ed|es|s|en|er|e)$"
+
+
+def predicted_lemmas(held: str, longest: int) -> str:
+    return rf"""WITH {DOCS}, w AS (SELECT DISTINCT unnest({tokens('text')}) AS token FROM docs),
+words AS (SELECT token FROM w WHERE NOT (token IN ({_LIST(SHORT_WORDS)}) OR regexp_matches(token, '^({'|'.join(PASS_PREFIXES)})|[0-9]'))),
+known AS (SELECT token, regexp_replace(token, '{ENDINGS}', '') AS lemma FROM words WHERE {held}),
+changes AS (SELECT token, length(token) - kept AS cut, substr(lemma, kept + 1) AS add FROM (SELECT *, list_max(list_filter(range(greatest(0, length(token) - {longest}), least(length(token), length(lemma)) + 1), lambda i: substr(token, 1, i) = substr(lemma, 1, i))) AS kept FROM known) WHERE kept IS NOT NULL),
+counted AS (SELECT right(token, l) AS suffix, cut, add, count(*) AS n FROM (SELECT *, unnest(range(greatest(cut, 1), least(length(token), {longest}) + 1)) AS l FROM changes) GROUP BY ALL),
+rules AS (SELECT suffix, cut, add FROM counted QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut, add) = 1),
+spread AS (SELECT token, unnest(range(1, least(length(token) - 1, {longest}) + 1)) AS l FROM words WHERE NOT ({held})),
+best AS (SELECT token, cut, add FROM spread JOIN rules ON suffix = right(token, l) QUALIFY row_number() OVER (PARTITION BY token ORDER BY l DESC) = 1),
+changed AS (SELECT token, left(token, length(token) - cut) || add AS lemma FROM best)
+SELECT token, lemma FROM known UNION ALL
+SELECT token, coalesce(nullif(lemma, ''), token) FROM words LEFT JOIN changed USING (token) WHERE NOT ({held})"""
+
+
 def windows(size: int, stride: int) -> str:
     return rf"""cut AS (SELECT doc_id, i, substr(text, CAST(i * {stride} + 1 AS BIGINT), {size}) AS chunk_text FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - {size}) / {stride})) AS BIGINT) + 1)) AS i FROM docs WHERE length(text) > 0)),
 kept AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, chunk_text FROM cut WHERE regexp_replace(chunk_text, '[\s\x1c-\x1f]+', '', 'g') <> ''),
