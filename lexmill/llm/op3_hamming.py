@@ -31,12 +31,13 @@ HELD = 1 << 20
 
 
 def sign_codes(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """vectors with `code`: bit i is set if element i (of the first 64; missing and null ones count as 0) is above 0."""
+    """vectors with `code`: bit i is set if element i (missing and null ones count as 0) is above 0. Vectors of more than 64 elements are an error, so none is cut short in silence."""
     bit = lambda i: F.when(F.get(F.col(column), F.lit(i)) > 0, F.lit(-(1 << 63) if i == 63 else 1 << i)).otherwise(F.lit(0)).cast("long")
     code = bit(0)
     for i in range(1, BITS):
         code = code.bitwiseOR(bit(i))
-    return vectors.withColumn("code", code)
+    too_long = F.raise_error(F.lit(f"a code has {BITS} bits, but a vector has more elements")).cast("long")
+    return vectors.withColumn("code", F.when(F.size(column) > BITS, too_long).otherwise(code))
 
 
 def cuts(n_codes: int) -> list[tuple[int, int]]:

@@ -128,6 +128,9 @@ def test_segments_are_searched_one_by_one():
 def test_sign_codes(spark):
     v = spark.createDataFrame([([0.5, -1.0, None] + [0.0] * 60 + [2.0],), (None,), ([1.0],)], "embedding array<double>")
     assert [r["code"] for r in sign_codes(v).collect()] == [1 - 2**63, 0, 1]
+    long_ = spark.createDataFrame([([1.0] * 65,)], "embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        sign_codes(long_).collect()
 
 
 def test_token_counts(spark):
