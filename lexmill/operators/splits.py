@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import stored
+
+from .folds import fold_of_groups
+
 RARE = "__rare_topic__"
 
 
@@ -27,17 +30,15 @@ def distribution_score(part: DataFrame, whole: DataFrame, parts: int, topic: str
 
 def fold_scores(questions: DataFrame, fold: str = "fold", topic: str = "topic") -> DataFrame:
     """The distribution score of every fold at once: (fold, size_error, l1, score)."""
-    folds = questions.select(fold).distinct()
     counts = questions.groupBy(fold, topic).agg(F.count(F.lit(1)).alias("n"))
-    of = Window.partitionBy(fold)
-    topics = questions.groupBy(topic).agg(F.count(F.lit(1)).alias("t"))
     totals = questions.agg(F.count(F.lit(1)).alias("total"), F.countDistinct(fold).alias("parts"))
-    grid = folds.crossJoin(F.broadcast(topics)).join(counts, [fold, topic], "left").crossJoin(F.broadcast(totals))
-    grid = grid.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("size", F.sum("n").over(of))
-    return grid.groupBy(fold).agg(
-        F.max(F.abs(F.col("size") - F.col("total") / F.col("parts")) / F.greatest(F.col("total") / F.col("parts"), F.lit(1.0))).alias("size_error"),
-        F.sum(F.abs(F.col("n") / F.col("size") - F.col("t") / F.col("total"))).alias("l1"),
-    ).withColumn("score", F.col("size_error") + F.col("l1"))
+    both = counts.withColumn("size", F.sum("n").over(Window.partitionBy(fold))).withColumn("t", F.sum("n").over(Window.partitionBy(topic))).crossJoin(F.broadcast(totals))
+    of_all, mean = F.col("t") / F.col("total"), F.col("total") / F.col("parts")
+    return both.groupBy(fold).agg(
+        F.max(F.abs(F.col("size") - mean) / F.greatest(mean, F.lit(1.0))).alias("size_error"),
+        # topics without a question in the fold differ by their whole share
+        (F.sum(F.abs(F.col("n") / F.col("size") - of_all)) + 1 - F.sum(of_all)).alias("l1"),
+    ).withColumn("score", F.round(F.col("size_error") + F.col("l1"), 12))
 
 
 def best_fold(scores: DataFrame, fold: str = "fold") -> DataFrame:
@@ -64,39 +65,10 @@ def fold_leakage(questions: DataFrame, fold: str = "fold") -> DataFrame:
     return found.crossJoin(F.broadcast(total)).select(fold, "num_gold_docs", others.alias("num_train_docs"), "num_leaking", "leaking_share")
 
 
-def _greedy(groups: list[tuple[str, dict[str, int]]], parts: int, seed: int) -> dict[str, int]:
-    """Groups to parts, large first, each where the class counts stay most even."""
-    rng = np.random.default_rng(seed)
-    classes = sorted({c for _, counts in groups for c in counts})
-    at = {c: i for i, c in enumerate(classes)}
-    table = np.zeros((len(groups), len(classes)))
-    for i, (_, counts) in enumerate(groups):
-        for c, n in counts.items():
-            table[i, at[c]] = n
-    totals = np.maximum(table.sum(axis=0), 1)
-    filled = np.zeros((parts, len(classes)))
-    out = {}
-    for i in sorted(rng.permutation(len(groups)), key=lambda i: -table[i].std()):
-        best = min(range(parts), key=lambda p: (((filled + np.eye(parts)[p][:, None] * table[i]) / totals).std(axis=0).mean(), filled[p].sum()))
-        filled[best] += table[i]
-        out[groups[i][0]] = best
-    return out
-
-
 def grouped_folds(questions: DataFrame, parts: int, seed: int, min_count: int = 10, name: str = "fold") -> DataFrame:
-    """questions with a fold such that no gold document is in two folds and topics are spread evenly.
-
-    Class counts of each gold document go to the driver: labelled questions are few, whatever the corpus.
-    """
-    rows = collapse_rare(questions, min_count).groupBy("gold_doc_id", "topic_bucket").count().orderBy("gold_doc_id", "topic_bucket").collect()
-    groups: dict[str, dict[str, int]] = {}
-    for r in rows:
-        groups.setdefault(r["gold_doc_id"], {})[r["topic_bucket"]] = r["count"]
-    folds = _greedy(list(groups.items()), parts, seed)
-    spark = questions.sparkSession
-    kind = questions.schema["gold_doc_id"].dataType.simpleString()
-    assigned = spark.createDataFrame(list(folds.items()), f"gold_doc_id {kind}, {name} int")
-    return questions.join(assigned, "gold_doc_id", "left")
+    """questions with a fold such that no gold document is in two folds and topics are spread evenly (null without a gold document)."""
+    folds = fold_of_groups(collapse_rare(questions, min_count), "gold_doc_id", "topic_bucket", parts, seed)
+    return questions.join(folds.withColumnRenamed("fold", name), "gold_doc_id", "left")
 
 
 def relaxed_folds(questions: DataFrame, parts: int = 5, seed: int = 42, min_count: int = 10) -> DataFrame:
@@ -111,7 +83,7 @@ def validation_splits(questions: DataFrame, holdout_parts: int = 5, cv_parts: in
     The holdout is the candidate fold whose size and topics are nearest to the whole; the strict folds are made of
     the rest with the buckets counted anew.
     """
-    base = questions.select("qid", "question", "gold_doc_id", "topic")
+    base = stored(questions.select("qid", "question", "gold_doc_id", "topic"), "questions")
     candidates = grouped_folds(base, holdout_parts, seed, min_count, "_c")
     chosen = best_fold(fold_scores(candidates, "_c"), "_c").first()
     chosen = None if chosen is None else int(chosen["_c"])
