@@ -27,19 +27,21 @@ def by_split(questions: DataFrame, assignments: DataFrame) -> DataFrame:
 def run_experiment(name: str, corpus: Corpus, questions: DataFrame, p: Params, paths: tables.Paths, metric_ks=(5, 20), retrieve_k: int | None = None, test: DataFrame | None = None) -> dict:
     """Runs an experiment on questions with gold_doc_id, topic, split and fold, and writes its files; returns its record.
 
-    predictions/NAME_strict_cv_predictions, .._strict_holdout_predictions and, with test questions, .._test_predictions
+    predictions/NAME_strict holds the ranking, partitioned by split; predictions/NAME_strict_cv_predictions, .._strict_holdout_predictions and, with test questions, .._test_predictions
     and metrics/NAME_topic_metrics are CSV folders; metrics/NAME_metrics.json is the record.
     """
     tables.ensure_output_dirs(paths)
     out = experiment(corpus, questions, p, metric_ks, retrieve_k)
     metrics, predictions = f"{paths.outputs_dir}/metrics/{name}", f"{paths.outputs_dir}/predictions/{name}"
+    tables.write_parts(out["predictions"], f"{predictions}_strict", ("split",), ("fold", "qid", "rank"))
+    ranked = questions.sparkSession.read.schema(out["predictions"].schema).parquet(f"{predictions}_strict")
     for split in ("cv", "holdout"):
-        tables.write_csv(out["predictions"].where(F.col("split") == split), f"{predictions}_strict_{split}_predictions", ("fold", "qid", "rank"), single=False)
+        tables.write_csv(ranked.where(F.col("split") == split), f"{predictions}_strict_{split}_predictions", ("fold", "qid", "rank"), single=False)
     tables.write_csv(out["topics"], f"{metrics}_topic_metrics", ("split", "fold", "topic"))
     if test is not None:
         tables.write_csv(retrieve(corpus, test, p, depth(metric_ks, retrieve_k)), f"{predictions}_test_predictions", single=False)
     counts = {r["split"]: r["n"] for r in questions.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    placed = evaluate.first_gold_rank(questions, out["predictions"].select("qid", "rank", "doc_id"), depth(metric_ks, retrieve_k))
+    placed = evaluate.first_gold_rank(questions, ranked.select("qid", "rank", "doc_id"), depth(metric_ks, retrieve_k))
     folds = placed.where(F.col("split") == "cv").groupBy("fold").agg(F.count(F.lit(1)).alias("num_queries"), *evaluate.recalls(metric_ks)).orderBy("fold").collect()
     record = {
         "experiment": name, "retriever": p.as_record(), "num_documents": corpus.docs.count(), "num_queries": sum(counts.values()), "num_dev_queries": counts.get("cv", 0), "num_holdout_queries": counts.get("holdout", 0),

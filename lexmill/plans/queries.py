@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import chunking
 from lexmill.functions import text as T
 from lexmill.operators import describe, evaluate, index, kept, lemmas, pruned, ranking, rerank, splits, submission
+from lexmill.sources import tables
 from lexmill.sources.shared import new_folder
 
 from . import sql as S
@@ -362,6 +363,39 @@ def aligned_inner_join(spark, d):
     return both.select("doc_id", "lang", long("quality"))
 
 
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS csv_md5, CAST(length(text) AS BIGINT) AS csv_chars, md5(text) AS json_md5, CAST(length(text) AS BIGINT) AS json_chars FROM documents")
+def declared_scans(spark, d):
+    """The documents, written as CSV and as JSON lines and read back by a declared schema."""
+    docs = table(spark, d, "documents").select(long("doc_id"), "text", "lang", "source", long("n_chars"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    read = {}
+    for kind in ("csv", "json"):
+        path = new_folder(spark, f"scan-{kind}")
+        tables.write_scannable(docs, path, kind)
+        text = tables.scan(spark, path, schema, kind)
+        read[kind] = text.withColumns({f"{kind}_md5": F.md5("text"), f"{kind}_chars": F.length("text").cast("long")}).drop("text")
+    return read["csv"].join(read["json"].drop("lang", "source", "n_chars"), "doc_id")
+
+
+@query(S.cv_rows([5, 20]))
+def recorded_metrics(spark, d):
+    """The summary of an experiment, written as a JSON record and read back."""
+    path = new_folder(spark, "records")
+    entry = F.struct("metric", F.struct("strict_cv_mean", "strict_cv_std", "strict_holdout"))
+    record = evaluate.cv_summary(_placed(spark, d), [5, 20]).agg(F.map_from_entries(F.collect_list(entry)).alias("all_metrics"))
+    record.select(F.lit("tfidf").alias("experiment"), "all_metrics").write.json(path)
+    return rounded(tables.records(spark, path).drop("experiment"), "strict_cv_mean", "strict_cv_std", "strict_holdout")
+
+
+@query(f"WITH {S.GOLD} SELECT qid, gold_doc_id, topic, fold, split, CAST(1 AS BIGINT) AS n_files FROM gold")
+def partitioned_questions(spark, d):
+    """The labelled questions, written by split and by ranges of fold and qid, and read back; n_files: files that hold the question."""
+    path = new_folder(spark, "questions")
+    tables.write_parts(labelled_questions(spark, d).select("qid", "gold_doc_id", "topic", "fold", "split"), path, ("split",), ("fold", "qid"))
+    back = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+    return back.groupBy("qid", "gold_doc_id", "topic", long("fold"), "split").agg(F.countDistinct("_file").alias("n_files"))
+
+
 # --- description --------------------------------------------------------------------------------
 
 

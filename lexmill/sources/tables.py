@@ -26,6 +26,17 @@ INTEGERS = ("gold_evidence_char_start", "gold_evidence_char_end", "strict_cv_fol
 OUTPUTS = ("predictions", "metrics", "submissions")
 
 
+#: Column of `scan` with the rows that don't fit the schema, what null is in CSV (so that "" stays an empty text), and Spark's modes for rows that don't fit.
+BAD = "_bad_record"
+NULL = "\\N"
+MODES = {"fail": "FAILFAST", "keep": "PERMISSIVE", "drop": "DROPMALFORMED"}
+#: The record that an experiment leaves.
+RECORD = (
+    "experiment string, retriever map<string, string>, num_documents long, num_queries long, num_dev_queries long, num_holdout_queries long, top_k long, retrieve_k long, metric_ks array<long>, "
+    "fold_metrics array<map<string, double>>, all_metrics map<string, struct<strict_cv_mean: double, strict_cv_std: double, strict_holdout: double>>"
+)
+
+
 @dataclass(frozen=True)
 class Paths:
     raw_data_dir: str
@@ -82,6 +93,40 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def scan(spark: SparkSession, path: str, schema: str, kind: str = "csv", bad: str = "fail", multiline: bool = True) -> DataFrame:
+    """A CSV table with a header, or JSON lines, by a declared schema: the files are not read to guess types.
+
+    A row that doesn't fit (a value of another type; in CSV another number of values) is an error, or with bad="keep"
+    stands in the column _bad_record beside nulls, or with bad="drop" is left out; this does not depend on the columns
+    that a query reads. A CSV header must name the columns in the order of the schema. CSV whose texts have line breaks
+    needs multiline, and each file is then one task; JSON lines can always be split.
+    """
+    if bad not in MODES:
+        raise ValueError(f"bad must be one of {sorted(MODES)}")
+    if kind not in ("csv", "json"):
+        raise ValueError("kind must be csv or json")
+    reader = spark.read.schema(f"{schema}, {BAD} string" if bad == "keep" else schema).option("mode", MODES[bad])
+    if bad == "keep":
+        reader = reader.option("columnNameOfCorruptRecord", BAD)
+    if kind == "json":
+        return reader.json(path)
+    return reader.options(header=True, enforceSchema=False, multiLine=multiline, escape='"', nullValue=NULL, columnPruning=False).csv(path)
+
+
+def write_scannable(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """df as files that `scan` reads back as they were: blanks at the ends, quotes, line breaks, empty and null texts. Only a text that is \\N and nothing else becomes null in CSV."""
+    if kind == "json":
+        df.write.mode("overwrite").json(path)
+    else:
+        df.write.mode("overwrite").options(header=True, escape='"', nullValue=NULL, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(experiment, metric, strict_cv_mean, strict_cv_std, strict_holdout) of the records at path, a file, folder or pattern."""
+    found = spark.read.schema(RECORD).options(multiLine=True, mode="FAILFAST").json(path)
+    return found.select("experiment", F.explode("all_metrics").alias("metric", "_v")).select("experiment", "metric", "_v.*")
+
+
 def load(spark: SparkSession, paths: Paths, name: str) -> DataFrame:
     """One of the four tables, checked; documents must have unique ids."""
     df = require_columns(read_csv(spark, f"{paths.raw_data_dir}/{FILES[name]}"), REQUIRED[name], name)
@@ -116,10 +161,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = ("qid", "rank"), single: bool = True) -> None:
-    """A CSV folder with a header, ordered; in one file only for small results."""
+    """A CSV folder with a header, ordered over its files by ranges of the keys; in one file only for small results."""
     keys = [c for c in order if c in df.columns]
-    df = df.orderBy(*keys) if keys else df
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, escape='"')
+    if single:
+        df = df.repartition(1).sortWithinPartitions(*keys) if keys else df.coalesce(1)
+    elif keys:
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_parts(df: DataFrame, path: str, by: tuple[str, ...], order: tuple[str, ...]) -> None:
+    """A Parquet folder partitioned by `by`, in one pass: ranges of (by, order) go to tasks, so a part is cut into files by its order and a large one into many."""
+    df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def write_json(value, path: str) -> None:

@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FAST = (
     "normalize_documents tokenize_documents token_stats numeric_reference_tokens legal_special_tokens lemma_lookup predicted_lemmas paragraph_split sentence_split hard_split chunks_structured pruned_bm25_topk document_kind court_instance "
     "token_containment evidence_offsets rare_topic_collapse term_stats_bm25 term_stats_tfidf bm25_topk tfidf_topk chunked_bm25_logsumexp hybrid_rrf rerank_linear bm25_lemma_topk rerank_lemma_linear recall_at_k topic_metrics cv_summary fold_leakage split_invariants "
-    "topic_distribution_score duplicate_groups length_quantiles gold_coverage vocab_coverage query_nn_similarity create_submission submission_violations aligned_inner_join"
+    "topic_distribution_score duplicate_groups length_quantiles gold_coverage vocab_coverage query_nn_similarity create_submission submission_violations aligned_inner_join declared_scans recorded_metrics partitioned_questions"
 ).split()
 
 

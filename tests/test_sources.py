@@ -54,3 +54,58 @@ def test_paths_of_home_and_other_stores(tmp_path):
 def test_shown_values():
     assert [tables.shown(x) for x in (None, 0.25, 3, {"a": 0.5, "b": None})] == ["-", "0.2500", "3", "a: 0.5000, b: -"]
     assert tables.shown(0.256, percent=True) == "25.6 %"
+
+
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_a_declared_scan_reads_what_was_written(spark, tmp_path, kind):
+    rows = [(1, None), (2, ""), (3, "  x\t"), (4, 'a "b", c\nd\\'), (5, "x\r\ny\rz"), (6, "\n"), (7, "\u0416 \U0001f600"), (None, '"'), (9, "\\"), (10, "w " * 60_000), (11, "null"), (12, "#x")]
+    tables.write_scannable(spark.createDataFrame(rows, SCHEMA).coalesce(2), str(tmp_path / "t"), kind)
+    got = [tuple(r) for r in tables.scan(spark, str(tmp_path / "t"), SCHEMA, kind).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    tables.write_scannable(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"), kind)
+    assert tables.scan(spark, str(tmp_path / "none"), SCHEMA, kind).count() == 0
+
+
+@pytest.mark.parametrize("kind,lines", [("csv", ["doc_id,text", "1,a", "x,b", "3,c,d", "4,e"]), ("json", ['{"doc_id": 1, "text": "a"}', '{"doc_id": "x", "text": "b"}', "{broken", '{"doc_id": 4, "text": "e"}'])])
+def test_rows_that_do_not_fit(spark, tmp_path, kind, lines):
+    (tmp_path / "t").write_text("\n".join(lines) + "\n")
+    path = str(tmp_path / "t")
+    with pytest.raises(Exception, match="MALFORMED"):
+        tables.scan(spark, path, SCHEMA, kind).select("text").collect()
+    assert [r["doc_id"] for r in tables.scan(spark, path, SCHEMA, kind, "drop").orderBy("doc_id").collect()] == [1, 4]
+    kept = tables.scan(spark, path, SCHEMA, kind, "keep").collect()
+    assert sorted(r[tables.BAD] for r in kept if r[tables.BAD]) == sorted(lines[-3:-1]) and len(kept) == 4
+    for options in ({"bad": "skip"}, {"kind": "xml"}):
+        with pytest.raises(ValueError):
+            tables.scan(spark, path, SCHEMA, **options)
+
+
+def test_a_header_must_name_the_columns(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("text,doc_id\na,1\n")
+    with pytest.raises(Exception, match="header"):
+        tables.scan(spark, str(tmp_path / "t.csv"), SCHEMA).collect()
+
+
+def test_records(spark, tmp_path):
+    value = {"strict_cv_mean": 0.5, "strict_cv_std": 0.1, "strict_holdout": None}
+    for name in ("a", "b"):
+        tables.write_json({"experiment": name, "retriever": {"name": "bm25", "top_k": 5}, "fold_metrics": [{"fold": 0, "recall_at_5": 0.5}], "all_metrics": {"recall_at_5": value}}, str(tmp_path / f"{name}_metrics.json"))
+    got = tables.records(spark, str(tmp_path / "*_metrics.json")).orderBy("experiment").collect()
+    assert [tuple(r) for r in got] == [("a", "recall_at_5", 0.5, 0.1, None), ("b", "recall_at_5", 0.5, 0.1, None)]
+
+
+def test_parts_are_in_order(spark, tmp_path):
+    rows = [(f"s{i % 10 == 0}", i * 7919 % 1000) for i in range(1000)]
+    tables.write_parts(spark.createDataFrame(rows, "split string, qid long"), str(tmp_path / "p"), ("split",), ("qid",))
+    for split in ("sTrue", "sFalse"):
+        ranges = []
+        for file in (tmp_path / "p" / f"split={split}").glob("*.parquet"):
+            ids = [r["qid"] for r in spark.read.parquet(str(file)).collect()]
+            assert ids == sorted(ids)
+            ranges.append((ids[0], ids[-1]))
+        ranges.sort()
+        assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1000
