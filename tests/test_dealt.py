@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import index, ranking
 from lexmill.plans import registry
+from lexmill.plans.questions import labelled
 from lexmill.plans.registry import Corpus, Params, passage_scores, retrieve
 
 
@@ -63,3 +64,17 @@ def test_few_parts_and_broadcasts_change_nothing(spark, corpus, questions, name,
 def test_frequent_terms(spark):
     terms = spark.createDataFrame([("a", 9), ("b", 8), ("c", 3), ("d", 1), ("e", 1)], "term string, df long")
     assert [index.frequent_from(terms, n) for n in (5, 4, 3, 2, 1)] == [1, 2, 2, 4, 16]
+
+
+def test_labelled_shuffles_no_texts(spark, tmp_path):
+    """Pairs of a passage and a document that holds it are narrow before they meet a shuffle."""
+    long = " ".join(f"filler{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, f"{long} the quick brown fox {i} " if i % 2 else long, "en", "web", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    questions = spark.createDataFrame([("b_0", "the quick brown fox"), ("b_1", "not there at all")], "qid string, question string")
+    got = labelled(docs, questions)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :].split("\n")[0]
+    assert "text#" not in window
+    assert "Join Inner, (doc_id" not in plan  # no join with the texts again
+    row = got.first()
+    assert got.count() == 1 and row["gold_doc_id"] == "1" and row["gold_evidence_char_start"] == len(long) + 1
