@@ -24,11 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from lexmill.sources.shared import stored
+
 from . import index as I
 from . import ranking
 
 #: Postings of a term in one part, about.
 PART_ROWS = 1_000_000
+#: Documents of one task that sums scores, about.
+DEAL_ROWS = 2_000
 #: Rows of a side that may be broadcast after they were counted.
 BROADCAST_ROWS = 200_000
 TABLES = {
@@ -186,12 +190,20 @@ def by_parts(asked: DataFrame) -> DataFrame:
 
 
 def scores(kept: Kept, asked: DataFrame) -> DataFrame:
-    """(qid, doc_id, score) of all documents that share one of the asked terms."""
-    met = kept.postings.join(by_parts(asked), ["term", "part"])
+    """(qid, doc_id, score) of all documents that share one of the asked terms.
+
+    The postings of asked terms, each once whatever the number of questions, are dealt by document; there they meet the
+    questions and are summed, so no pair of a question and a document is shuffled.
+    """
+    wanted = _few(by_parts(asked.select("term", "parts").distinct()).select("term", "part"))
+    dealt = max(kept.postings.sparkSession.sparkContext.defaultParallelism, -(-kept.n // DEAL_ROWS))
+    near = kept.postings.join(wanted, ["term", "part"], "left_semi").select("doc_id", "term", "tf", "dl").repartition(dealt, "doc_id")
+    met = near.join(_few(asked.select("qid", "term", "w")), "term")
     return met.groupBy("qid", "doc_id").agg(F.sum(impact(kept, F.col("w"), F.col("tf"), F.col("dl"))).alias("score"))
 
 
 def bm25_topk(kept: Kept, questions: DataFrame, k: int) -> DataFrame:
     """The k best (qid, rank, doc_id, score) of each question, documents without a match with score 0."""
     pads = kept.units.select("doc_id", F.lit(0.0).alias("pad"))
-    return ranking.dense_topk(scores(kept, asked_terms(kept, questions)), questions, pads, k)
+    asked = stored(asked_terms(kept, questions).drop("bounds"), "asked")
+    return ranking.dense_topk(scores(kept, asked), questions, pads, k, lambda df: stored(df, "ranked"))

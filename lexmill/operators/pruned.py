@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import stored
+
 from . import kept as K
 from . import ranking
 
@@ -81,7 +83,7 @@ class Search:
     def topk(self) -> DataFrame:
         """(qid, rank, doc_id, score), as the unpruned ranking gives it."""
         pads = self.kept.units.select("doc_id", F.lit(0.0).alias("pad"))
-        return ranking.dense_topk(self.scores(), self.questions, pads, self.k)
+        return ranking.dense_topk(self.scores(), self.questions, pads, self.k, lambda df: stored(df, "ranked"))
 
     def postings_met(self) -> DataFrame:
         """One row a question: postings that an unpruned ranking joins (every), and that this one joins (met): seeds, essential terms, and lookups."""

@@ -142,3 +142,11 @@ def test_padding_equals_a_ranking_of_all(spark, k, monkeypatch):
         order = sorted((-have.get((f"q{q}", d), p), d) for d, p in pads)
         want |= {(f"q{q}", r, d) for r, (_, d) in enumerate(order[:k], 1)}
     assert {tuple(r) for r in made.select("qid", "rank", "doc_id").collect()} == want
+
+
+def test_kept_scores_shuffle_postings_not_pairs(spark, tmp_path):
+    opened = kept.build(docs_of(spark, corpus(40, 1)), f"file://{tmp_path}/i", buckets=4)
+    asked = kept.asked_terms(opened, spark.createDataFrame([(f"q{i}", f"word{i} word{i + 1}") for i in range(5)], "qid string, question string"))
+    plan = kept.scores(opened, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(qid#" not in plan.split("hashpartitioning(doc_id")[0]
+    opened.release()
