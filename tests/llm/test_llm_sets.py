@@ -426,3 +426,22 @@ def test_digests_of_queries(spark, tmp_path):
     assert {r["doc_id"]: r["kept_sha256"] for r in op5_line_dedup(spark, str(tmp_path)).collect()} == {1: hashlib.sha256(b"a\nb").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
     assert {r["doc_id"]: r["kept_sha256"] for r in op7_substring_dedup(spark, str(tmp_path)).collect()} == {1: hashlib.sha256(b"a b").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
     assert F
+
+
+def test_shingles_of_many_texts_take_little_memory():
+    """Word hashes of a batch are made in small slices: Python workers keep what the largest slice needed."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lexmill.llm import common, op1_jaccard_join
+
+    texts = pa.array([" ".join(f"word{i}x{j}" for j in range(500)) for i in range(800)])
+    common._powers.clear()
+    tracemalloc.start()
+    n = sum(len(u) for u in op1_jaccard_join.shingle_sets(texts, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 800 * 497
+    assert peak < 64 << 20
+    assert sum(a.nbytes for a in common._powers.values()) < 24 << 20
