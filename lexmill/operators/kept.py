@@ -31,8 +31,10 @@ from . import ranking
 
 #: Postings of a term in one part, about.
 PART_ROWS = 1_000_000
-#: Documents of one task that sums scores, about.
+#: Documents of one task that counts words or sums scores, about.
 DEAL_ROWS = 2_000
+#: Rows that one task sorts and writes, about: a bucket of more has several files.
+FILE_ROWS = 4_000_000
 #: Rows of a side that may be broadcast after they were counted.
 BROADCAST_ROWS = 200_000
 TABLES = {
@@ -86,6 +88,11 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def parts_of(spark: SparkSession, n: int) -> int:
+    """Into how many parts n documents are dealt."""
+    return max(spark.sparkContext.defaultParallelism, -(-n // DEAL_ROWS))
+
+
 def append(docs: DataFrame, path: str, batch: int, buckets: int = 64, tokenizer: str = "full", part_rows: int = PART_ROWS) -> dict[str, int]:
     """Writes docs(doc_id, text) as a batch of the index at path; returns the rows written to each table.
 
@@ -101,16 +108,19 @@ def append(docs: DataFrame, path: str, batch: int, buckets: int = 64, tokenizer:
         buckets, tokenizer = found
     names = _register(spark, path, buckets, found is not None)
 
-    def write(name: str, df: DataFrame) -> None:
+    def write(name: str, df: DataFrame, rows: int = 0) -> None:
         columns = [c for c in spark.table(names[name]).columns if c != "batch"]
         keys = TABLES[name][1]
-        dealt = df.select(*columns).repartition(buckets, *keys).sortWithinPartitions(*keys)
+        # Buckets are remainders of the keys' hash, so each of a multiple of as many tasks has rows of one bucket only.
+        tasks = buckets * max(1, -(-rows // (FILE_ROWS * buckets)))
+        dealt = df.select(*columns).repartition(tasks, *keys).sortWithinPartitions(*keys)
         # Only the partition that is written is replaced: its table option says so.
         spark.sql(f"INSERT OVERWRITE TABLE {names[name]} SELECT {', '.join(columns)}, CAST({int(batch)} AS BIGINT) AS batch FROM {{dealt}}", dealt=dealt)
 
     try:
         make = I.tokenizer(tokenizer)
-        once = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+        dealt = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+        once = dealt.repartition(parts_of(spark, dealt.count()), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
         split = once.select("doc_id", make(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
         counted = split.groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
         units = counted.select("doc_id", "dl").distinct()
@@ -121,7 +131,8 @@ def append(docs: DataFrame, path: str, batch: int, buckets: int = 64, tokenizer:
         hot = terms.where("parts > 1").select("term", "parts")
         placed = words.join(_few(hot), "term", "left")
         part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
-        write("postings", placed.select("doc_id", "term", part.alias("part"), "tf", "dl"))
+        n_words = words.count()
+        write("postings", placed.select("doc_id", "term", part.alias("part"), "tf", "dl"), n_words)
         write("units", units)
         older = f"batch < {int(batch)}"
         gone = spark.table(names["replaced"]).where(older).select("doc_id", F.col("of").alias("batch"))
@@ -130,7 +141,7 @@ def append(docs: DataFrame, path: str, batch: int, buckets: int = 64, tokenizer:
         taken = _few(spark.table(names["replaced"]).where(f"batch = {int(batch)}").select("doc_id", F.col("of").alias("batch")))
         back = spark.table(names["postings"]).where(older).join(taken, ["doc_id", "batch"]).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
         none = [F.lit(0).alias("parts"), F.array().cast("array<struct<tf:bigint,dl:bigint>>").alias("bounds")]
-        write("terms", terms.unionByName(back.select("term", "df", *none)))
+        write("terms", terms.unionByName(back.select("term", "df", *none)), n_words)
         counted.unpersist()
         written = {name: spark.table(names[name]).where(f"batch = {int(batch)}").count() for name in TABLES}
     finally:
@@ -189,16 +200,20 @@ def by_parts(asked: DataFrame) -> DataFrame:
     return asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
+def dealt_postings(kept: Kept, asked: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, dl) of the asked terms, each posting once, dealt by document."""
+    wanted = _few(by_parts(asked.select("term", "parts").distinct()).select("term", "part"))
+    near = kept.postings.join(wanted, ["term", "part"], "left_semi").select("doc_id", "term", "tf", "dl")
+    return near.repartition(parts_of(kept.postings.sparkSession, kept.n), "doc_id")
+
+
 def scores(kept: Kept, asked: DataFrame) -> DataFrame:
     """(qid, doc_id, score) of all documents that share one of the asked terms.
 
     The postings of asked terms, each once whatever the number of questions, are dealt by document; there they meet the
     questions and are summed, so no pair of a question and a document is shuffled.
     """
-    wanted = _few(by_parts(asked.select("term", "parts").distinct()).select("term", "part"))
-    dealt = max(kept.postings.sparkSession.sparkContext.defaultParallelism, -(-kept.n // DEAL_ROWS))
-    near = kept.postings.join(wanted, ["term", "part"], "left_semi").select("doc_id", "term", "tf", "dl").repartition(dealt, "doc_id")
-    met = near.join(_few(asked.select("qid", "term", "w")), "term")
+    met = dealt_postings(kept, asked).join(_few(asked.select("qid", "term", "w")), "term")
     return met.groupBy("qid", "doc_id").agg(F.sum(impact(kept, F.col("w"), F.col("tf"), F.col("dl"))).alias("score"))
 
 
