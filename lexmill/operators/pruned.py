@@ -75,9 +75,12 @@ class Search:
         essential, weaker = self.terms.where("essential"), self.terms.where("NOT essential")
         found = K.scores(self.kept, essential)
         rest = self.terms.groupBy("qid").agg(F.max("reach").alias("reach"), F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(F.lit(0.0))).alias("rest"))
-        self.candidates = self._keep(found.join(rest, "qid").where(F.col("reach").isNull() | (F.col("score") + F.col("rest") >= F.col("reach"))).select("qid", "doc_id", "score"))
-        wanted = K._few(self.candidates.join(weaker.select("qid", "term", "w"), "qid").select("qid", "doc_id", "term", "w"))
-        looked = self._parts(self.kept.postings.join(wanted, ["term", "doc_id"]))
+        self.candidates = self._keep(found.join(K._few(rest), "qid").where(F.col("reach").isNull() | (F.col("score") + F.col("rest") >= F.col("reach"))).select("qid", "doc_id", "score"))
+        # A document's questions are one row, joined by doc_id alone: candidates lie as the postings are dealt, and
+        # each posting of a weaker term moves once, whatever the number of questions.
+        held = self.candidates.groupBy("doc_id").agg(F.collect_set("qid").alias("_asked"))
+        near = K.dealt_postings(self.kept, weaker).join(held.hint("shuffle_hash"), "doc_id")
+        looked = self._parts(near.join(K._few(weaker.select("qid", "term", "w")), "term").where(F.array_contains("_asked", F.col("qid"))))
         return self.candidates.unionByName(looked).groupBy("qid", "doc_id").agg(F.sum("score").alias("score"))
 
     def topk(self) -> DataFrame:

@@ -150,3 +150,28 @@ def test_kept_scores_shuffle_postings_not_pairs(spark, tmp_path):
     plan = kept.scores(opened, asked)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(qid#" not in plan.split("hashpartitioning(doc_id")[0]
     opened.release()
+
+
+def test_a_large_bucket_has_several_files(spark, tmp_path, monkeypatch):
+    """No task sorts a whole bucket: the rows of a task are bounded, each file holds one bucket's rows, and the index is the same."""
+    monkeypatch.setattr(kept, "FILE_ROWS", 50)
+    rows = corpus(5, 120)
+    opened = kept.build(docs_of(spark, rows), f"file://{tmp_path}/i", buckets=2)
+    files = spark.read.parquet(f"{tmp_path}/i/postings").groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.expr("pmod(hash(term, part), 2)")).alias("b")).collect()
+    assert len(files) > 10 and all(r["b"] == 1 for r in files)
+    same_as_built_at_once(spark, opened, rows)
+    opened.release()
+
+
+def test_lookups_of_candidates_shuffle_no_pairs(spark, tmp_path):
+    opened = kept.build(docs_of(spark, corpus(6, 200)), f"file://{tmp_path}/i", buckets=2)
+    questions = spark.createDataFrame([("q0", "word0 word1 word48 word49"), ("q1", "word2 word47")], "qid string, question string")
+    search = pruned.Search(opened, questions, 2, seed_rows=5)
+    plan = search.scores()._jdf.queryExecution().executedPlan().toString()
+    own = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert not [x for x in own if "doc_id" in x and ("term" in x.split("hashpartitioning(")[1].split(")")[0])]
+    got = {(r["qid"], r["doc_id"]): r["score"] for r in ranking.ranked(search.scores(), 2).collect()}
+    want = {(r["qid"], r["doc_id"]): r["score"] for r in ranking.ranked(kept.scores(opened, kept.asked_terms(opened, questions)), 2).collect()}
+    assert got == pytest.approx(want)
+    search.release()
+    opened.release()
