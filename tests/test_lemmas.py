@@ -1,5 +1,6 @@
 """Lemmas by an analyser and by learned suffixes, and exact order statistics, against brute force."""
 
+import os
 import random
 from collections import Counter
 
@@ -84,3 +85,30 @@ def test_quantiles_of_few_values(spark):
     empty = describe.quantiles(df.limit(0), "v").first()
     assert empty["n"] == 0 and empty["mean"] is None and empty["p50"] is None
     assert describe.quantiles(df.limit(1), "v").first()["p99"] == float(2**60 + 1)
+
+
+def test_lookups_leave_counts_where_they_were_dealt(spark):
+    counts = spark.createDataFrame([("d1", "d1", "words", 2), ("d1", "d1", "wordy", 1), ("d2", "d2", "other", 1)], "unit_id string, doc_id string, term string, tf long").repartition(3, "doc_id")
+    table = spark.createDataFrame([("words", "word"), ("wordy", "word")], "token string, lemma string")
+    out = T.lemma_terms(counts, table, "tf", 3)
+    assert sorted(tuple(r) for r in out.select("doc_id", "term", "tf").collect()) == [("d1", "word", 3), ("d2", "other", 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and ("unit_id" in x or "term" in x.split("hashpartitioning(")[1].split(")")[0])]
+
+
+@pytest.mark.parametrize("limit", [0, 10])
+def test_a_large_table_gives_the_same_lemmas(spark, monkeypatch, limit):
+    monkeypatch.setattr(T, "LEMMA_ROWS", limit)
+    rows = spark.createDataFrame([("1", ["words", "x", "words"], "a"), ("2", [], "b"), ("3", None, "c")], "unit_id string, tokens array<string>, more string")
+    table = spark.createDataFrame([("words", "word")], "token string, lemma string")
+    got = {r["unit_id"]: (r["tokens"], r["more"]) for r in T.lemmatize(rows, table).collect()}
+    assert got == {"1": (["word", "x", "word"], "a"), "2": ([], "b"), "3": ([], "c")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_words_of_the_corpus_are_read_off_once(spark):
+    from lexmill.plans import queries
+
+    for df in (queries._lemmas(spark, "/root/testdata/sf0.001", True), queries.predicted_lemmas(spark, "/root/testdata/sf0.001")):
+        assert "documents.parquet" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("documents.parquet" in f for f in df.inputFiles())
