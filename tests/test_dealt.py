@@ -78,3 +78,12 @@ def test_labelled_shuffles_no_texts(spark, tmp_path):
     assert "Join Inner, (doc_id" not in plan  # no join with the texts again
     row = got.first()
     assert got.count() == 1 and row["gold_doc_id"] == "1" and row["gold_evidence_char_start"] == len(long) + 1
+
+
+def test_one_index_at_a_time(spark, corpus, questions, monkeypatch):
+    """A fusion's indexes never stand beside each other, and none is left when candidates are re-ranked."""
+    live, make = [], index.build_index
+    monkeypatch.setattr(index, "build_index", lambda *a, **k: live.append(len(corpus._indexes)) or make(*a, **k))
+    p = Params(name="cross_encoder_rerank", chunking="windows", chunk_size=40)
+    assert retrieve(corpus, questions, p, 3).count() == 9
+    assert live == [0, 0] and not corpus._indexes
