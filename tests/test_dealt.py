@@ -5,10 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import chunking
+from lexmill.functions import text as T
 from lexmill.operators import index, ranking
 from lexmill.plans import registry
 from lexmill.plans.questions import labelled
 from lexmill.plans.registry import Corpus, Params, passage_scores, retrieve
+from lexmill.sources.tables import from_documents
 
 
 @pytest.fixture
@@ -87,3 +90,46 @@ def test_one_index_at_a_time(spark, corpus, questions, monkeypatch):
     p = Params(name="cross_encoder_rerank", chunking="windows", chunk_size=40)
     assert retrieve(corpus, questions, p, 3).count() == 9
     assert live == [0, 0] and not corpus._indexes
+
+
+def test_labelled_by_index_cuts_no_text(spark):
+    """Gold documents by the index are those found without it, and no text of a document is cut into words."""
+    docs = spark.createDataFrame([(i, f"Lead-in {i}.\n the quick\tBROWN fox {i % 3} jumps over 3.14 of it. End" if i % 4 else None, "en", "web", 1) for i in range(24)], "doc_id long, text string, lang string, source string, n_chars long")
+    questions = spark.createDataFrame([("b_0", "quick\tBROWN fox 2 jumps"), ("b_1", "fox 9 jumps"), ("b_2", "the of"), ("b_3", "x 3.14 of"), ("b_4", "fox"), ("b_5", "")], "qid string, question string")
+    corpus = Corpus(from_documents(docs))
+    got, want = labelled(docs, questions, corpus.documents()), labelled(docs, questions)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["qid"] for r in got.collect()} == {"b_0", "b_4"}
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    corpus.release()
+
+
+def test_units_are_rows_of_their_own(spark, corpus):
+    """Lengths need no distinct, the corpus no pass over postings; what is read once is not kept."""
+    made = corpus.documents()
+    assert "Aggregate" not in re.sub(r"InMemoryRelation[\s\S]*", "", made.units._jdf.queryExecution().optimizedPlan().toString())
+    assert made.units.count() == 60 and made.units.where("dl = 0").count() == 6
+    n, avgdl = made.corpus.first()
+    assert (n, avgdl) == tuple(made.units.selectExpr("count(*)", "avg(dl)").first())
+    once = Corpus(corpus.docs).documents(keep=False)
+    assert not once.counted.is_cached and once.postings.count() == made.postings.count()
+    none = index.build_index(index.documents_as_units(corpus.docs.where("false")))
+    assert tuple(none.corpus.first()) == (0, None)
+
+
+def test_plain_texts_are_not_normalised(spark):
+    """Only texts with a sign of a special token are tried for one, and the tokens are those of the normal form."""
+    odd = ["Plain\x1c words  of 1999.", "été à la plage", "", None, "3.4.2021", "a-b", "дело", "٣.٤"]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    n = T.normalize(F.coalesce("text", F.lit("")))
+    rows = df.select("text", T.may_hold_special(F.coalesce("text", F.lit(""))).alias("may"), (T.tokenize(F.col("text")) == F.concat(T.generic_tokens(n), T.special_tokens(n))).alias("same")).collect()
+    assert all(r["same"] for r in rows)
+    assert [r["may"] for r in rows] == [False] * 4 + [True] * 4
+
+
+def test_blank_windows_are_not_copied(spark):
+    """Blank windows go by the first character that isn't white space; no window is rewritten for that."""
+    df = spark.createDataFrame([("ab" + " " * 8 + "\x1c\x1f\u2003\n" + "cd",)], "text string")
+    made = df.select(chunking.hard_windows(F.col("text"), 4, 4).alias("w"))
+    assert "regexp_replace" not in made._jdf.queryExecution().analyzed().toString()
+    assert [tuple(w) for w in made.first()["w"]] == [(0, "ab  "), (1, "\u2003\ncd")]
