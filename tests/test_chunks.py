@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.functions import chunking
 
@@ -64,3 +65,11 @@ def test_chunks_equal_the_plain_version(spark, size, stride):
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     assert "Python" not in chunking.structured_chunks(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_unit_costs_the_same_in_a_long_chunk(spark):
+    """The fold keeps what the open chunk takes as a number: no list of its units is added up or copied for each unit."""
+    df = spark.createDataFrame([(["ab"] * 5000,)], "u array<string>")
+    made = df.select(chunking.packed(F.col("u"), 12_000, 6_000).alias("c"))
+    assert "held" not in made._jdf.queryExecution().analyzed().toString()
+    assert [len(c) for c in made.first()["c"]] == [11_999, 8_999]
