@@ -133,3 +133,18 @@ def test_blank_windows_are_not_copied(spark):
     made = df.select(chunking.hard_windows(F.col("text"), 4, 4).alias("w"))
     assert "regexp_replace" not in made._jdf.queryExecution().analyzed().toString()
     assert [tuple(w) for w in made.first()["w"]] == [(0, "ab  "), (1, "\u2003\ncd")]
+
+
+@pytest.mark.parametrize("name", ["bm25", "tfidf"])
+def test_vocabulary_is_gone_through_once(spark, corpus, questions, name):
+    """The terms that are asked for are kept with their weights: what scores reads neither the table of terms nor the corpus again."""
+    kept = []
+    make = index.bm25_scores if name == "bm25" else index.tfidf_scores
+    scores = make(corpus.documents(), corpus.terms(questions, "full"), keep=lambda df: kept.append(df) or corpus.settle(df))
+    assert len(kept) == 1 and set(kept[0].columns) > {"qid", "term"}
+    plan = scores.drop("score")._jdf.queryExecution().optimizedPlan().toString()
+    if name == "bm25":  # a cosine needs the weights of all terms for the norms
+        assert plan.count("InMemoryRelation") == 1
+    want = make(corpus.documents(), corpus.terms(questions, "full"))
+    plain = lambda df: [(r["qid"], r["unit_id"], pytest.approx(r["score"])) for r in df.orderBy("qid", "unit_id").collect()]
+    assert plain(scores) == plain(want)
