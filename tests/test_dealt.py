@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import chunking
 from lexmill.functions import text as T
-from lexmill.operators import index, ranking
+from lexmill.operators import index, ranking, submission
 from lexmill.plans import registry
 from lexmill.plans.questions import labelled
 from lexmill.plans.registry import Corpus, Params, passage_scores, retrieve
@@ -148,3 +148,12 @@ def test_vocabulary_is_gone_through_once(spark, corpus, questions, name):
     want = make(corpus.documents(), corpus.terms(questions, "full"))
     plain = lambda df: [(r["qid"], r["unit_id"], pytest.approx(r["score"])) for r in df.orderBy("qid", "unit_id").collect()]
     assert plain(scores) == plain(want)
+
+
+def test_documents_of_a_submission_are_looked_up(spark):
+    """Unknown documents are found by the few ids that are named; the ids of all documents meet no shuffle of their own."""
+    docs = spark.createDataFrame([(str(i),) for i in range(50)] + [(None,)], "doc_id string")
+    s = spark.createDataFrame([("q0", "3"), ("q0", "nowhere"), ("q0", None), ("q1", "nowhere")], "qid string, doc_id string")
+    got = submission.violations(s, spark.createDataFrame([("q0",)], "qid string"), docs)
+    assert {r["rule"]: r["n"] for r in got.collect()} == {"columns": 0, "nulls": 1, "duplicates": 0, "too_many": 0, "missing_qids": 0, "extra_qids": 1, "unknown_docs": 2}
+    assert "LeftSemi, (doc_id" in got._jdf.queryExecution().optimizedPlan().toString()
