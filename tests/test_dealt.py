@@ -1,13 +1,14 @@
 """Scores stay where the documents were dealt: no pair of a question and a document is shuffled or stored."""
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import chunking
 from lexmill.functions import text as T
-from lexmill.operators import index, ranking, submission
+from lexmill.operators import evaluate, index, ranking, submission
 from lexmill.plans import registry
 from lexmill.plans.questions import labelled
 from lexmill.plans.registry import Corpus, Params, passage_scores, retrieve
@@ -157,3 +158,31 @@ def test_documents_of_a_submission_are_looked_up(spark):
     got = submission.violations(s, spark.createDataFrame([("q0",)], "qid string"), docs)
     assert {r["rule"]: r["n"] for r in got.collect()} == {"columns": 0, "nulls": 1, "duplicates": 0, "too_many": 0, "missing_qids": 0, "extra_qids": 1, "unknown_docs": 2}
     assert "LeftSemi, (doc_id" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [60, 1600])
+def test_labelled_by_windows(spark, size):
+    """Gold documents by an index of windows are those found without one, also for words that no window holds whole, and no text is cut into words."""
+    text = lambda i: f"Lead in {i}.\n the quick brown fox {i % 3} jumps over {'z' * 31}{i % 2} of it and {'filler ' * 9} End" if i % 4 else None
+    docs = spark.createDataFrame([(i, text(i), "en", "web", 1) for i in range(24)], "doc_id long, text string, lang string, source string, n_chars long")
+    questions = spark.createDataFrame([("b_0", "quick brown fox 2 jumps"), ("b_1", f"over {'z' * 31}1 of"), ("b_2", "the of"), ("b_3", f"jumps over {'z' * 31}0 of it")], "qid string, question string")
+    corpus, p = Corpus(from_documents(docs)), Params(name="chunked_bm25", chunking="windows", chunk_size=size)
+    got = labelled(docs, questions, corpus.passages(p, True), size // 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, labelled(docs, questions).collect()))
+    assert {r["qid"] for r in got.collect()} == {"b_0", "b_1", "b_3"}
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    corpus.release()
+
+
+def test_modes_are_ranked_in_one_pass(corpus, questions, monkeypatch):
+    """A sweep over pooling modes ranks the passages' scores once, with the metrics of one ranking after the other."""
+    p = Params(name="chunked_bm25", chunking="windows", chunk_size=40)
+    gold = questions.withColumns({"gold_doc_id": F.when(F.col("qid") == "q1", "7").otherwise("3"), "topic": F.lit("t"), "split": F.when(F.col("qid") == "q2", "holdout").otherwise("cv"), "fold": F.lit(0)})
+    want = {}
+    for mode in ranking.POOLING:
+        placed = evaluate.first_gold_rank(gold, retrieve(corpus, gold, replace(p, chunk_score_aggregation=mode), 20), 20)
+        want[mode] = evaluate.cv_summary(placed, [5]).first()["strict_cv_mean"]
+    calls, make = [], ranking.ranked
+    monkeypatch.setattr(ranking, "ranked", lambda scores, k: calls.append("_m" in scores._jdf.queryExecution().analyzed().toString()) or make(scores, k))
+    got = {r["chunk_score_aggregation"]: r["strict_cv_mean"] for r in registry.pooling_sweep(corpus, gold, p).collect()}
+    assert got == want and calls.count(True) == 1
