@@ -53,7 +53,8 @@ def run(spark: SparkSession, config: Config) -> dict[str, int]:
     passages = passages_as_questions(spark.read.parquet(config.passages))
     corpus = Corpus(from_documents(raw))
     try:
-        questions = corpus.keep(labelled(raw, passages))
+        # The index that the single retrievers rank with tells the right documents too.
+        questions = corpus.keep(labelled(raw, passages, corpus.documents()))
         count = {"documents": corpus.docs.count(), "passages": passages.count(), "questions": questions.count()}
         log.info("read %(documents)d documents and %(passages)d passages, of which %(questions)d have a right document", count)
         for name in config.retrievers:

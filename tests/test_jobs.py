@@ -88,3 +88,16 @@ def test_command_lines(tmp_path):
     file.write_text("nothing: 3\n")
     with pytest.raises(ValueError):
         parse(index_documents.Config, "index_documents", "x", ["--config", str(file)])
+
+
+def test_right_documents_are_told_by_the_index_of_the_ranking(spark, tmp_path, monkeypatch):
+    """The job cuts the texts into words once: the index that it ranks with finds the right documents."""
+    docs, passages = f"file://{tmp_path}/docs", f"file://{tmp_path}/passages"
+    put(spark, docs, [(i, f"lead the quick brown fox {i % 3} jumps far") for i in range(12)])
+    spark.createDataFrame([(1, "quick brown fox 2 jumps"), (2, "nowhere to be found")], "item_id long, text string").write.parquet(passages)
+    made, find = [], evaluate_retrievers.labelled
+    monkeypatch.setattr(evaluate_retrievers, "labelled", lambda *a: made.append(a[2:]) or find(*a))
+    done = evaluate_retrievers.run(spark, evaluate_retrievers.Config(docs, passages, f"file://{tmp_path}/out", ("bm25",), 2, 3))
+    assert done["questions"] == 1 and len(made[0]) == 1 and made[0][0].whole
+    right = spark.read.parquet(f"file://{tmp_path}/out/predictions").where("right").collect()
+    assert [(r["qid"], r["doc_id"]) for r in right] in ([("b_1", "11")], [])
